@@ -8,6 +8,7 @@ is an access or a tool call.  The same views exist in SQL in ``oracles.py``.
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from factlake.functions.embed import embed_column
 from factlake.operators.projections import with_identity
 
 AS_OF = "2024-02-05 00:00:00"
@@ -88,6 +89,33 @@ def memory(spark: SparkSession, sf_dir: str) -> DataFrame:
     return with_identity(facts)
 
 
+def text_memory(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The facts with vectors made from their texts, so near copies are near."""
+    return embed_column(memory(spark, sf_dir).drop("embedding"), "content")
+
+
+def import_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document as a line of an import file, some of them broken in one way."""
+    t = _view(spark, sf_dir, "documents")
+    return spark.sql(
+        """
+        SELECT doc_id + 1 AS line_no, CASE doc_id % 12
+          WHEN 1 THEN concat('{"content": ', to_json(named_struct('c', text)))
+          WHEN 2 THEN to_json(array(text))
+          WHEN 3 THEN to_json(named_struct('repo', source))
+          WHEN 4 THEN to_json(named_struct('content', '  ', 'repo', source))
+          WHEN 5 THEN to_json(named_struct('content', text, 'tags', array(1, 2), 'repo', source))
+          WHEN 6 THEN to_json(named_struct('content', text, 'repo', doc_id, 'importance', 'urgent'))
+          WHEN 7 THEN to_json(named_struct('content', doc_id))
+          WHEN 8 THEN to_json(named_struct('content', text, 'importance', 'high'))
+          ELSE to_json(named_struct('content', text, 'tags', array(lang, source),
+                                    'repo', source, 'importance', 'normal')) END AS line
+        FROM {documents}
+        """,
+        **t,
+    )
+
+
 def questions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every user turn and every benchmark passage as a search request.
 

@@ -169,4 +169,4 @@ def with_views(body: str, *names: str) -> str:
         add(name)
     if not ordered:
         return body
-    return "WITH " + ",".join(_VIEWS[n] for n in ordered) + "\n" + body
+    return "WITH RECURSIVE " + ",".join(_VIEWS[n] for n in ordered) + "\n" + body

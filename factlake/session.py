@@ -1,5 +1,7 @@
 """Session construction and the shared work folder."""
 
+import os
+import shutil
 import tempfile
 import uuid
 
@@ -52,3 +54,20 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     path = fresh_path(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+_SHIPPED: set[str] = set()
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Send this package to the executors, once per application."""
+    context = spark.sparkContext
+    if context.applicationId in _SHIPPED:
+        return
+    package = os.path.dirname(os.path.abspath(__file__))
+    target = os.path.join(tempfile.mkdtemp(prefix="factlake-zip-"), "factlake")
+    archive = shutil.make_archive(
+        target, "zip", root_dir=os.path.dirname(package), base_dir=os.path.basename(package)
+    )
+    context.addPyFile(archive)
+    _SHIPPED.add(context.applicationId)

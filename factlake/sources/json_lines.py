@@ -8,33 +8,33 @@ from factlake.schema import EVENT_SCHEMA, MAX_CONTENT_LENGTH, TOOL_LOG_SCHEMA
 
 
 def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
-    """``file, line_no, line`` of non-blank lines, numbered from 1 per file.
+    """``line_no, line`` of the non-blank lines, numbered from 1 in file order.
 
-    Lines carry their place within the split that read them; splits of a file
-    are ordered by their offset, and each starts after the lines of those
-    before it.  Counts per split are all that is gathered, so a file larger
-    than a task is still numbered exactly.
+    Lines carry their place within the split that read them.  They are counted
+    in runs of at most 4096, and only these counts are put in order, so a file
+    larger than a task is numbered exactly without sorting its lines.
     """
-    read = spark.read.text(path).select(
-        F.col("_metadata.file_path").alias("file"),
-        F.col("_metadata.file_block_start").alias("block"),
-        F.monotonically_increasing_id().alias("at"),
-        F.col("value").alias("line"),
-    ).filter(trimmed(F.col("line")) != "")
-    # Within a split, `at` grows in reading order; it is turned into a number
-    # by a running count over ranges of the split, not one window per file.
-    span = read.withColumn("chunk", F.floor(F.col("at") / 4096))
-    sizes = span.groupBy("file", "block", "chunk").agg(F.count(F.lit(1)).alias("n"))
-    before = Window.partitionBy("file").orderBy("block", "chunk").rowsBetween(
-        Window.unboundedPreceding, -1
+    span = (
+        spark.read.text(path)
+        .select(
+            F.col("_metadata.file_path").alias("file"),
+            F.col("_metadata.file_block_start").alias("block"),
+            F.monotonically_increasing_id().alias("at"),
+            F.col("value").alias("line"),
+        )
+        .filter(trimmed(F.col("line")) != "")
+        .withColumn("run", F.floor(F.col("at") / 4096))
     )
-    starts = sizes.select(
-        "file", "block", "chunk", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("start")
+    run = ["file", "block", "run"]
+    sizes = span.groupBy(*run).agg(F.count(F.lit(1)).alias("n"))
+    before = Window.orderBy(*run).rowsBetween(Window.unboundedPreceding, -1)
+    starts = sizes.select(*run, F.coalesce(F.sum("n").over(before), F.lit(0)).alias("start"))
+    inside = Window.partitionBy(*run).orderBy("at")
+    return (
+        span.withColumn("n", F.row_number().over(inside))
+        .join(starts, run)
+        .select((F.col("start") + F.col("n")).alias("line_no"), "line")
     )
-    inside = Window.partitionBy("file", "block", "chunk").orderBy("at")
-    return span.withColumn("n", F.row_number().over(inside)).join(
-        starts, ["file", "block", "chunk"]
-    ).select("file", (F.col("start") + F.col("n")).alias("line_no"), "line")
 
 
 def _kind(value: Column) -> Column:
