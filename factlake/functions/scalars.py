@@ -120,7 +120,7 @@ def format_score(similarity: Column) -> Column:
     """Two decimals of the binary value; its exact ties (eighths) round up."""
     eighths = similarity * 8
     nudged = F.when(eighths == F.floor(eighths), similarity + 1e-9).otherwise(similarity)
-    return F.format_number(nudged, "0.00")
+    return F.call_function("format_number", nudged, F.lit("0.00"))
 
 
 # --- tags and importance ------------------------------------------------------

@@ -7,35 +7,45 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from factlake.functions.vectors import l2_normalize
-from factlake.operators.kernel import HIT_SCHEMA, BestHits, Probes
 from factlake.operators.search import (
-    _few_hits,
     bounded,
+    few_hits,
     prepare_queries,
     rank_per_query,
+    scoped_few,
     scoped_many,
     with_facts,
 )
-from factlake.operators.simjoin import (
-    _BLOCK,
-    Limits,
-    _blocks,
-    _with_blocks,
-    with_cell,
-    with_reachable_cells,
-)
+from factlake.operators.simjoin import best_hits, with_cell, with_reachable_cells
 from factlake.schema import RECALL_COLUMNS
 from factlake.session import materialize
 
+# Facts per cell that the centres are learned from.
+_TRAINING_ROWS = 256
+
 
 def train_cells(memory: DataFrame, n_cells: int = 64, seed: int = 42) -> np.ndarray:
-    """Unit centres of ``n_cells`` clusters of the embeddings, by cosine distance."""
-    unit = memory.select(l2_normalize(F.col("embedding")).alias("v")).filter("v IS NOT NULL")
-    vectors = unit.select(array_to_vector("v").alias("features"))
+    """Unit centres of ``n_cells`` clusters of the embeddings, by cosine distance.
+
+    Learned from a bounded, fixed choice of facts: the centres only say where
+    to look first, they decide no result.
+    """
+    chosen = (
+        memory.filter(F.col("embedding").isNotNull())
+        .orderBy(F.xxhash64("id")).limit(_TRAINING_ROWS * n_cells)
+    )
+    unit = chosen.select(l2_normalize(F.col("embedding")).alias("v")).filter("v IS NOT NULL")
+    vectors = materialize(unit, "training").select(array_to_vector("v").alias("features"))
     model = KMeans(k=n_cells, seed=seed, distanceMeasure="cosine", maxIter=10).fit(vectors)
     centres = np.array(model.clusterCenters())
-    norms = np.linalg.norm(centres, axis=1, keepdims=True)
-    return centres[norms[:, 0] > 0] / norms[norms[:, 0] > 0]
+    norms = np.linalg.norm(centres, axis=1)
+    return centres[norms > 0] / norms[norms > 0, None]
+
+
+def _in_cell(df: DataFrame) -> DataFrame:
+    """Rows and probes meet only inside a cell of a part."""
+    part = F.concat_ws("\u0001", F.col("part"), F.col("cell").cast("string"))
+    return df.withColumn("part", part).drop("cell", "angle", "reach")
 
 
 def ann_recall(
@@ -50,28 +60,16 @@ def ann_recall(
     Similarities are exact, so what is found is right; facts in other cells are
     missed.  Measure the loss with :func:`recall_at_k`.
     """
-    limits = Limits.of(memory.sparkSession)
     queries, few = bounded(prepare_queries(queries))
     id_type = queries.schema["query_id"].dataType
     centres = train_cells(memory, n_cells) if centres is None else centres
-    rows, probes = scoped_many(memory, queries)
-    placed = with_cell(rows, centres)
-    sizes = placed.groupBy("part", "cell").agg(
-        _blocks(F.count(F.lit(1)), limits.block_rows).alias("_nsub")
+    rows, probes = (scoped_many if few is None else scoped_few)(memory, queries)
+    hits = best_hits(
+        _in_cell(with_cell(rows, centres)),
+        _in_cell(with_reachable_cells(probes, centres, nearest=n_probe)),
     )
-    routed = with_reachable_cells(probes, centres, nearest=n_probe).drop("angle", "reach")
-    routed = materialize(routed.join(sizes, ["part", "cell"]), "ann-probes")
-    left, right = _with_blocks(placed, routed, limits)
-
-    def block(row_table, probe_table):
-        found = BestHits(Probes.of(probe_table))
-        if row_table.num_rows and probe_table.num_rows:
-            found.add(row_table)
-        return found.result()
-
-    hits = left.groupBy(*_BLOCK).cogroup(right.groupBy(*_BLOCK)).applyInArrow(block, HIT_SCHEMA)
     ranked = rank_per_query(hits.select("query_id", "id", "similarity"), queries, few)
-    return with_facts(memory, ranked, _few_hits(few)).select(
+    return with_facts(memory, ranked, few_hits(few)).select(
         F.col("query_id").cast(id_type).alias("query_id"), "rank", *RECALL_COLUMNS
     )
 

@@ -2,6 +2,7 @@
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from factlake.functions.embed import Embedder, embed_column
 from factlake.functions.scalars import append_corroborated, parse_agent_id, pin_on_critical
@@ -42,6 +43,12 @@ def derived_id(*parts: Column) -> Column:
     return F.concat_ws("-", *pieces)
 
 
+def _as_type(df: DataFrame, column: str, kind: T.DataType) -> Column:
+    """The column cast to ``kind``, left alone where only nullability differs."""
+    same = df.schema[column].dataType.simpleString() == kind.simpleString()
+    return F.col(column) if same else F.col(column).cast(kind).alias(column)
+
+
 def append_memories(memory: DataFrame, rows: DataFrame, as_of) -> DataFrame:
     """Insert rows; missing or NULL fields take the column defaults."""
     now = moment(memory, as_of, "created_at")
@@ -55,9 +62,9 @@ def append_memories(memory: DataFrame, rows: DataFrame, as_of) -> DataFrame:
         name: F.coalesce(F.col(name), value) if name in rows.columns else value
         for name, value in defaults.items()
     })
-    kinds = {f.name: f.dataType for f in memory.schema.fields}
     filled = filled.select(*[
-        F.col(c).cast(kinds[c]).alias(c) for c in memory.columns if c in filled.columns
+        _as_type(filled, c, memory.schema[c].dataType) for c in memory.columns
+        if c in filled.columns
     ])
     return memory.unionByName(filled, allowMissingColumns=True)
 

@@ -219,7 +219,7 @@ def rank_per_query(hits: DataFrame, queries: DataFrame, few: pa.Table | None) ->
     return ranked.join(wanted, "query_id").filter(F.col("rank") <= F.col("limit")).drop("limit")
 
 
-def _few_hits(few: pa.Table | None) -> bool:
+def few_hits(few: pa.Table | None) -> bool:
     """Whether all hits together are known to fit a broadcast."""
     return few is not None and sum(few.column("limit").to_pylist()) <= _BROADCAST_HITS
 
@@ -244,7 +244,7 @@ def hybrid_recall(
     if config is not None:
         hits = hits.unionByName(text_only_hits(memory, queries, config))
     ranked = rank_per_query(hits, queries, few)
-    return with_facts(memory, ranked, _few_hits(few)).select(
+    return with_facts(memory, ranked, few_hits(few)).select(
         F.col("query_id").cast(id_type).alias("query_id"), "rank", *RECALL_COLUMNS
     )
 

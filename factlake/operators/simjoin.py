@@ -107,7 +107,7 @@ def _merge(hits: DataFrame, probes: DataFrame, table: pa.Table | None, by_order:
         if len(limits) == 1:
             return ranked.filter(F.col("rank") <= F.lit(limits.pop()))
         ranked = ranked.filter(F.col("rank") <= F.lit(max(limits)))
-    per_probe = probes.select("query_id", F.col("limit").alias("_limit"))
+    per_probe = probes.select("query_id", F.col("limit").alias("_limit")).distinct()
     return (
         ranked.join(per_probe, "query_id")
         .filter(F.col("rank") <= F.col("_limit"))
@@ -386,7 +386,7 @@ def match_edges(rows: DataFrame, threshold: float) -> DataFrame:
             _blocks(F.col("_rows"), limits.block_rows).alias("_nsub"),
         )
     )
-    flat = F.concat_ws("\u0000", F.col("part.part"), F.col("part.core").cast("string"))
+    flat = F.concat_ws("\u0001", F.col("part.part"), F.col("part.core").cast("string"))
     routed = materialize(routed.withColumn("part", flat), "cell-probes")
     left, right = _with_blocks(sided.withColumn("part", flat), routed, limits)
 

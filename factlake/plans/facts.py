@@ -100,7 +100,7 @@ def import_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.sql(
         """
         SELECT doc_id + 1 AS line_no, CASE doc_id % 12
-          WHEN 1 THEN concat('{"content": ', to_json(named_struct('c', text)))
+          WHEN 1 THEN concat('{{"content": ', to_json(named_struct('c', text)))
           WHEN 2 THEN to_json(array(text))
           WHEN 3 THEN to_json(named_struct('repo', source))
           WHEN 4 THEN to_json(named_struct('content', '  ', 'repo', source))
