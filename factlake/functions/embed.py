@@ -13,6 +13,7 @@ from pyspark.sql import types as T
 
 from factlake.functions.scalars import blank_to_null
 from factlake.schema import EMBED_CHUNK, VECTOR
+from factlake.session import spread
 
 
 class Embedder(Protocol):
@@ -79,7 +80,7 @@ def embed_column(
             ]
             yield batch.assign(**{output: vectors})[schema.fieldNames()]
 
-    return df.drop(output).mapInPandas(run, schema)
+    return spread(df.drop(output)).mapInPandas(run, schema)
 
 
 def split_blank(df: DataFrame, text_col: str) -> tuple[DataFrame, DataFrame]:

@@ -10,19 +10,23 @@ from factlake.session import materialize
 
 
 def distinct_vectors(memory: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(one row per distinct vector of a project, each fact with its vector's id).
+    """(one row per distinct vector of a project, each fact with its vector's name).
 
     Copies are folded before any comparison, so a mass of equal facts costs
-    one vector.  The fold is a partial aggregation on a hash of the vector,
-    then the vector itself.
+    one vector.  A vector is named by its fingerprint, which every fact can
+    compute alone: no join is needed to tell a fact its vector.  Both tables
+    are written, so later joins know their sizes and split hot vectors.
     """
     rows = filters.active(memory).filter(F.col("embedding").isNotNull()).select(
         "id", F.col("project_id").alias("part"), "created_by",
         F.col("embedding").alias("vec"),
     )
-    reps = rows.groupBy("part", "vec").agg(F.min("id").alias("rep"))
-    members = rows.join(reps, ["part", "vec"]).select("id", "part", "created_by", "rep")
-    return reps.select(F.col("rep").alias("id"), "part", "vec"), members
+    name = F.sha2(F.concat_ws("\u0001", F.col("part"), F.to_json("vec")), 256)
+    rows = rows.withColumn("vector", name)
+    reps = rows.groupBy("part", "vector").agg(
+        F.min("id").alias("id"), F.min_by("vec", "id").alias("vec")
+    )
+    return materialize(reps, "vectors"), materialize(rows.drop("vec"), "members")
 
 
 def near_duplicates(
@@ -35,7 +39,6 @@ def near_duplicates(
     the first ``k + 1`` facts of each of those hold the answer.
     """
     reps, members = distinct_vectors(memory)
-    reps, members = materialize(reps, "vectors"), materialize(members, "members")
     probes = reps.select(
         F.col("id").alias("query_id"), "part", "vec",
         F.lit(float(threshold)).alias("threshold"), F.lit(k + 1).alias("limit"),
@@ -43,13 +46,14 @@ def near_duplicates(
     near = best_hits(reps, probes).select(
         F.col("query_id").alias("rep"), F.col("id").alias("near"), "similarity"
     )
+    names = reps.select(F.col("id").alias("near"), F.col("vector").alias("near_vector"))
     numbered = members.withColumn(
-        "n", F.row_number().over(Window.partitionBy("rep").orderBy("id"))
+        "n", F.row_number().over(Window.partitionBy("vector").orderBy("id"))
     ).filter(F.col("n") <= k + 1)
-    facts = numbered.select(F.col("rep").alias("near"), F.col("id").alias("match_id"))
+    facts = numbered.select(F.col("vector").alias("near_vector"), F.col("id").alias("match_id"))
     order = Window.partitionBy("rep").orderBy(F.desc("similarity"), F.asc("match_id"))
     answers = (
-        near.join(facts, "near")
+        near.join(names, "near").join(facts, "near_vector")
         .withColumn("pos", F.row_number().over(order))
         .filter(F.col("pos") <= k + 1)
         .select("rep", "match_id", "similarity", "pos")
@@ -57,10 +61,11 @@ def near_duplicates(
     # A fact is not its own duplicate; at most one of the k + 1 answers drops out.
     listed = answers.groupBy("rep").agg(
         F.sort_array(F.collect_list(F.struct("pos", "match_id", "similarity"))).alias("answers")
-    )
+    ).join(reps.select(F.col("id").alias("rep"), "vector"), "rep")
+    listed = materialize(listed.select("vector", "answers"), "answers")
     others = F.filter("answers", lambda a: a["match_id"] != F.col("id"))
     return (
-        members.select("id", "rep").join(listed, "rep")
+        members.select("id", "vector").join(listed, "vector")
         .select("id", F.posexplode(F.slice(others, 1, k)).alias("n", "answer"))
         .select("id", (F.col("n") + 1).alias("rank"), "answer.match_id", "answer.similarity")
     )
@@ -110,10 +115,15 @@ def duplicate_clusters(memory: DataFrame, threshold: float = DEDUP_THRESHOLD) ->
     left out.
     """
     reps, members = distinct_vectors(memory)
-    reps, members = materialize(reps, "vectors"), materialize(members, "members")
     components = connected_components(match_edges(reps, threshold))
-    named = members.join(components, F.col("rep") == F.col("node"), "left").select(
-        "id", F.col("part").alias("project_id"), F.coalesce("component", "rep").alias("cluster_id")
+    clusters = materialize(
+        reps.join(components, F.col("id") == F.col("node"), "left").select(
+            "vector", F.coalesce("component", "id").alias("cluster_id")
+        ),
+        "clusters",
+    )
+    named = members.join(clusters, "vector").select(
+        "id", F.col("part").alias("project_id"), "cluster_id"
     )
     sizes = named.groupBy("cluster_id").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
     return named.join(sizes, "cluster_id", "left_semi").select("id", "project_id", "cluster_id")
@@ -126,28 +136,27 @@ def cluster_sizes(clusters: DataFrame) -> DataFrame:
 def _author_matches(memory: DataFrame, threshold: float):
     """Per distinct vector and author the nearest fact by that author."""
     reps, members = distinct_vectors(memory)
-    reps, members = materialize(reps, "vectors"), materialize(members, "members")
     # One row per distinct vector and author, not per fact.
-    authors = members.groupBy("rep", "created_by").agg(F.min("id").alias("first_id"))
-    by_author = authors.join(reps, F.col("rep") == F.col("id")).select(
+    authors = members.groupBy("vector", "created_by").agg(F.min("id").alias("first_id"))
+    by_author = authors.join(reps.drop("id"), "vector").select(
         F.col("first_id").alias("id"), "part", "vec", F.col("created_by").alias("label")
     )
     probes = reps.select(
-        F.col("id").alias("query_id"), "part", "vec",
+        F.col("vector").alias("query_id"), "part", "vec",
         F.lit(float(threshold)).alias("threshold"), F.lit(1).alias("limit"),
     )
     near = best_hits(by_author, probes).select(
-        F.col("query_id").alias("rep"), F.col("label").alias("other_author"),
+        F.col("query_id").alias("vector"), F.col("label").alias("other_author"),
         F.col("id").alias("match_id"), "similarity",
     )
-    return members, near
+    return members, materialize(near, "author-matches")
 
 
 def cross_agent_corroboration(memory: DataFrame, threshold: float = DEDUP_THRESHOLD) -> DataFrame:
     """Who confirmed whom: per fact and other author, that author's nearest fact."""
     members, near = _author_matches(memory, threshold)
     return (
-        members.join(near, "rep")
+        members.join(near, "vector")
         .filter(F.col("other_author") != F.col("created_by"))
         .select("id", F.col("part").alias("project_id"), "created_by",
                 "other_author", "match_id", "similarity")
@@ -161,7 +170,10 @@ def corroboration_score(memory: DataFrame, threshold: float = DEDUP_THRESHOLD) -
     author is always among them.
     """
     members, near = _author_matches(memory, threshold)
-    counted = near.groupBy("rep").agg(F.count_distinct("other_author").alias("n"))
-    return members.join(counted, "rep", "left").select(
+    # One row per vector and author, so counting rows counts authors.
+    counted = materialize(
+        near.groupBy("vector").agg(F.count(F.lit(1)).alias("n")), "author-counts"
+    )
+    return members.join(counted, "vector", "left").select(
         "id", (F.coalesce("n", F.lit(1)) - 1).alias("score")
     )

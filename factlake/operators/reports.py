@@ -8,6 +8,7 @@ from factlake.operators import filters
 from factlake.operators.filters import moment
 from factlake.operators.listing import top_k_per_project
 from factlake.schema import STALE_LISTING_DAYS
+from factlake.session import materialize
 
 
 def _rows(memory: DataFrame, project_id: str | None) -> DataFrame:
@@ -102,7 +103,8 @@ def most_accessed(memory: DataFrame, project_id: str | None = None, k: int = 3)
     if project_id is not None:
         return rows.orderBy(F.desc("access_count"), "id").limit(k)
     # Rank on the narrow columns; contents are fetched for the winners alone.
-    top = top_k_per_project(rows.drop("content"), "access_count", k)
+    # Written first, their size is known and the contents are only streamed past.
+    top = materialize(top_k_per_project(rows.drop("content"), "access_count", k), "top")
     return top.join(rows.select("id", "content"), "id").select(
         "project_id", "id", "content", "access_count", "rank"
     )

@@ -145,7 +145,6 @@ def scoped_few(memory: DataFrame, queries: DataFrame) -> tuple[DataFrame, DataFr
             "id", F.col("project_id").alias("part"), "vec",
             F.transform(matching, lambda s: s["scope"].cast("long")).alias("scopes"),
         )
-        .filter(F.size("scopes") > 0)
     )
     keyed = queries.withColumn("key", _scope_key()).join(
         F.broadcast(numbered.select("key", "scope")), "key"
@@ -185,7 +184,8 @@ def vector_hits(memory: DataFrame, queries: DataFrame, few: bool) -> DataFrame:
 
 def text_only_hits(memory: DataFrame, queries: DataFrame, config: str) -> DataFrame:
     """Hits by text whose similarity is not above the threshold, best per query."""
-    pairs = text_candidates(memory, queries, config)
+    # Two narrow columns of known size decide how the facts are fetched.
+    pairs = materialize(text_candidates(memory, queries, config), "text-pairs")
     m = memory.select(
         "id", "embedding", "created_by", "engineer", "repo", "tags", "archived"
     ).alias("m")
@@ -244,6 +244,8 @@ def hybrid_recall(
     if config is not None:
         hits = hits.unionByName(text_only_hits(memory, queries, config))
     ranked = rank_per_query(hits, queries, few)
+    if not few_hits(few):
+        ranked = materialize(ranked, "hits")
     return with_facts(memory, ranked, few_hits(few)).select(
         F.col("query_id").cast(id_type).alias("query_id"), "rank", *RECALL_COLUMNS
     )

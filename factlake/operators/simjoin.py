@@ -35,7 +35,7 @@ from factlake.operators.kernel import (
     spanning_edges,
     unit_matrix,
 )
-from factlake.session import materialize
+from factlake.session import materialize, spread
 
 # Angles are widened by this much when cells are ruled out.
 _SLACK = 1e-5
@@ -62,12 +62,6 @@ class Limits:
         )
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """Use every core for a compute-heavy scan of a few small files."""
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
-
-
 def small_table(df: DataFrame, most: int) -> pa.Table | None:
     """The rows as an Arrow table if there are at most ``most``, else None."""
     table = df.limit(most + 1).toArrow()
@@ -242,6 +236,18 @@ def _large_parts(rows: DataFrame, block_rows: int) -> DataFrame:
     )
 
 
+def _extent(placed: DataFrame) -> DataFrame:
+    """Rows and range of angles per cell, written so that its size is known."""
+    return materialize(
+        placed.groupBy("part", "cell").agg(
+            F.count(F.lit(1)).alias("_rows"),
+            F.min("angle").alias("_inner"),
+            F.max("angle").alias("_outer"),
+        ),
+        "cell-extents",
+    )
+
+
 def _blocks(count, block_rows: int):
     return F.ceil(count / F.lit(block_rows)).cast("int")
 
@@ -259,11 +265,7 @@ def _placed(rows, probes, limits: Limits, pivots: np.ndarray):
             {"cell": F.lit(_ALL), "angle": F.lit(0.0), "reach": F.lit(10.0)}
         )
     )
-    extent = placed.groupBy("part", "cell").agg(
-        F.count(F.lit(1)).alias("_rows"),
-        F.min("angle").alias("_inner"),
-        F.max("angle").alias("_outer"),
-    )
+    extent = _extent(placed)
     # Only cells whose ring of angles the probe's ball can touch.
     routed = routed.join(extent, ["part", "cell"]).filter(
         (F.col("cell") == _ALL)
@@ -282,9 +284,12 @@ def _placed(rows, probes, limits: Limits, pivots: np.ndarray):
 
 
 def _with_blocks(placed: DataFrame, routed: DataFrame, limits: Limits):
-    splits = routed.groupBy("part", "cell").agg(
-        F.first("_nsub").alias("_nsub"),
-        _blocks(F.count(F.lit(1)), limits.block_rows).alias("_nq"),
+    splits = materialize(
+        routed.groupBy("part", "cell").agg(
+            F.first("_nsub").alias("_nsub"),
+            _blocks(F.count(F.lit(1)), limits.block_rows).alias("_nq"),
+        ),
+        "cell-splits",
     )
     left = (
         placed.join(splits, ["part", "cell"])
@@ -358,11 +363,7 @@ def match_edges(rows: DataFrame, threshold: float) -> DataFrame:
     sided = homed.select(
         "id", F.struct("part", "core").alias("part"), "cell", "angle", "vec"
     )
-    extent = sided.groupBy("part", "cell").agg(
-        F.count(F.lit(1)).alias("_rows"),
-        F.min("angle").alias("_inner"),
-        F.max("angle").alias("_outer"),
-    )
+    extent = _extent(sided)
     routed = with_reachable_cells(
         homed.select(
             F.col("id").alias("query_id"), F.col("part").alias("home"), "vec",

@@ -570,7 +570,7 @@ WHERE len(terms) > 0 AND list_has_all(tsv, terms)""", "scored")
 def _(spark, sf):
     index = textindex.build_text_index(facts.memory(spark, sf))
     path = fresh_path(spark, "text-index")
-    index.write.partitionBy("project_id").parquet(path)
+    textindex.write_text_index(index, path)
     return textindex.text_search(spark.read.parquet(path), facts.questions(spark, sf))
 
 
@@ -643,7 +643,7 @@ def _(spark, sf):
     "last_accessed_at": sql_ts("greatest(m.last_accessed_at, coalesce(f.last_ts, m.last_accessed_at))"),
 }, "memory m LEFT JOIN folded f ON f.id = m.id"), "memory")
 def _(spark, sf):
-    n = facts.table(spark, sf, "documents").count()
+    n = facts._size(spark, sf, "documents")
     touches = facts.table(spark, sf, "events").select(
         F.col("user_id").alias("call_id"), "ts",
         F.md5((F.col("event_id") * 3 % n).cast("string")).alias("id"))

@@ -23,9 +23,15 @@ def _view(spark: SparkSession, sf_dir: str, *names: str) -> dict[str, DataFrame]
     return {name: table(spark, sf_dir, name) for name in names}
 
 
+_SIZES: dict[str, int] = {}
+
+
 def _size(spark: SparkSession, sf_dir: str, name: str) -> int:
-    """Rows of a table, from the footers of its files."""
-    return table(spark, sf_dir, name).count()
+    """Rows of a table, counted once."""
+    key = f"{sf_dir}/{name}"
+    if key not in _SIZES:
+        _SIZES[key] = table(spark, sf_dir, name).count()
+    return _SIZES[key]
 
 
 def accesses(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -7,6 +7,9 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+# A table with less than this many bytes per core is spread over the cores.
+_SMALL_SPLIT = 16 << 20
+
 
 def build_session(app: str = "factlake", master: str | None = None, **conf) -> SparkSession:
     """A session with adaptive execution on and UTC as its time zone."""
@@ -40,9 +43,22 @@ def shared_folder(spark: SparkSession) -> str:
     return folder.rstrip("/")
 
 
+def _own_folder(spark: SparkSession) -> str:
+    return f"{shared_folder(spark)}/factlake-{spark.sparkContext.applicationId}"
+
+
 def fresh_path(spark: SparkSession, name: str) -> str:
-    """A path in the shared folder that nothing else uses."""
-    return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+    """A path in the application's part of the shared folder that nothing else uses."""
+    return f"{_own_folder(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+def discard_intermediates(spark: SparkSession) -> None:
+    """Delete the application's intermediate tables once its results are stored.
+
+    Results that were not written yet still read from them.
+    """
+    path = spark._jvm.org.apache.hadoop.fs.Path(_own_folder(spark))
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def materialize(df: DataFrame, name: str) -> DataFrame:
@@ -56,6 +72,17 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Use every core for a compute-heavy pass over a small table.
+
+    Judged by the planner's size estimate, which costs no job.  A large table
+    comes in enough splits of its own and is never shuffled here.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return df.repartition(cores) if size < cores * _SMALL_SPLIT else df
+
+
 _SHIPPED: set[str] = set()
 
 

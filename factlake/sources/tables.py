@@ -16,20 +16,16 @@ PARTITIONS = ("project_id", "archived")
 def write_memory(df: DataFrame, path: str, mode: str = "errorifexists") -> None:
     """Parquet by project and archived flag, sorted so that row groups prune by access time.
 
-    Rows of one partition are spread over tasks by a hash, so a project with a
-    third of all rows is written by many tasks.
+    Adaptive execution splits the rows of a large project over as many tasks
+    as their size asks for and merges small ones.
     """
     (
-        df.repartition(*PARTITIONS, F.pmod(F.xxhash64("id"), F.lit(_spread(df))))
+        df.hint("rebalance", *PARTITIONS)
         .sortWithinPartitions(*PARTITIONS, "last_accessed_at")
         .write.mode(mode).partitionBy(*PARTITIONS).parquet(path)
     )
 
 
-def _spread(df: DataFrame) -> int:
-    return max(1, int(df.sparkSession.conf.get("factlake.write.filesPerPartition", "8")))
-
-
 def scan_memory(
     spark: SparkSession, path: str, project_id: str | None = None, archived: bool | None = None
 ) -> DataFrame:
