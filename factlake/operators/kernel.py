@@ -15,7 +15,7 @@ from factlake.functions.vectors import SIMILARITY_DECIMALS
 HIT_SCHEMA = "query_id string, id string, label string, similarity double, ord long"
 EDGE_SCHEMA = "src string, dst string"
 
-_CELLS_PER_STEP = 2_000_000
+_CELLS_PER_STEP = 4_000_000
 _HITS_BEFORE_COMPACTION = 400_000
 
 
@@ -103,17 +103,23 @@ class BestHits:
         scopes = None
         if probes.scope is not None:
             scopes = _scope_mask(table.column("scopes"), int(probes.scope.max(initial=0)) + 1)
-        for key, rows in part.groupby(part).indices.items():
-            queries = probes.parts.get(key)
+        by = [part] if labels is None else [part, pd.Series(labels)]
+        id_rank = np.argsort(np.argsort(ids, kind="stable"), kind="stable")
+        for key, rows in part.groupby(by if len(by) > 1 else part).indices.items():
+            queries = probes.parts.get(key[0] if len(by) > 1 else key)
             if queries is None:
                 continue
             rows = rows[usable[rows]]
             step = max(1, _CELLS_PER_STEP // len(queries))
             for start in range(0, len(rows), step):
-                self._match(rows[start:start + step], queries, vectors, ids, labels, order, scopes)
+                self._match(
+                    rows[start:start + step], queries, vectors, ids, id_rank, labels, order, scopes
+                )
 
-    def _match(self, rows, queries, vectors, ids, labels, order, scopes) -> None:
+    def _match(self, rows, queries, vectors, ids, id_rank, labels, order, scopes) -> None:
+        """Add the best hits of some rows of one label."""
         probes = self.probes
+        limit = probes.limit[queries]
         products = vectors[rows] @ probes.vectors[queries].T
         bound = np.maximum(probes.threshold[queries], self.floor[queries]) - 1e-8
         near = products > bound
@@ -121,8 +127,10 @@ class BestHits:
             near &= scopes[rows][:, probes.scope[queries]]
         if order is not None and probes.before is not None:
             near &= order[rows][:, None] < probes.before[queries][None, :]
-        r, q = np.nonzero(near)
-        similarity = np.round(products[r, q], SIMILARITY_DECIMALS)
+        self._thin(near, order[rows] if self.by_order else products, limit + self.exclude_self)
+        flat = np.flatnonzero(near)
+        similarity = np.round(products.ravel()[flat], SIMILARITY_DECIMALS)
+        r, q = np.divmod(flat, len(queries))
         r, q = rows[r], queries[q]
         keep = (similarity > probes.threshold[q]) & (similarity >= self.floor[q])
         if self.exclude_self:
@@ -130,6 +138,11 @@ class BestHits:
         r, q, similarity = r[keep], q[keep], similarity[keep]
         if not len(r):
             return
+        best = np.lexsort((id_rank[r], order[r] if self.by_order else -similarity, q))
+        r, q, similarity = r[best], q[best], similarity[best]
+        first = np.searchsorted(q, q, side="left")
+        keep = np.arange(len(q)) - first < probes.limit[q]
+        r, q, similarity = r[keep], q[keep], similarity[keep]
         self.parts.append(pd.DataFrame({
             "q": q,
             "id": ids[r],
@@ -139,9 +152,24 @@ class BestHits:
             "labelled": labels is not None,
         }))
         self.pending += len(r)
-        if self.pending > _HITS_BEFORE_COMPACTION:
+        if self.pending > max(_HITS_BEFORE_COMPACTION, 4 * int(probes.limit.sum())):
             self._compact()
 
+    def _thin(self, near: np.ndarray, key: np.ndarray, limit: np.ndarray) -> None:
+        """Unmark what cannot be among a probe's best, so a crowd of hits stays cheap."""
+        crowded = np.flatnonzero(near.sum(axis=0) > 4 * limit)
+        if not len(crowded):
+            return
+        at = int(limit[crowded].max()) - 1
+        if at >= len(near):
+            return
+        if self.by_order:
+            column = np.where(near[:, crowded], key[:, None], np.iinfo(np.int64).max)
+            near[:, crowded] &= column <= np.partition(column, at, axis=0)[at]
+        else:
+            column = np.where(near[:, crowded], -key[:, crowded], np.inf)
+            near[:, crowded] &= column <= np.partition(column, at, axis=0)[at] + 1e-8
+
     def _compact(self) -> None:
         if not self.parts:
             return
@@ -196,21 +224,39 @@ def spanning_edges(table: pa.Table, probes: Probes) -> pa.Table:
         for start in range(0, len(all_rows), step):
             rows = all_rows[start:start + step]
             products = np.round(vectors[rows] @ probes.vectors[queries].T, SIMILARITY_DECIMALS)
-            r, q = np.nonzero(products > probes.threshold[queries])
-            row_label = np.arange(len(rows))
-            query_label = np.full(len(queries), len(rows))
-            while True:
-                before = row_label.copy(), query_label.copy()
-                np.minimum.at(query_label, q, row_label[r])
-                np.minimum.at(row_label, r, query_label[q])
-                if (before[0] == row_label).all() and (before[1] == query_label).all():
-                    break
-            matched_rows = np.unique(r)
-            matched_queries = np.unique(q)
-            src += [ids[rows[matched_rows]], probes.ids[queries[matched_queries]]]
-            dst += [ids[rows[row_label[matched_rows]]], ids[rows[query_label[matched_queries]]]]
+            match = products > probes.threshold[queries]
+            matched_rows = np.flatnonzero(match.any(axis=1))
+            matched_queries = np.flatnonzero(match.any(axis=0))
+            match = match[np.ix_(matched_rows, matched_queries)]
+            row_label = np.arange(len(matched_rows))
+            query_label = np.full(len(matched_queries), len(matched_rows))
+            changed = len(matched_rows) > 0
+            while changed:
+                heard = np.where(match, row_label[:, None], len(matched_rows)).min(axis=0)
+                query_label = np.minimum(query_label, heard)
+                told = np.where(match, query_label, len(matched_rows)).min(axis=1)
+                changed = (told < row_label).any()
+                row_label = np.minimum(row_label, told)
+            names = ids[rows[matched_rows]]
+            src += [names, probes.ids[queries[matched_queries]]]
+            dst += [names[row_label], names[query_label]]
     schema = pa.schema([("src", pa.string()), ("dst", pa.string())])
     if not src:
         return schema.empty_table()
-    edges = pd.DataFrame({"src": np.concatenate(src), "dst": np.concatenate(dst)})
-    return pa.Table.from_pandas(edges[edges.src != edges.dst], schema, preserve_index=False)
+    nodes, root = _roots(np.concatenate(src), np.concatenate(dst))
+    child = np.flatnonzero(root != np.arange(len(nodes)))
+    return pa.table({"src": nodes[child], "dst": nodes[root[child]]}, schema=schema)
+
+
+def _roots(src: np.ndarray, dst: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The nodes of some edges and, per node, the position of its component's first."""
+    codes, nodes = pd.factorize(np.concatenate([src, dst]))
+    a, b = codes[: len(src)], codes[len(src):]
+    root = np.arange(len(nodes))
+    while True:
+        before = root.copy()
+        np.minimum.at(root, a, root[b])
+        np.minimum.at(root, b, root[a])
+        root = root[root]
+        if (root == before).all():
+            return nodes, root

@@ -40,6 +40,9 @@ from factlake.session import materialize, spread
 # Angles are widened by this much when cells are ruled out.
 _SLACK = 1e-5
 _ALL = -1
+# Keys of a block, and a bound on the tasks that share them.
+_BLOCK = ("part", "cell", "sub", "qsub")
+_MOST_TASKS = 20_000
 
 
 @dataclass(frozen=True)
@@ -47,7 +50,7 @@ class Limits:
     """Sizes that decide the plan; override through session settings."""
 
     broadcast_rows: int = 16_384
-    block_rows: int = 8_192
+    block_rows: int = 16_384
     pivots: int = 256
 
     @classmethod
@@ -139,11 +142,12 @@ def _broadcast_edges(rows, table) -> DataFrame:
 
 # --- many probes: cells ------------------------------------------------------------
 
-def choose_pivots(rows: DataFrame, count: int) -> np.ndarray:
+def choose_pivots(rows: DataFrame, count: int, apart: float = 0.0) -> np.ndarray:
     """Unit vectors of the ``count`` rows with the smallest hashes.
 
     A fixed choice, spread over the data in proportion to its density; a
-    bounded top-k, not a full sort.
+    bounded top-k, not a full sort.  Of pivots within the angle ``apart`` of
+    each other only one is kept.
     """
     picked = (
         rows.select("vec", F.xxhash64("id").alias("_h"))
@@ -153,7 +157,12 @@ def choose_pivots(rows: DataFrame, count: int) -> np.ndarray:
         .toArrow()
     )
     vectors, usable = unit_matrix(picked.column("vec"))
-    return np.unique(np.round(vectors[usable], 12), axis=0)
+    pivots = np.unique(np.round(vectors[usable], 12), axis=0)
+    kept: list[int] = []
+    for at in range(len(pivots) if apart > 0 else 0):
+        if not kept or _angles(pivots[at:at + 1], pivots[kept]).min() > apart:
+            kept.append(at)
+    return pivots[kept] if apart > 0 else pivots
 
 
 def _angles(vectors: np.ndarray, pivots: np.ndarray) -> np.ndarray:
@@ -187,12 +196,15 @@ def with_cell(df: DataFrame, pivots: np.ndarray) -> DataFrame:
     return df.mapInArrow(assign, _wider(df, cell="int", angle="double"))
 
 
-def with_reachable_cells(probes: DataFrame, pivots: np.ndarray, nearest: int | None = None) -> DataFrame:
+def with_reachable_cells(
+    probes: DataFrame, pivots: np.ndarray, nearest: int | None = None, skip_home: bool = False
+) -> DataFrame:
     """One row per probe and cell that may hold a hit: ``cell, angle, reach``.
 
     A row within angle ``reach`` of the probe and nearest to pivot c satisfies
     angle(probe, c) <= angle(probe, nearest pivot) + 2 reach, so other cells
-    are skipped.  ``nearest`` keeps the n nearest cells instead (approximate).
+    are skipped.  ``nearest`` keeps the n nearest cells instead (approximate);
+    ``skip_home`` leaves the nearest one out.
     """
     shared = probes.sparkSession.sparkContext.broadcast(pivots)
     has_floor = "floor" in probes.columns
@@ -208,7 +220,7 @@ def with_reachable_cells(probes: DataFrame, pivots: np.ndarray, nearest: int | N
                 at_least = np.maximum(
                     at_least, batch.column("floor").to_numpy(zero_copy_only=False).astype(float)
                 )
-            reach = np.arccos(np.clip(at_least, -1.0, 1.0)) + _SLACK
+            reach = np.arccos(np.clip(at_least - 1e-8, -1.0, 1.0)) + _SLACK
             if nearest is None:
                 chosen = angles <= angles.min(axis=1, keepdims=True) + 2 * reach[:, None]
             else:
@@ -216,6 +228,8 @@ def with_reachable_cells(probes: DataFrame, pivots: np.ndarray, nearest: int | N
                 chosen = np.zeros_like(angles, dtype=bool)
                 np.put_along_axis(chosen, order, True, axis=1)
             chosen &= usable[:, None]
+            if skip_home:
+                chosen[np.arange(len(chosen)), angles.argmin(axis=1)] = False
             row, cell = np.nonzero(chosen)
             taken = pa.table(batch.columns, schema=batch.schema).take(pa.array(row))
             taken = taken.append_column("cell", pa.array(cell.astype(np.int32)))
@@ -228,14 +242,25 @@ def with_reachable_cells(probes: DataFrame, pivots: np.ndarray, nearest: int | N
 
 def _large_parts(rows: DataFrame, block_rows: int) -> DataFrame:
     """Parts with more rows than one block: at most (all rows / block size) of them."""
-    return (
+    return materialize(
         rows.groupBy("part")
         .agg(F.count(F.lit(1)).alias("_n"))
         .filter(F.col("_n") > block_rows)
-        .select("part", F.lit(True).alias("_large"))
+        .select("part", "_n", F.lit(True).alias("_large")),
+        "large-parts",
     )
 
 
+def _pivot_count(large: DataFrame, limits: Limits) -> int:
+    """Cells of about half a block in the largest part, within the set bound.
+
+    More cells rule out more rows, but a probe is copied to every cell it must
+    visit, so cells much smaller than a block only cost copies.
+    """
+    most = large.agg(F.max("_n")).first()[0] or 0
+    return int(min(limits.pivots, max(1, -(-2 * most // limits.block_rows))))
+
+
 def _extent(placed: DataFrame) -> DataFrame:
     """Rows and range of angles per cell, written so that its size is known."""
     return materialize(
@@ -252,35 +277,29 @@ def _blocks(count, block_rows: int):
     return F.ceil(count / F.lit(block_rows)).cast("int")
 
 
-def _placed(rows, probes, limits: Limits, pivots: np.ndarray):
-    """Both sides with the keys ``part, cell, sub, qsub`` of their blocks."""
-    large = materialize(_large_parts(rows, limits.block_rows), "large-parts")
+def _placed(rows, large: DataFrame, pivots: np.ndarray):
+    """The rows with their cells, and the cells' extents."""
+    large = large.select("part", "_large")
     placed = with_cell(rows, pivots).join(large, "part", "left")
     placed = placed.withColumn("cell", F.when(F.col("_large"), F.col("cell")).otherwise(_ALL))
     placed = materialize(placed.drop("_large"), "cell-rows")
+    return placed, _extent(placed)
 
-    marked = probes.join(large, "part", "left")
-    routed = with_reachable_cells(marked.filter("_large").drop("_large"), pivots).unionByName(
-        marked.filter("_large IS NULL").drop("_large").withColumns(
-            {"cell": F.lit(_ALL), "angle": F.lit(0.0), "reach": F.lit(10.0)}
-        )
-    )
-    extent = _extent(placed)
-    # Only cells whose ring of angles the probe's ball can touch.
-    routed = routed.join(extent, ["part", "cell"]).filter(
-        (F.col("cell") == _ALL)
-        | (
-            (F.col("angle") - F.col("reach") <= F.col("_outer"))
-            & (F.col("angle") + F.col("reach") >= F.col("_inner"))
+
+def _within_reach(routed: DataFrame, extent: DataFrame, limits: Limits) -> DataFrame:
+    """Probes at cells whose ring of angles their ball can touch, with the cell's splits."""
+    return (
+        routed.join(extent, ["part", "cell"])
+        .filter(
+            (F.col("cell") == _ALL)
+            | (
+                (F.col("angle") - F.col("reach") <= F.col("_outer"))
+                & (F.col("angle") + F.col("reach") >= F.col("_inner"))
+            )
         )
+        .withColumn("_nsub", _blocks(F.col("_rows"), limits.block_rows))
+        .drop("angle", "reach", "_rows", "_inner", "_outer")
     )
-    routed = materialize(
-        routed.withColumn("_nsub", _blocks(F.col("_rows"), limits.block_rows)).drop(
-            "angle", "reach", "_rows", "_inner", "_outer"
-        ),
-        "cell-probes",
-    )
-    return placed, routed
 
 
 def _with_blocks(placed: DataFrame, routed: DataFrame, limits: Limits):
@@ -303,28 +322,58 @@ def _with_blocks(placed: DataFrame, routed: DataFrame, limits: Limits):
         .withColumn("sub", F.explode(F.sequence(F.lit(0), F.col("_nsub") - 1)))
         .drop("_nsub", "_nq")
     )
-    return left, right
-
-
-_BLOCK = ("part", "cell", "sub", "qsub")
+    # A stated number of partitions: adaptive execution would merge them by
+    # their few bytes, but a block's work is the product of its two sides.
+    blocks = splits.agg(F.sum(F.col("_nsub").cast("long") * F.col("_nq"))).first()[0] or 1
+    tasks = int(min(_MOST_TASKS, max(1, 4 * blocks)))
+    return left.repartition(tasks, *_BLOCK), right.repartition(tasks, *_BLOCK)
 
 
 def _cell_hits(rows, probes, limits, by_order, exclude_self) -> DataFrame:
-    pivots = choose_pivots(rows, limits.pivots)
+    """Visit each probe's own cell first, then the others it can still gain from.
+
+    A probe that found all its hits at home only looks further as far as its
+    worst hit, which in dense regions is much less than its threshold allows.
+    """
+    large = _large_parts(rows, limits.block_rows)
+    pivots = choose_pivots(rows, _pivot_count(large, limits))
     if not len(pivots):
         return rows.sparkSession.createDataFrame([], HIT_SCHEMA)
-    left, right = _with_blocks(*_placed(rows, probes, limits, pivots), limits)
+    placed, extent = _placed(rows, large, pivots)
+    marked = probes.join(large.select("part", "_large"), "part", "left")
+    undivided = marked.filter("_large IS NULL").drop("_large").withColumns(
+        {"cell": F.lit(_ALL), "angle": F.lit(0.0), "reach": F.lit(10.0)}
+    )
+    divided = marked.filter("_large").drop("_large")
 
     def block(row_table, probe_table):
-        if not row_table.num_rows or not probe_table.num_rows:
-            return BestHits(Probes.of(probe_table)).result()
         found = BestHits(Probes.of(probe_table), by_order, exclude_self)
-        found.add(row_table)
+        if row_table.num_rows and probe_table.num_rows:
+            found.add(row_table)
         return found.result()
 
-    return (
-        left.groupBy(*_BLOCK).cogroup(right.groupBy(*_BLOCK)).applyInArrow(block, HIT_SCHEMA)
+    def visit(routed: DataFrame) -> DataFrame:
+        routed = materialize(_within_reach(routed, extent, limits), "cell-probes")
+        left, right = _with_blocks(placed, routed, limits)
+        return left.groupBy(*_BLOCK).cogroup(right.groupBy(*_BLOCK)).applyInArrow(block, HIT_SCHEMA)
+
+    if by_order or "label" in rows.columns:
+        return visit(with_reachable_cells(divided, pivots).unionByName(undivided))
+    home = with_reachable_cells(divided, pivots, nearest=1).unionByName(undivided)
+    at_home = materialize(visit(home), "home-hits")
+    best = Window.partitionBy("query_id").orderBy(F.desc("similarity"), "id")
+    worst = (
+        at_home.withColumn("_n", F.row_number().over(best))
+        .join(probes.select("query_id", F.col("limit").alias("_limit")).distinct(), "query_id")
+        .filter(F.col("_n") == F.col("_limit"))
+        .select("query_id", F.col("similarity").alias("_worst"))
+    )
+    floor = F.greatest("floor", "_worst") if "floor" in probes.columns else F.col("_worst")
+    eager = divided.join(worst, "query_id", "left").withColumn(
+        "floor", F.coalesce(floor, F.lit(-2.0))
     )
+    further = with_reachable_cells(eager.drop("_worst"), pivots, skip_home=True)
+    return at_home.unionByName(visit(further))
 
 
 def match_edges(rows: DataFrame, threshold: float) -> DataFrame:
@@ -347,8 +396,10 @@ def match_edges(rows: DataFrame, threshold: float) -> DataFrame:
             return spark.createDataFrame([], EDGE_SCHEMA)
         return _broadcast_edges(rows, table)
 
-    pivots = choose_pivots(rows, limits.pivots)
-    half = F.lit((np.arccos(min(1.0, threshold)) - _SLACK) / 2)
+    core_angle = float(np.arccos(min(1.0, threshold)) - _SLACK) / 2
+    count = _pivot_count(_large_parts(rows, limits.block_rows), limits)
+    pivots = choose_pivots(rows, max(count, min(16, limits.pivots)), max(core_angle, 0.0) / 2)
+    half = F.lit(core_angle)
     homed = with_cell(rows.select("id", "part", "vec"), pivots)
     homed = materialize(homed.withColumn("core", F.col("angle") < half), "cell-rows")
     leaders = homed.filter("core").groupBy("part", "cell").agg(F.min("id").alias("leader"))
@@ -377,16 +428,10 @@ def match_edges(rows: DataFrame, threshold: float) -> DataFrame:
         .withColumn("core", F.explode(F.array(F.lit(True), F.lit(False))))
         .filter((F.col("cell") > F.col("home_cell")) | ~F.col("home_core"))
         .withColumn("part", F.struct(F.col("home").alias("part"), F.col("core")))
-        .join(extent, ["part", "cell"])
-        .filter(
-            (F.col("angle") - F.col("reach") <= F.col("_outer"))
-            & (F.col("angle") + F.col("reach") >= F.col("_inner"))
-        )
-        .select(
-            "query_id", "part", "cell", "vec", "threshold", F.lit(1).alias("limit"),
-            _blocks(F.col("_rows"), limits.block_rows).alias("_nsub"),
-        )
+        .select("query_id", "part", "cell", "vec", "threshold", F.lit(1).alias("limit"),
+                "angle", "reach")
     )
+    routed = _within_reach(routed, extent, limits)
     flat = F.concat_ws("\u0001", F.col("part.part"), F.col("part.core").cast("string"))
     routed = materialize(routed.withColumn("part", flat), "cell-probes")
     left, right = _with_blocks(sided.withColumn("part", flat), routed, limits)
