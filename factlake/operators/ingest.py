@@ -107,10 +107,15 @@ def import_decisions(
     and one accepted such item, so rounds never list pairs.
     """
     stored = filters.active(filters.by_project(memory, project_id))
-    # A text that repeats an earlier one exactly is always skipped.
-    first = batch.groupBy("content").agg(F.min("ordinal").alias("ordinal"))
+    # An item whose vector repeats an earlier one exactly is always skipped:
+    # what decided the earlier one decides it too, or the earlier one itself.
+    fingerprint = F.sha2(F.to_json("embedding"), 256)
+    first = materialize(
+        batch.groupBy(fingerprint).agg(F.min("ordinal").alias("ordinal")).select("ordinal"),
+        "import-first",
+    )
     items = materialize(
-        batch.join(first, ["content", "ordinal"], "left_semi").select(
+        batch.join(first, "ordinal", "left_semi").select(
             F.col("ordinal").cast("string").alias("query_id"), "ordinal",
             F.lit(project_id).alias("part"), F.col("embedding").alias("vec"),
         ),

@@ -613,18 +613,53 @@ def _(spark, sf):
     return ingest.decide_action(candidates, matches).select("candidate_id", "match_id", "action")
 
 
+def _turns(spark, sf):
+    """The turns of all conversations as entries of an import, with their vectors."""
+    return facts.incoming(spark, sf).select(
+        F.col("candidate_id").alias("ordinal"), "content", F.array(F.lit("turn")).alias("tags"),
+        F.lit(None).cast("string").alias("repo"), F.lit(None).cast("string").alias("importance"),
+        "embedding")
+
+
 def _import(spark, sf):
+    return ingest.import_batch(
+        facts.memory(spark, sf), _turns(spark, sf), "proj-1", "bob/debugger", AS_OF,
+        on_invalid="drop")
+
+
+@query("mut03_import_batch", """
+SELECT ordinal, CASE WHEN accepted THEN 'imported' ELSE 'skipped' END AS outcome FROM imported
+UNION ALL SELECT candidate_id, 'error' FROM incoming
+WHERE trim(content) = '' OR length(content) > 2000""", "imported")
+def _(spark, sf):
+    return _import(spark, sf)[1].select("ordinal", "outcome")
+
+
+_AFTER_IMPORT = """
+SELECT project_id, md5(content) AS content_md5, created_by, array_to_string(tags, ',') AS tags FROM memory
+UNION ALL SELECT 'proj-1', md5(content), 'bob/debugger',
+  CASE WHEN other IS NULL THEN 'turn' ELSE 'turn,corroborated' END FROM imported WHERE accepted"""
+
+
+def _after_import(df):
+    return df.select("project_id", F.md5("content").alias("content_md5"), "created_by",
+                     F.array_join("tags", ",").alias("tags"))
+
+
+@query("mut03_import_rows", _AFTER_IMPORT, "imported")
+def _(spark, sf):
+    return _after_import(_import(spark, sf)[0])
+
+
+@query("mut03_import_texts")
+def _(spark, sf):
     entries = facts.table(spark, sf, "documents").select(
         F.col("doc_id").alias("ordinal"), F.col("text").alias("content"),
         F.array("lang").alias("tags"), F.col("source").alias("repo"),
         F.lit(None).cast("string").alias("importance"))
     return ingest.import_batch(
-        facts.text_memory(spark, sf), entries, "proj-0", "alice/architect", AS_OF, on_invalid="drop")
-
-
-@query("mut03_import_batch")
-def _(spark, sf):
-    return _import(spark, sf)[1]
+        facts.text_memory(spark, sf), entries, "proj-0", "alice/architect", AS_OF,
+        on_invalid="drop")[1]
 
 
 @query("mut04_touch", sql_state({
@@ -918,7 +953,11 @@ def _(spark, sf):
         **{c: F.round(c, 6) for c in ("mean_ms", "p50_ms", "p95_ms", "error_rate")}})
 
 
-@query("agg17_import_summary")
+@query("agg17_import_summary", """
+SELECT (SELECT count(*) FROM imported WHERE accepted) AS imported,
+  (SELECT count(*) FROM imported WHERE NOT accepted) AS skipped,
+  (SELECT count(*) FROM incoming WHERE trim(content) = '' OR length(content) > 2000) AS errors""",
+       "imported")
 def _(spark, sf):
     return ingest.import_summary(_import(spark, sf)[1])
 
@@ -1156,19 +1195,15 @@ def _(spark, sf):
     return latest.select("id", "v.hits", ts("v.last_ts").alias("last_ts"))
 
 
-@query("str02_stream_import")
+@query("str02_stream_import", _AFTER_IMPORT, "imported")
 def _(spark, sf):
     root = fresh_path(spark, "live")
-    tables.write_snapshot(facts.text_memory(spark, sf), root)
-    entries = facts.table(spark, sf, "conversations").select(
-        (F.col("conv_id") * 1000 + F.col("turn")).alias("ordinal"), F.col("text").alias("content"),
-        F.array("role").alias("tags"), F.lit(None).cast("string").alias("repo"),
-        F.lit(None).cast("string").alias("importance"))
-    stream = _streamed(spark, entries, "entries", "ordinal")
+    tables.write_snapshot(facts.memory(spark, sf), root)
+    stream = _streamed(spark, _turns(spark, sf), "entries", "ordinal")
     streams.import_stream(
         stream, root, fresh_path(spark, "import-state"), "proj-1", "bob/debugger", AS_OF
     ).awaitTermination()
-    return state(tables.read_snapshot(spark, root))
+    return _after_import(tables.read_snapshot(spark, root))
 
 
 @query("str03_stream_archive_sweep", f"""

@@ -124,6 +124,38 @@ dedup AS (
       FROM incoming i JOIN stored m ON m.project_id = i.project_id)
     WHERE similarity > 0.95)
   WHERE rank <= 3)""",
+    # The turns imported one after the other by one author, step by step.
+    "imported": r"""
+valid AS (
+  SELECT candidate_id AS ordinal, content, cvec,
+         row_number() OVER (ORDER BY candidate_id) AS n
+  FROM incoming WHERE trim(content) <> '' AND length(content) <= 2000),
+best AS (
+  SELECT v.n,
+    max(round(list_cosine_similarity(s.embedding, v.cvec), 9)) FILTER (s.created_by = 'bob/debugger') AS own,
+    max(round(list_cosine_similarity(s.embedding, v.cvec), 9)) FILTER (s.created_by <> 'bob/debugger') AS other
+  FROM valid v JOIN stored s ON s.project_id = 'proj-1'
+    AND round(list_cosine_similarity(s.embedding, v.cvec), 9) > 0.95
+  GROUP BY v.n),
+earlier AS (
+  SELECT i.n, list(j.n) AS blockers
+  FROM valid i JOIN valid j ON j.n < i.n LEFT JOIN best b ON b.n = i.n
+  WHERE round(list_cosine_similarity(i.cvec, j.cvec), 9) > 0.95
+    AND round(list_cosine_similarity(i.cvec, j.cvec), 9) >= coalesce(b.other, -1)
+  GROUP BY i.n),
+item AS (
+  SELECT v.n, v.ordinal, v.content, b.other, coalesce(e.blockers, []) AS blockers,
+         coalesce(b.own >= coalesce(b.other, -1), false) AS known
+  FROM valid v LEFT JOIN best b USING (n) LEFT JOIN earlier e USING (n)),
+walk AS (
+  SELECT 0::bigint AS n, []::bigint[] AS accepted
+  UNION ALL
+  SELECT i.n, CASE WHEN i.known OR list_has_any(w.accepted, i.blockers) THEN w.accepted
+                   ELSE list_append(w.accepted, i.n) END
+  FROM walk w JOIN item i ON i.n = w.n + 1),
+final AS (SELECT accepted FROM walk ORDER BY n DESC LIMIT 1),
+imported AS (
+  SELECT i.*, list_contains((SELECT accepted FROM final), i.n) AS accepted FROM item i)""",
     "changes": """
 changes AS (
   SELECT event_id AS seq, ts, user_id, 'agent/' || user_id AS agent,
@@ -152,6 +184,7 @@ _NEEDS = {
     "hybrid_ranked": ("scored",),
     "pairs": ("memory",),
     "dedup": ("memory", "incoming"),
+    "imported": ("dedup",),
 }
 
 
