@@ -678,7 +678,7 @@ def _(spark, sf):
     "last_accessed_at": sql_ts("greatest(m.last_accessed_at, coalesce(f.last_ts, m.last_accessed_at))"),
 }, "memory m LEFT JOIN folded f ON f.id = m.id"), "memory")
 def _(spark, sf):
-    n = facts._size(spark, sf, "documents")
+    n = facts.size(spark, sf, "documents")
     touches = facts.table(spark, sf, "events").select(
         F.col("user_id").alias("call_id"), "ts",
         F.md5((F.col("event_id") * 3 % n).cast("string")).alias("id"))

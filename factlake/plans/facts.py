@@ -26,7 +26,7 @@ def _view(spark: SparkSession, sf_dir: str, *names: str) -> dict[str, DataFrame]
 _SIZES: dict[str, int] = {}
 
 
-def _size(spark: SparkSession, sf_dir: str, name: str) -> int:
+def size(spark: SparkSession, sf_dir: str, name: str) -> int:
     """Rows of a table, counted once."""
     key = f"{sf_dir}/{name}"
     if key not in _SIZES:
@@ -44,7 +44,7 @@ def accesses(spark: SparkSession, sf_dir: str) -> DataFrame:
         FROM {events} WHERE event_type = 'click'
         """,
         **t,
-        n_documents=_size(spark, sf_dir, "documents"),
+        n_documents=size(spark, sf_dir, "documents"),
     )
 
 
@@ -90,7 +90,7 @@ def memory(spark: SparkSession, sf_dir: str) -> DataFrame:
         LEFT JOIN {touched} t ON t.id = d.id
         """,
         **t,
-        n_embeddings=_size(spark, sf_dir, "embeddings"),
+        n_embeddings=size(spark, sf_dir, "embeddings"),
     )
     return with_identity(facts)
 
@@ -149,7 +149,7 @@ def questions(spark: SparkSession, sf_dir: str) -> DataFrame:
         FROM q JOIN {embeddings} e ON e.vec_id = q.v % {n_embeddings}
         """,
         **t,
-        n_embeddings=_size(spark, sf_dir, "embeddings"),
+        n_embeddings=size(spark, sf_dir, "embeddings"),
     )
 
 
@@ -166,7 +166,7 @@ def incoming(spark: SparkSession, sf_dir: str) -> DataFrame:
           ON e.vec_id = (c.conv_id * 8 + c.turn) % {n_embeddings}
         """,
         **t,
-        n_embeddings=_size(spark, sf_dir, "embeddings"),
+        n_embeddings=size(spark, sf_dir, "embeddings"),
     )
 
 
@@ -189,7 +189,7 @@ def changes(spark: SparkSession, sf_dir: str) -> DataFrame:
         FROM {events}
         """,
         **t,
-        n_documents=_size(spark, sf_dir, "documents"),
+        n_documents=size(spark, sf_dir, "documents"),
     )
 
 
