@@ -54,7 +54,8 @@ def sql_ts(column: str) -> str:
 
 
 def sim(column: str = "similarity") -> Column:
-    return F.round(column, 6).alias("similarity")
+    """Similarities have nine decimals already; rounding twice would make ties."""
+    return F.col(column).alias("similarity")
 
 
 def state(df: DataFrame) -> DataFrame:
@@ -286,7 +287,7 @@ def _result(df):
 
 
 @query("prj03_to_recall_rows", _RESULT.format(
-    similarity="coalesce(round(similarity, 6), 0)", archived="m.archived", ranked="hybrid_ranked"),
+    similarity="coalesce(similarity, 0)", archived="m.archived", ranked="hybrid_ranked"),
     "hybrid_ranked")
 def _(spark, sf):
     found = search.hybrid_recall(facts.memory(spark, sf), facts.questions(spark, sf))
@@ -324,7 +325,7 @@ def _(spark, sf):
 
 
 @query("prj05_promote_view", _RESULT.format(
-    similarity="round(similarity, 6)", archived="false", ranked="vector_ranked"), "vector_ranked")
+    similarity="similarity", archived="false", ranked="vector_ranked"), "vector_ranked")
 def _(spark, sf):
     found = search.recall_batch(facts.memory(spark, sf), facts.questions(spark, sf))
     return _result(projections.promote_view(found))
@@ -363,7 +364,7 @@ list_has_all(regexp_extract_all(lower(content), '[\p{L}\p{N}]+'), ['the', 'and',
 WITH e AS (SELECT vec_id, label, embedding::double[] AS v FROM embeddings),
 p AS (SELECT a.vec_id, round(list_cosine_similarity(a.v, b.v), 9) AS s
       FROM e a JOIN e b ON b.vec_id = a.vec_id + 1)
-SELECT vec_id, round(s, 6) AS similarity FROM p WHERE s > 0.05""")
+SELECT vec_id, s AS similarity FROM p WHERE s > 0.05""")
 def _(spark, sf):
     return filters.above_similarity(_neighbours(spark, sf), 0.05).select("vec_id", sim())
 
@@ -438,7 +439,7 @@ def _vector(spark, sf, vec_id: int = 204) -> list[float]:
     AND project_id = 'proj-0' AND NOT archived),
 s AS (SELECT m.id, m.created_by, round(list_cosine_similarity(m.embedding, e.embedding::double[]), 9) AS x
   FROM usable m, embeddings e WHERE e.vec_id = 204)
-SELECT id, created_by, round(x, 6) AS similarity FROM s WHERE x > 0.2 ORDER BY x DESC, id LIMIT 10""",
+SELECT id, created_by, x AS similarity FROM s WHERE x > 0.2 ORDER BY x DESC, id LIMIT 10""",
        "memory")
 def _(spark, sf):
     found = search.recall(facts.memory(spark, sf), _vector(spark, sf), "proj-0", threshold=0.2)
@@ -446,13 +447,13 @@ def _(spark, sf):
 
 
 @query("jn02_recall_batch", _RESULT.format(
-    similarity="round(similarity, 6)", archived="m.archived", ranked="vector_ranked"), "vector_ranked")
+    similarity="similarity", archived="m.archived", ranked="vector_ranked"), "vector_ranked")
 def _(spark, sf):
     return _result(search.recall_batch(facts.memory(spark, sf), facts.questions(spark, sf)))
 
 
 @query("jn03_hybrid_recall", _RESULT.format(
-    similarity="round(similarity, 6)", archived="m.archived", ranked="hybrid_ranked"), "hybrid_ranked")
+    similarity="similarity", archived="m.archived", ranked="hybrid_ranked"), "hybrid_ranked")
 def _(spark, sf):
     return _result(search.hybrid_recall(facts.memory(spark, sf), facts.questions(spark, sf)))
 
@@ -473,7 +474,7 @@ def _(spark, sf):
 
 
 @query("jn05_dedup_check", """
-SELECT candidate_id, rank, id, round(similarity, 6) AS similarity, created_by FROM dedup""", "dedup")
+SELECT candidate_id, rank, id, similarity, created_by FROM dedup""", "dedup")
 def _(spark, sf):
     found = search.dedup_check(facts.memory(spark, sf), facts.incoming(spark, sf))
     return found.select("candidate_id", F.col("rank").cast("long").alias("rank"), "id", sim(), "created_by")
@@ -482,7 +483,7 @@ def _(spark, sf):
 @query("jn06_near_duplicates", """
 , ranked AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY similarity DESC, match_id) AS rank
              FROM pairs)
-SELECT id, rank, match_id, round(similarity, 6) AS similarity FROM ranked WHERE rank <= 3""", "pairs")
+SELECT id, rank, match_id, similarity FROM ranked WHERE rank <= 3""", "pairs")
 def _(spark, sf):
     return duplicates.near_duplicates(facts.memory(spark, sf)).select(
         "id", F.col("rank").cast("long").alias("rank"), "match_id", sim())
@@ -504,7 +505,7 @@ def _(spark, sf):
 
 
 @query("jn08_ann_all_cells", _RESULT.format(
-    similarity="round(similarity, 6)", archived="m.archived", ranked="vector_ranked"), "vector_ranked")
+    similarity="similarity", archived="m.archived", ranked="vector_ranked"), "vector_ranked")
 def _(spark, sf):
     return _result(ann.ann_recall(
         facts.memory(spark, sf), facts.questions(spark, sf), n_cells=8, n_probe=8))
@@ -556,7 +557,7 @@ def _(spark, sf):
 , ranked AS (SELECT *, row_number() OVER (
     PARTITION BY id, other_author ORDER BY similarity DESC, match_id) AS n
   FROM pairs WHERE other_author <> created_by)
-SELECT id, project_id, created_by, other_author, match_id, round(similarity, 6) AS similarity
+SELECT id, project_id, created_by, other_author, match_id, similarity
 FROM ranked WHERE n = 1""", "pairs")
 def _(spark, sf):
     return duplicates.cross_agent_corroboration(facts.memory(spark, sf)).withColumn("similarity", sim())
@@ -965,7 +966,7 @@ def _(spark, sf):
 # --- windows, sorts, paging ----------------------------------------------------------------------
 
 @query("win01_rank_per_query",
-       "SELECT query_id, rank, id, round(similarity, 6) AS similarity FROM hybrid_ranked", "hybrid_ranked")
+       "SELECT query_id, rank, id, similarity FROM hybrid_ranked", "hybrid_ranked")
 def _(spark, sf):
     found = search.hybrid_recall(facts.memory(spark, sf), facts.questions(spark, sf))
     return found.select("query_id", F.col("rank").cast("long").alias("rank"), "id", sim())
@@ -1038,7 +1039,7 @@ def _(spark, sf):
 
 @query("scl01_cosine_similarity", """
 WITH e AS (SELECT vec_id, embedding::double[] AS v FROM embeddings)
-SELECT a.vec_id, round(list_cosine_similarity(a.v, b.v), 6) AS similarity
+SELECT a.vec_id, round(list_cosine_similarity(a.v, b.v), 9) AS similarity
 FROM e a JOIN e b ON b.vec_id = a.vec_id + 1""")
 def _(spark, sf):
     return _neighbours(spark, sf).select("vec_id", sim())
@@ -1277,7 +1278,7 @@ def _(spark, sf):
 WITH e AS (SELECT vec_id, embedding::double[] AS v FROM embeddings),
 s AS (SELECT a.vec_id, b.vec_id AS other, round(list_cosine_similarity(a.v, b.v), 9) AS x
       FROM e a JOIN e b ON a.vec_id <> b.vec_id)
-SELECT vec_id, other, round(x, 6) AS similarity FROM (
+SELECT vec_id, other, x AS similarity FROM (
   SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY x DESC, cast(other AS varchar)) AS n FROM s)
 WHERE n <= 5""")
 def _(spark, sf):
@@ -1303,13 +1304,13 @@ def _(spark, sf):
     AND project_id = 'proj-0' AND NOT archived AND engineer = 'alice'),
 s AS (SELECT m.id, round(list_cosine_similarity(m.embedding, e.embedding::double[]), 9) AS x
   FROM usable m, embeddings e WHERE e.vec_id = 204)
-SELECT id, round(x, 6) AS similarity FROM s WHERE x > 0.1 ORDER BY x DESC, id LIMIT 25""", "memory")
+SELECT id, x AS similarity FROM s WHERE x > 0.1 ORDER BY x DESC, id LIMIT 25""", "memory")
 def _(spark, sf):
     facts.memory(spark, sf).createOrReplaceTempView("memory")
     sql_functions.register(spark)
     vector = ", ".join(f"float('{x!r}')" for x in _vector(spark, sf))
     return spark.sql(f"""
-        SELECT id, round(similarity, 6) AS similarity
+        SELECT id, similarity
         FROM recall('proj-0', array({vector}), 25, 0.1D, p_engineer => 'alice')""")
 
 
@@ -1318,12 +1319,12 @@ def _(spark, sf):
     AND project_id = 'proj-0' AND NOT archived),
 s AS (SELECT m.id, m.created_by, round(list_cosine_similarity(m.embedding, e.embedding::double[]), 9) AS x
   FROM usable m, embeddings e WHERE e.vec_id = 7)
-SELECT id, created_by, round(x, 6) AS similarity FROM s WHERE x > 0.2 ORDER BY x DESC, id LIMIT 3""",
+SELECT id, created_by, x AS similarity FROM s WHERE x > 0.2 ORDER BY x DESC, id LIMIT 3""",
        "memory")
 def _(spark, sf):
     facts.memory(spark, sf).createOrReplaceTempView("memory")
     sql_functions.register(spark)
     vector = ", ".join(f"float('{x!r}')" for x in _vector(spark, sf, 7))
     return spark.sql(f"""
-        SELECT id, created_by, round(similarity, 6) AS similarity
+        SELECT id, created_by, similarity
         FROM dedup_check('proj-0', array({vector}), 0.2D)""")

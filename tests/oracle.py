@@ -28,8 +28,8 @@ def normal(df: pd.DataFrame) -> pd.DataFrame:
     for column in df.columns:
         values = df[column]
         if values.dtype.kind == "f":
-            values = values.round(6)
-        df[column] = values.map(lambda v: "<null>" if pd.isna(v) else f"{v:g}" if isinstance(v, float)
+            values = values.round(9)
+        df[column] = values.map(lambda v: "<null>" if pd.isna(v) else f"{v:.9g}" if isinstance(v, float)
                                 else str(v))
     return df.sort_values(list(df.columns)).reset_index(drop=True)
 
