@@ -23,3 +23,24 @@ def op1_ngram_jaccard(spark, sf_dir):
     from factlake.llm.ngram_jaccard_join import ngram_jaccard_components
 
     return ngram_jaccard_components(table(spark, sf_dir, "documents"))
+
+
+@query
+def op6_pii(spark, sf_dir):
+    from factlake.llm.pii_boosting import find_personal_data, pii_digest
+
+    return pii_digest(find_personal_data(table(spark, sf_dir, "documents")))
+
+
+@query
+def op7_secrets(spark, sf_dir):
+    from factlake.llm.secret_ledger import scan_history, secret_digest
+
+    return secret_digest(scan_history(table(spark, sf_dir, "documents")))
+
+
+@query
+def op10_decontaminate(spark, sf_dir):
+    from factlake.llm.decontaminate import contamination
+
+    return contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
