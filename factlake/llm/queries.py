@@ -44,3 +44,10 @@ def op10_decontaminate(spark, sf_dir):
     from factlake.llm.decontaminate import contamination
 
     return contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+@query
+def op2_packing(spark, sf_dir):
+    from factlake.llm.packing import pack_documents
+
+    return pack_documents(table(spark, sf_dir, "documents"), with_ids=False)
