@@ -51,3 +51,10 @@ def op2_packing(spark, sf_dir):
     from factlake.llm.packing import pack_documents
 
     return pack_documents(table(spark, sf_dir, "documents"), with_ids=False)
+
+
+@query
+def op8_language(spark, sf_dir):
+    from factlake.llm.language_ppm import predict_language
+
+    return predict_language(table(spark, sf_dir, "documents"))
