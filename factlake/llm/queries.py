@@ -58,3 +58,10 @@ def op8_language(spark, sf_dir):
     from factlake.llm.language_ppm import predict_language
 
     return predict_language(table(spark, sf_dir, "documents"))
+
+
+@query
+def op3_toxicity(spark, sf_dir):
+    from factlake.llm.toxicity_ftrl import score_toxicity
+
+    return score_toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
