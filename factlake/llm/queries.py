@@ -65,3 +65,10 @@ def op3_toxicity(spark, sf_dir):
     from factlake.llm.toxicity_ftrl import score_toxicity
 
     return score_toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+@query
+def op5_collision_ann(spark, sf_dir):
+    from factlake.llm.collision_ann import nearest_neighbours
+
+    return nearest_neighbours(table(spark, sf_dir, "embeddings"))
