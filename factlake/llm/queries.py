@@ -72,3 +72,10 @@ def op5_collision_ann(spark, sf_dir):
     from factlake.llm.collision_ann import nearest_neighbours
 
     return nearest_neighbours(table(spark, sf_dir, "embeddings"))
+
+
+@query
+def op4_wrapper_induction(spark, sf_dir):
+    from factlake.llm.wrapper_induction import extract_main_text
+
+    return extract_main_text(table(spark, sf_dir, "pages"))
