@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 # Texts are worked on together until a chunk has this many bytes.
-CHUNK_BYTES = 4 << 20
+CHUNK_BYTES = 1 << 19
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -56,20 +56,6 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
-_POWERS = np.ones(1, dtype=np.uint64)
-_BASE = np.uint64(0x9E3779B97F4A7C15)
-
-
-def _powers(n: int) -> np.ndarray:
-    global _POWERS
-    if len(_POWERS) < n:
-        size = max(n, 2 * len(_POWERS), 256)
-        grown = np.full(size, _BASE, dtype=np.uint64)
-        grown[0] = 1
-        _POWERS = np.cumprod(grown, dtype=np.uint64)
-    return _POWERS
-
-
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 _SPACE = np.zeros(256, dtype=bool)
@@ -81,17 +67,31 @@ def word_hashes(texts: list, separator: np.ndarray = _SPACE) -> tuple[np.ndarray
 
     Words are what lies between the separator bytes, with A-Z lower-cased.
     """
-    data = np.frombuffer(b" ".join(t or b"" for t in texts) + b" ", dtype=np.uint8)
-    data = _LOWER[data]
+    joined = b" ".join([b"", *(t or b"" for t in texts), b" " * 8])
+    data = np.frombuffer(joined, dtype=np.uint8)
     inside = ~separator[data]
-    edge = np.diff(inside.view(np.int8), prepend=np.int8(0))
-    starts, ends = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
-    ends_of_text = np.cumsum([len(t or b"") + 1 for t in texts]) if texts else np.zeros(0, np.int64)
-    offsets = np.concatenate([[0], np.searchsorted(starts, ends_of_text)])
-    if not len(starts):
-        return np.zeros(0, dtype=np.uint64), offsets
+    # The text begins and ends outside of words, so edges are starts and ends in turn.
+    edges = np.flatnonzero(inside[1:] != inside[:-1]) + 1
+    starts, ends = edges[::2], edges[1::2]
+    ends_of_text = np.cumsum([1, *(len(t or b"") + 1 for t in texts)])
+    offsets = np.searchsorted(starts, ends_of_text)
+    data = _LOWER[data]
+    eight = np.ndarray((len(data) - 7,), dtype="<u8", buffer=data, strides=(1,))
     lengths = ends - starts
-    first = np.cumsum(lengths) - lengths
-    place = np.arange(int(lengths.sum())) - np.repeat(first, lengths)
-    letters = (data[inside].astype(np.uint64) + np.uint64(1)) * _powers(int(lengths.max()) + 1)[place]
-    return mix(np.add.reduceat(letters, first) + mix(lengths.astype(np.uint64))), offsets
+    hashes = mix((eight[starts] & _MASK[np.minimum(lengths, 8)]) ^ _mixed_lengths(lengths))
+    at, done = np.flatnonzero(lengths > 8), 8
+    while len(at):
+        part = eight[starts[at] + done] & _MASK[np.minimum(lengths[at] - done, 8)]
+        hashes[at] = mix(hashes[at] * _ODD + part)
+        done += 8
+        at = at[lengths[at] > done]
+    return hashes, offsets
+
+
+_ODD = np.uint64(0x9E3779B97F4A7C15)
+_MASK = np.array([(1 << 8 * n) - 1 for n in range(9)], dtype=np.uint64)
+_LENGTHS = mix(np.arange(1024, dtype=np.uint64))
+
+
+def _mixed_lengths(lengths: np.ndarray) -> np.ndarray:
+    return _LENGTHS[np.minimum(lengths, len(_LENGTHS) - 1)]

@@ -6,9 +6,10 @@ common ones come last. Documents with equal sets are one node. Two sets that
 link share one of their first ``n - ceil(0.85 n) + 1`` shingles; only those
 travel. The join runs in rounds over groups that share such a shingle:
 
-* first each set is tried against the smallest document of its groups, then
-  against neighbours in changing random orders. These rounds only save work:
-  sets that are in one component already are never compared again;
+* first each set is tried against the smallest document of its groups, then,
+  while large groups are left, against neighbours in changing random orders.
+  These rounds only save work: sets that are in one component already are never
+  compared again;
 * then every pair of different components that still shares a first shingle
   and whose number of shared ones does not rule a link out is compared.
 
@@ -45,25 +46,35 @@ COMMON = 1 << 17
 SEEN = 4
 # A block that is verified in one call.
 BLOCK_SETS, BLOCK_SHINGLES = 64, 1 << 18
-ROUNDS = 3
+BUCKET_SHINGLES = 1 << 21
+# Neighbours are tried in at most ROUNDS rounds, while there are more pairs than this per row.
+ROUNDS, PAIRS_PER_ROW = 4, 8
 _FILTER_WORDS = 1 << 17
 
 
+def long_shingles(hashes: np.ndarray, words: int) -> np.ndarray:
+    """The hash of each run of ``words`` words."""
+    n = len(hashes) - words + 1
+    if n <= 0:
+        return hashes[:0]
+    long = hashes[:n].copy()
+    for k in range(1, words):
+        long *= np.uint64(0xD6E8FEB86659FD93)
+        long += hashes[k:n + k]
+    return mix(long)
+
+
 def shingle_sets(texts: list, words: int = WORDS) -> tuple[np.ndarray, np.ndarray]:
     """``hashes, offsets``: each text's distinct shingles, ascending."""
     hashes, offsets = word_hashes(texts)
     counts = np.diff(offsets)
-    long = np.zeros(0, dtype=np.uint64)
-    if len(hashes) >= words:
-        n = len(hashes) - words + 1
-        long = hashes[:n].copy()
-        for k in range(1, words):
-            long = long * np.uint64(0xD6E8FEB86659FD93) + hashes[k:n + k]
-        long = mix(long)
+    long = long_shingles(hashes, words)
     sets = []
     for a, m in zip(offsets[:-1].tolist(), counts.tolist(), strict=True):
         if m >= words:
-            sets.append(np.unique(long[a:a + m - words + 1]))
+            row = np.sort(long[a:a + m - words + 1])
+            new = row[1:] != row[:-1]
+            sets.append(row if new.all() else row[np.concatenate([[True], new])])
         elif m:
             whole = np.array([m], dtype=np.uint64)
             for h in hashes[a:a + m]:
@@ -76,7 +87,7 @@ def shingle_sets(texts: list, words: int = WORDS) -> tuple[np.ndarray, np.ndarra
 
 
 def _common_in_task(batches, words):
-    """Shingles that at least SEEN documents of a task's run have."""
+    """Shingles seen at least SEEN times in a task's run, and how often."""
     held, size = [], 0
 
     def flush():
@@ -87,7 +98,8 @@ def _common_in_task(batches, words):
         )
 
     for _, texts in chunks(batches, "text"):
-        hashes, _ = shingle_sets(texts, words)
+        # Runs across two texts count too: the order need only be one, not exact.
+        hashes = long_shingles(word_hashes(texts)[0], words)
         held.append(hashes)
         size += len(hashes)
         if size > 4_000_000:
@@ -127,14 +139,18 @@ def _prefixes(batches, words, numerator, order):
         sizes = np.diff(ends)
         counts = order.count(hashes)
         lengths = np.where(sizes > 0, sizes - (numerator * sizes + 99) // 100 + 1, 0)
-        keep, one, two = [], np.zeros(len(sizes), np.uint64), np.zeros(len(sizes), np.uint64)
-        first, second = mix(hashes + np.uint64(1)), mix(hashes ^ np.uint64(0x5851F42D4C957F2D))
-        for i, (a, b) in enumerate(zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True)):
-            row, c = hashes[a:b], counts[a:b]
-            if c.any():
-                row = row[np.argsort(c, kind="stable")]
-            keep.append(row[:lengths[i]])
-            one[i], two[i] = first[a:b].sum(dtype=np.uint64), second[a:b].sum(dtype=np.uint64)
+        filled = np.flatnonzero(sizes)
+        one, two = np.zeros(len(sizes), np.uint64), np.zeros(len(sizes), np.uint64)
+        some = np.zeros(len(sizes), dtype=bool)
+        if len(filled):
+            # Two sums of a finaliser each; empty sets have none.
+            one[filled] = np.add.reduceat(mix(hashes), ends[:-1][filled])
+            two[filled] = np.add.reduceat(mix(hashes ^ np.uint64(0x5851F42D4C957F2D)), ends[:-1][filled])
+            some[filled] = np.logical_or.reduceat(counts > 0, ends[:-1][filled])
+        keep = []
+        for a, b, n, ranked in zip(ends[:-1].tolist(), ends[1:].tolist(), lengths.tolist(), some.tolist(), strict=True):
+            row = hashes[a:b]
+            keep.append((row[np.argsort(counts[a:b], kind="stable")] if ranked else row)[:n])
         flat = np.concatenate(keep) if keep else hashes[:0]
         offsets = np.cumsum([0, *lengths.tolist()]).astype(np.int32)
         yield pa.RecordBatch.from_arrays(
@@ -229,22 +245,28 @@ class TrieWalk:
         return answer
 
 
-def _verify_block(key, frame, numerator):
-    """The links of one block: its probe against a trie of the sets."""
+def _verify_bucket(frame, numerator):
+    """The links of some blocks: each one's probe against a trie of its sets."""
     import pandas as pd
 
-    mine = frame["doc_id"] == frame["probe"]
-    probes = [np.frombuffer(b, dtype=np.uint64) for b in frame.loc[mine, "shingles"]]
-    sets = sorted(
-        ((np.frombuffer(b, dtype=np.uint64), i)
-         for i, b in zip(frame.loc[~mine, "doc_id"], frame.loc[~mine, "shingles"], strict=True)),
-        key=lambda x: x[0].astype(">u8").tobytes(),
-    )
-    found = set()
-    for probe in probes:
-        linked = TrieWalk(probe).linked([s for s, _ in sets], numerator)
-        found.update(i for (_, i), yes in zip(sets, linked, strict=True) if yes)
-    return pd.DataFrame({"src": np.full(len(found), key[0], np.int64), "dst": np.array(sorted(found), np.int64)})
+    blocks: dict = {}
+    for probe, block, doc_id, shingles in zip(
+        frame["probe"].tolist(), frame["block"].tolist(), frame["doc_id"].tolist(), frame["shingles"], strict=True
+    ):
+        probes, sets = blocks.setdefault((probe, block), ([], []))
+        row = np.frombuffer(shingles, dtype=np.uint64)
+        if doc_id == probe:
+            probes.append(row)
+        else:
+            sets.append((row, doc_id))
+    links = set()
+    for (probe, _), (probes, sets) in blocks.items():
+        if len(sets) > 1:
+            sets.sort(key=lambda x: x[0].astype(">u8").tobytes())
+        for one in probes:
+            linked = TrieWalk(one).linked([s for s, _ in sets], numerator)
+            links.update((probe, i) for (_, i), yes in zip(sets, linked, strict=True) if yes)
+    return pd.DataFrame(sorted(links), columns=["src", "dst"], dtype=np.int64)
 
 
 class _Join:
@@ -269,13 +291,17 @@ class _Join:
         """``src, dst`` of those pairs ``probe, doc_id, n`` whose whole sets link."""
         sizes = pairs.groupBy("probe").agg(F.count(F.lit(1)).alias("rows"), F.sum("n").alias("total"))
         blocks = F.ceil(F.greatest(F.col("rows") / BLOCK_SETS, F.col("total") / BLOCK_SHINGLES))
-        dealt = pairs.join(sizes, "probe").select(
-            "probe", F.pmod(F.xxhash64("doc_id"), blocks).alias("block"), "doc_id"
-        )
-        wanted = materialize(
-            dealt.union(dealt.select("probe", "block", F.col("probe").alias("doc_id")).distinct()), "to-verify"
+        dealt = materialize(pairs.join(sizes, "probe").select(
+            "probe", F.pmod(F.xxhash64("doc_id"), blocks).alias("block"), "doc_id", "n"
+        ), "to-verify")
+        wanted = dealt.select("probe", "block", "doc_id").union(
+            dealt.select("probe", "block", F.col("probe").alias("doc_id")).distinct()
         )
         passing = _filter_of(wanted.select("doc_id"))
+        # Whole blocks are taken together, some BUCKET_SHINGLES at a time.
+        total = dealt.agg(F.sum("n")).first()[0] or 0
+        buckets = max(64, -(-total // BUCKET_SHINGLES))
+        bucket = F.pmod(F.xxhash64("probe", "block"), F.lit(buckets)).alias("bucket")
         one, two = _slots()
         sets = self.documents.select("doc_id", "text", one.alias("one"), two.alias("two")).mapInArrow(
             partial(_wanted_sets, words=self.words, order=self.order, passing=passing),
@@ -283,12 +309,10 @@ class _Join:
         )
         numerator = self.numerator
 
-        def verified(key, frame):
-            return _verify_block(key, frame, numerator)
+        def verified(frame):
+            return _verify_bucket(frame, numerator)
 
-        links = wanted.join(sets, "doc_id").groupBy("probe", "block").applyInPandas(
-            verified, "src long, dst long"
-        )
+        links = wanted.join(sets, "doc_id").groupBy(bucket).applyInPandas(verified, "src long, dst long")
         return materialize(links.distinct(), "links")
 
     def possible(self, left: str, right: str, shared):
@@ -327,9 +351,11 @@ def ngram_jaccard_components(documents: DataFrame, words: int = WORDS, numerator
         "doc_id", "n", F.col("hub.doc_id").alias("probe"), F.col("hub.n").alias("m")
     )))
     labels = connected_components(links)
+    mixed = materialize(_mixed(shared, labels), "mixed-groups")
+    few = PAIRS_PER_ROW * shared.count()
     for round_ in range(ROUNDS):
-        mixed = materialize(_mixed(shared, labels), "mixed-groups")
-        if not mixed.limit(1).count():
+        # Pairs that comparing all would meet; while they are many, link neighbours first.
+        if (mixed.agg(F.sum("size")).first()[0] or 0) <= few:
             break
         turn = group.orderBy(F.xxhash64("doc_id", F.lit(round_)), "doc_id")
         beside = mixed.select(
@@ -342,7 +368,7 @@ def ngram_jaccard_components(documents: DataFrame, words: int = WORDS, numerator
             break
         links = materialize(links.union(tried), "links")
         labels = connected_components(links)
-    mixed = materialize(_mixed(shared, labels).drop("lowest", "highest"), "mixed-groups")
+        mixed = materialize(_mixed(shared, labels), "mixed-groups")
     a, b = mixed.alias("a"), mixed.alias("b")
     pairs = (
         a.join(b, F.expr(
@@ -396,5 +422,6 @@ def _mixed(shared: DataFrame, labels: DataFrame) -> DataFrame:
         .withColumn("component", F.coalesce("component", "doc_id"))
         .withColumn("lowest", F.min("component").over(group))
         .withColumn("highest", F.max("component").over(group))
-        .filter("lowest <> highest")
+        .withColumn("size", F.count(F.lit(1)).over(group))
+        .filter("lowest <> highest").drop("lowest", "highest")
     )

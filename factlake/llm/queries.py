@@ -79,3 +79,10 @@ def op4_wrapper_induction(spark, sf_dir):
     from factlake.llm.wrapper_induction import extract_main_text
 
     return extract_main_text(table(spark, sf_dir, "pages"))
+
+
+@query
+def op9_masked_lm(spark, sf_dir):
+    from factlake.llm.masked_lm import score_documents
+
+    return score_documents(table(spark, sf_dir, "documents"))
