@@ -53,11 +53,25 @@ def benchmark_windows(benchmark: DataFrame, size: int = WINDOW) -> tuple[DataFra
     return windows, items
 
 
-def contamination(documents: DataFrame, benchmark: DataFrame, size: int = WINDOW) -> DataFrame:
+def row_key() -> Column:
+    """What a row of documents is known by: equal rows have one key."""
+    return F.xxhash64("doc_id", F.col("text").cast("string"))
+
+
+def clean_documents(documents: DataFrame, benchmark: DataFrame, size: int = WINDOW) -> DataFrame:
+    """The rows of ``documents`` in which no window of the benchmark occurs."""
+    found = contamination(documents, benchmark, size, with_row=True)
+    hit = materialize(found.filter("contaminated").select(F.col("row").alias("hit_row")).distinct(), "contaminated")
+    return documents.join(hit, row_key() == F.col("hit_row"), "left_anti")
+
+
+def contamination(
+    documents: DataFrame, benchmark: DataFrame, size: int = WINDOW, with_row: bool = False,
+) -> DataFrame:
     """``doc_id, n_words, n_hit, n_items, items_sha256, contaminated`` per document."""
     windows, items = benchmark_windows(benchmark, size)
     texts = documents.select(F.col("doc_id").alias("doc_id"), F.col("text").cast("string").alias("text")).withColumn(
-        "row", F.xxhash64("doc_id", "text")
+        "row", row_key()
     )
     # A looser key than the exact lower-casing; what differs is found by the comparison.
     pieces = texts.select("row", _pieces(F.lower("text")).alias("pieces"))
@@ -124,7 +138,7 @@ def contamination(documents: DataFrame, benchmark: DataFrame, size: int = WINDOW
     return found.select("doc_id", "row", F.col("n_words").cast("long"), hit.alias("n_hit")).join(
         listed, "row", "left"
     ).select(
-        "doc_id", "n_words", "n_hit", F.size(ids).cast("long").alias("n_items"),
+        *(["row"] if with_row else []), "doc_id", "n_words", "n_hit", F.size(ids).cast("long").alias("n_items"),
         F.sha2(F.array_join(ids, ",").cast("binary"), 256).alias("items_sha256"),
         (F.col("n_hit") > 0).alias("contaminated"),
     )

@@ -272,3 +272,23 @@ def predict_language(documents: DataFrame, model: PpmModel | None = None) -> Dat
         partial(_score, model=model, key=uuid.uuid4().hex),
         "doc_id long, held_out boolean, lang_pred string, score double",
     )
+
+
+def _keep(batches, model, key, least):
+    """The rows whose text is in a language of the model, by at least this posterior."""
+    if key not in _MODELS:
+        _MODELS.clear()
+        _MODELS[key] = model
+    for batch, texts in chunks(batches, "text"):
+        answers = _MODELS[key].score(texts)
+        yield batch.filter(pa.array([lang != "und" and score >= least for lang, score in answers], type=pa.bool_()))
+
+
+def keep_known_languages(documents: DataFrame, model: PpmModel | None = None, least: float = 0.5) -> DataFrame:
+    """``documents`` without the rows that no language fits: no letter, or no clear winner."""
+    import uuid
+
+    model = model or fit_languages(documents)
+    return documents.mapInArrow(
+        partial(_keep, model=model, key=uuid.uuid4().hex, least=least), documents.schema
+    )

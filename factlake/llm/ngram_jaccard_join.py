@@ -425,3 +425,24 @@ def _mixed(shared: DataFrame, labels: DataFrame) -> DataFrame:
         .withColumn("size", F.count(F.lit(1)).over(group))
         .filter("lowest <> highest").drop("lowest", "highest")
     )
+
+
+def one_of_each_group(documents: DataFrame, words: int = 5, numerator: int = 80) -> DataFrame:
+    """``documents`` with the smallest ``doc_id`` of each component, one row of it.
+
+    Of rows that repeat the id the one with the smallest hash stays. Rows without
+    an id belong to no component and stay, but equal ones once.
+    """
+    components = ngram_jaccard_components(documents, words, numerator)
+    first = components.filter("doc_id = component_id").select(F.col("doc_id").alias("kept_id")).distinct()
+    key = F.xxhash64(*documents.columns)
+    rows = documents.select(F.col("doc_id").cast("long").alias("row_id"), key.alias("row_key"))
+    kept = (
+        rows.groupBy("row_id").agg(F.min("row_key").alias("row_key"))
+        .join(first, F.col("row_id") == F.col("kept_id"), "left_semi").select("row_key")
+        .union(rows.filter("row_id is null").select("row_key")).distinct()
+    )
+    return (
+        documents.withColumn("row_key", key).join(materialize(kept, "kept"), "row_key", "left_semi")
+        .dropDuplicates(["row_key"]).drop("row_key")
+    )

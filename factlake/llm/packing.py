@@ -230,7 +230,7 @@ class _Stream:
         names = [field.split()[0] for field in SCHEMA.split(", ")]
         if self.with_ids:
             columns.append(pa.ListArray.from_arrays(
-                pa.array(bounds.astype(np.int32)), pa.array(self.ids[:done].astype(np.int64))
+                pa.array(bounds.astype(np.int32)), pa.array(self.ids[:done].astype(np.int32))
             ))
             names.append("ids")
         self.sequence += len(cuts)
@@ -281,5 +281,5 @@ def pack_documents(
     )
     return texts.mapInArrow(
         partial(_pack, tokenizer=tokenizer or default_tokenizer(), size=size, end_id=end_id, with_ids=with_ids),
-        SCHEMA + (", ids array<long>" if with_ids else ""),
+        SCHEMA + (", ids array<int>" if with_ids else ""),
     )

@@ -29,7 +29,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from factlake.llm.common import held_out
-from factlake.llm.native import joined, matches, no_spans, spans
+from factlake.llm.native import joined, matches, spans
 from factlake.session import materialize
 
 BASE = ("email", "ip", "card", "phone")
@@ -272,6 +272,3 @@ def pii_digest(selected: DataFrame) -> DataFrame:
         F.sha2(joined(_listed(F.col("base"))).cast("binary"), 256).alias("base_sha256"),
         joined(_listed(F.col("found"))).alias("spans"),
     )
-
-
-__all__ = ["BoostedCells", "calibrated", "candidates", "find_personal_data", "no_spans", "pii_digest"]

@@ -19,7 +19,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from factlake.llm.native import joined, labelled, matches, no_spans, spans
+from factlake.llm.native import joined, labelled, matches, spans
 from factlake.session import fresh_path, materialize
 
 RULES_VERSION = "2"
@@ -148,4 +148,15 @@ def redacted(text: Column, found: Column, mark: str = "[SECRET]") -> Column:
     return F.concat(walked["kept"], F.substring(text, walked["at"] + 1, F.length(text)))
 
 
-__all__ = ["blob_findings", "no_spans", "redacted", "scan_history", "secret_digest"]
+def redact_history(history: DataFrame, ledger: str | None = None, path: str = "doc_id", text: str = "text") -> DataFrame:
+    """``history`` with every span that a rule found replaced in ``text``."""
+    scanned = scan_history(history, ledger, path, text)
+    secrets = materialize(
+        scanned.filter(F.size("found") > 0).groupBy("blob").agg(F.first("found").alias("found"))
+        .select(F.col("blob").alias("secret_blob"), F.col("found").alias("secret_spans")), "secrets"
+    )
+    blob = F.unhex(F.sha2(F.coalesce(F.col(text).cast("string"), F.lit("")).cast("binary"), 256))
+    joined_ = history.join(secrets, blob == F.col("secret_blob"), "left")
+    return joined_.withColumn(text, F.when(
+        F.col("secret_spans").isNotNull(), redacted(F.col(text), F.col("secret_spans"))
+    ).otherwise(F.col(text))).drop("secret_blob", "secret_spans")
