@@ -316,11 +316,15 @@ class _Join:
         return materialize(links.distinct(), "links")
 
     def possible(self, left: str, right: str, shared):
-        """Whether sets of these sizes can link if so many first shingles are shared."""
+        """Whether sets of these sizes can link if so many first shingles are shared.
+
+        A common shingle that is not among the first of both lies behind the
+        first ones of the set whose first ones end earlier, be it either.
+        """
         n, m, top = F.col(left), F.col(right), self.numerator
         rest = lambda size: F.ceil(top * size / 100) - 1  # noqa: E731 - what lies behind the first ones
         need = F.ceil(top * (n + m) / (100 + top))
-        return (100 * F.least(n, m) >= top * F.greatest(n, m)) & (shared + F.least(rest(n), rest(m)) >= need)
+        return (100 * F.least(n, m) >= top * F.greatest(n, m)) & (shared + F.greatest(rest(n), rest(m)) >= need)
 
 
 def ngram_jaccard_components(documents: DataFrame, words: int = WORDS, numerator: int = NUMERATOR) -> DataFrame:
