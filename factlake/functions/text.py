@@ -44,7 +44,7 @@ def stem_english(words: Iterator[pd.Series]) -> Iterator[pd.Series]:
         yield batch.map(lambda ws: None if ws is None else [_cached_stem(w) for w in ws])
 
 
-def lexemes(text: Column, config: str = "simple") -> Column:
+def lexemes(text: Column, config: str = "english") -> Column:
     """Distinct lexemes of a text.
 
     ``simple`` keeps every lower-cased word and stays inside the JVM.

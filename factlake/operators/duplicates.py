@@ -17,7 +17,9 @@ def distinct_vectors(memory: DataFrame) -> tuple[DataFrame, DataFrame]:
     compute alone: no join is needed to tell a fact its vector.  Both tables
     are written, so later joins know their sizes and split hot vectors.
     """
-    rows = filters.active(memory).filter(F.col("embedding").isNotNull()).select(
+    # A vector without a length matches nothing, so it is left out.
+    has_length = F.exists("embedding", lambda x: x != 0)
+    rows = filters.active(memory).filter(F.col("embedding").isNotNull() & has_length).select(
         "id", F.col("project_id").alias("part"), "created_by",
         F.col("embedding").alias("vec"),
     )

@@ -75,7 +75,7 @@ def text_predicate(row_lexemes: Column, query_lexemes: Column) -> Column:
     return (F.size(query_lexemes) > 0) & contains_all(row_lexemes, query_lexemes)
 
 
-def text_match(df: DataFrame, text: str, config: str = "simple") -> DataFrame:
+def text_match(df: DataFrame, text: str, config: str = "english") -> DataFrame:
     found = F.col("tsv") if "tsv" in df.columns else lexemes(F.col("content"), config)
     return df.filter(text_predicate(found, lexemes(F.lit(text), config)))
 
@@ -90,11 +90,10 @@ def normalize_scope(queries: DataFrame) -> DataFrame:
     })
 
 
-def content_reason(content: Column, max_len: int = MAX_CONTENT_LENGTH) -> Column:
-    return (
-        F.when(F.coalesce(trimmed(content), F.lit("")) == "", "CONTENT_EMPTY")
-        .when(utf16_length(content) > max_len, "CONTENT_TOO_LONG")
-    )
+def content_reason(content: Column, max_len: int | None = MAX_CONTENT_LENGTH) -> Column:
+    """Why a content is refused, else NULL; ``max_len=None`` takes any length."""
+    reason = F.when(F.coalesce(trimmed(content), F.lit("")) == "", "CONTENT_EMPTY")
+    return reason if max_len is None else reason.when(utf16_length(content) > max_len, "CONTENT_TOO_LONG")
 
 
 def split_by_reason(df: DataFrame, reason: Column) -> tuple[DataFrame, DataFrame]:

@@ -8,6 +8,7 @@ from factlake.functions.embed import Embedder, embed_column
 from factlake.functions.scalars import append_corroborated, parse_agent_id, pin_on_critical
 from factlake.operators import filters
 from factlake.operators.filters import content_reason, moment
+from factlake.operators.lifecycle import outdated_lexemes
 from factlake.operators.search import similarity_rows
 from factlake.operators.simjoin import best_hits
 from factlake.schema import DEDUP_THRESHOLD, MAX_CONTENT_LENGTH
@@ -69,14 +70,18 @@ def append_memories(memory: DataFrame, rows: DataFrame, as_of) -> DataFrame:
     return memory.unionByName(filled, allowMissingColumns=True)
 
 
-def new_facts(decided: DataFrame) -> DataFrame:
-    """Table rows of the candidates that are to be inserted."""
+def new_facts(decided: DataFrame, as_of) -> DataFrame:
+    """Table rows of the candidates that are to be inserted.
+
+    The moment is part of the id: the same batch, imported again after its
+    facts were archived or forgotten, gets other ids.
+    """
     author = parse_agent_id(F.col("created_by"))
     corroborated = F.col("action") == "insert_corroborated"
     return decided.filter(F.startswith(F.col("action"), F.lit("insert"))).select(
         derived_id(
             F.col("project_id"), F.col("created_by"), F.col("candidate_id").cast("string"),
-            F.col("content"),
+            F.col("content"), F.lit(str(as_of)),
         ).alias("id"),
         "project_id", "content", "embedding", "created_by",
         author["engineer"].alias("engineer"), author["agent_type"].alias("agent_type"),
@@ -109,13 +114,16 @@ def import_decisions(
     stored = filters.active(filters.by_project(memory, project_id))
     # An item whose vector repeats an earlier one exactly is always skipped:
     # what decided the earlier one decides it too, or the earlier one itself.
-    fingerprint = F.sha2(F.to_json("embedding"), 256)
+    # Vectors without a length match nothing, so each of these stays for itself.
+    fingerprint = F.when(
+        F.exists("embedding", lambda x: x != 0), F.sha2(F.to_json("embedding"), 256)
+    ).otherwise(F.concat(F.lit("item "), F.col("ordinal").cast("string")))
     first = materialize(
         batch.groupBy(fingerprint).agg(F.min("ordinal").alias("ordinal")).select("ordinal"),
         "import-first",
     )
     items = materialize(
-        batch.join(first, "ordinal", "left_semi").select(
+        batch.filter(F.col("embedding").isNotNull()).join(first, "ordinal", "left_semi").select(
             F.col("ordinal").cast("string").alias("query_id"), "ordinal",
             F.lit(project_id).alias("part"), F.col("embedding").alias("vec"),
         ),
@@ -175,8 +183,9 @@ def import_decisions(
         .otherwise("skip")
     )
     chosen = state.select("ordinal", action.alias("action"))
-    return batch.select("ordinal").join(chosen, "ordinal", "left").select(
-        "ordinal", F.coalesce("action", F.lit("skip")).alias("action")
+    without = F.when(F.col("embedding").isNull(), "insert").otherwise("skip")
+    return batch.select("ordinal", "embedding").join(chosen, "ordinal", "left").select(
+        "ordinal", F.coalesce("action", without).alias("action")
     )
 
 
@@ -188,14 +197,15 @@ def import_batch(
     as_of,
     embedder: Embedder | None = None,
     threshold: float = DEDUP_THRESHOLD,
-    max_len: int = MAX_CONTENT_LENGTH,
+    max_len: int | None = MAX_CONTENT_LENGTH,
     on_invalid: str = "fail",
 ):
     """(new memory, outcomes) of importing ``entries`` (IMPORT_SCHEMA) in order.
 
     ``on_invalid='fail'`` imports nothing if any content is empty or too long;
-    ``'drop'`` leaves out just those.  Outcomes: ``ordinal, outcome, error``.
-    Entries that bring an ``embedding`` keep it.
+    ``'drop'`` leaves out just those; ``max_len=None`` takes any length.
+    Outcomes: ``ordinal, outcome, error``.  Entries that bring an ``embedding``
+    keep it; the others are embedded.
     """
     if on_invalid not in ("fail", "drop"):
         raise ValueError("on_invalid must be 'fail' or 'drop'")
@@ -206,9 +216,7 @@ def import_batch(
     if on_invalid == "fail" and rejected.limit(1).count():
         return memory, rejected
     valid = checked.filter(F.col("reason").isNull()).drop("reason")
-    if "embedding" not in valid.columns:
-        valid = embed_column(valid, "content", embedder)
-    valid = materialize(valid, "import-batch")
+    valid = materialize(_with_vectors(valid, embedder), "import-batch")
     decided = import_decisions(memory, valid, project_id, agent, threshold)
     decided = materialize(decided, "import-decisions")
     rows = valid.join(decided, "ordinal").withColumns({
@@ -221,7 +229,15 @@ def import_batch(
         F.when(F.col("action") == "skip", "skipped").otherwise("imported").alias("outcome"),
         F.lit(None).cast("string").alias("error"),
     )
-    return append_memories(memory, new_facts(rows), as_of), outcomes.unionByName(rejected)
+    return append_memories(memory, new_facts(rows, as_of), as_of), outcomes.unionByName(rejected)
+
+
+def _with_vectors(rows: DataFrame, embedder: Embedder | None) -> DataFrame:
+    """``rows`` with a vector wherever none was given."""
+    if "embedding" not in rows.columns:
+        return embed_column(rows, "content", embedder)
+    missing = embed_column(rows.filter(F.col("embedding").isNull()), "content", embedder)
+    return rows.filter(F.col("embedding").isNotNull()).unionByName(missing)
 
 
 def import_summary(outcomes: DataFrame) -> DataFrame:
@@ -285,9 +301,7 @@ def remember_batch(
         *([F.min_by("embedding", "seq").alias("embedding")]
           if "embedding" in valid.columns else []),
     )
-    if "embedding" not in merged.columns:
-        merged = embed_column(merged, "content", embedder)
-    merged = materialize(merged, "remember-batch")
+    merged = materialize(_with_vectors(merged, embedder), "remember-batch")
 
     probes = merged.select(
         F.col("candidate_id").cast("string").alias("query_id"),
@@ -318,9 +332,12 @@ def remember_batch(
         *[F.max_by(c, F.when(F.col(c).isNotNull(), F.col("last_seq"))).alias(f"new_{c}")
           for c in ("tags", "repo", "importance")],
     )
+    renewed = F.col("new_content").isNotNull()
     updated = memory.join(
         updates.withColumnRenamed("match_id", "id"), "id", "left"
     ).withColumns({
+        **{name: F.when(renewed, value).otherwise(F.col(name))
+           for name, value in outdated_lexemes(memory).items()},
         "content": F.coalesce("new_content", "content"),
         "embedding": F.coalesce("new_embedding", "embedding"),
         "tags": F.coalesce("new_tags", "tags"),
@@ -329,11 +346,11 @@ def remember_batch(
         "updated_at": F.when(F.col("new_content").isNotNull(), moment(memory, as_of))
         .otherwise(F.col("updated_at")),
     }).select(*memory.columns)
-    inserted = new_facts(decided)
+    inserted = new_facts(decided, as_of)
     target = F.coalesce(
         F.when(F.col("action") == "update", F.col("match_id")),
         derived_id(F.col("project_id"), F.col("created_by"),
-                   F.col("candidate_id").cast("string"), F.col("content")),
+                   F.col("candidate_id").cast("string"), F.col("content"), F.lit(str(as_of))),
     )
     outcome = decided.select(*key, target.alias("id"), "action", "candidate_id")
     report = valid.join(outcome, key).select(

@@ -9,6 +9,7 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401 - pa.compute
 
 from factlake.functions.vectors import SIMILARITY_DECIMALS
 
@@ -25,7 +26,11 @@ def unit_matrix(column) -> tuple[np.ndarray, np.ndarray]:
         column = column.combine_chunks()
     if len(column) == 0:
         return np.zeros((0, 1)), np.zeros(0, dtype=bool)
-    flat = column.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
+    items = column.flatten()
+    # With NULLs or uneven lengths the numbers could shift between rows unseen.
+    if column.null_count or items.null_count or len(set(pa.compute.list_value_length(column).to_pylist())) > 1:
+        raise ValueError("vectors must be given, whole and of one length")
+    flat = items.to_numpy(zero_copy_only=False).astype(np.float64)
     matrix = flat.reshape(len(column), -1)
     norms = np.sqrt(np.einsum("ij,ij->i", matrix, matrix))
     usable = norms > 0
@@ -123,6 +128,10 @@ class BestHits:
         products = vectors[rows] @ probes.vectors[queries].T
         bound = np.maximum(probes.threshold[queries], self.floor[queries]) - 1e-8
         near = products > bound
+        if self.by_order:
+            # Thinning by order keeps the first marked ones, so only hits may be marked.
+            exact = np.round(products, SIMILARITY_DECIMALS)
+            near &= (exact > probes.threshold[queries]) & (exact >= self.floor[queries])
         if scopes is not None:
             near &= scopes[rows][:, probes.scope[queries]]
         if order is not None and probes.before is not None:

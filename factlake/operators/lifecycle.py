@@ -2,7 +2,7 @@
 
 Nothing is changed in place.  Each function returns the next state of the table
 as a plan over the old one plus a report on the ids asked for; a snapshot
-writer (sources/snapshots.py) makes it durable.  A change set joins on the
+writer (sources/tables.py) makes it durable.  A change set joins on the
 unique id, so the fact side has no hot key; a small change set is broadcast by
 the planner on its own.
 """
@@ -137,9 +137,12 @@ def correct(
 
     Only the corrected rows are embedded again.  Report: ``id, status,
     old_content, new_content``; an empty or too long content changes nothing.
+    Of several corrections of an id the last by ``seq`` holds; without that
+    column, the greatest text.
     """
     reason = content_reason(F.col("new_content"), max_len)
-    checked = corrections.select("id", "new_content", reason.alias("reason"))
+    turn = F.struct("seq", "new_content") if "seq" in corrections.columns else F.struct("new_content")
+    checked = corrections.select("id", "new_content", turn.alias("turn"), reason.alias("reason"))
     known = memory.select("id", F.col("content").alias("old_content"))
     report = checked.join(known, "id", "left").select(
         "id",
@@ -148,18 +151,26 @@ def correct(
         ).alias("status"),
         "old_content", "new_content",
     )
-    valid = checked.filter(F.col("reason").isNull()).select("id", "new_content")
+    valid = checked.filter(F.col("reason").isNull()).groupBy("id").agg(
+        F.max("turn").getField("new_content").alias("new_content")
+    )
     vectors = embed_column(valid, "new_content", embedder, output="_vector")
     changes = {
         "content": F.col("new_content"),
         "embedding": F.col("_vector"),
         "updated_at": moment(memory, as_of),
+        **outdated_lexemes(memory),
     }
-    if "tsv" in memory.columns:
-        changes["tsv"] = F.lit(None).cast(memory.schema["tsv"].dataType)
     return _update(memory, vectors, changes), report
 
 
+def outdated_lexemes(memory: DataFrame) -> dict[str, Column]:
+    """What a new content does to stored lexemes: none, until they are refreshed."""
+    if "tsv" not in memory.columns:
+        return {}
+    return {"tsv": F.lit(None).cast(memory.schema["tsv"].dataType)}
+
+
 def re_embed(memory: DataFrame, embedder: Embedder):
     """Move every fact to a new embedding model; facts already on it are kept."""
     if "embedding_model" not in memory.columns:
@@ -175,17 +186,42 @@ def re_embed(memory: DataFrame, embedder: Embedder):
 
 
 def set_tags(memory: DataFrame, edits: DataFrame, as_of):
-    """Add and remove tags (``id, add, remove``); removal wins."""
+    """Add and remove tags (``id, add, remove``); removal wins.
+
+    Several edits of an id apply in the order of ``seq``; without that column
+    they count as one edit.
+    """
     none = F.array().cast("array<string>")
-    tags = F.array_except(
-        F.array_union(F.coalesce("tags", none), F.coalesce("add", none)),
-        F.coalesce("remove", none),
+    marks = _folded_edits(edits)
+    # What was ever removed leaves its old place; what was added after that comes last.
+    tags = F.array_union(
+        F.array_except(F.coalesce("tags", none), F.coalesce("removed", none)), F.coalesce("added", none)
     )
-    marks = edits.select("id", "add", "remove")
     changed = _update(memory, marks, {"tags": tags, "updated_at": moment(memory, as_of)})
     return changed, _report_ids(memory, edits)
 
 
+def _folded_edits(edits: DataFrame) -> DataFrame:
+    """One row per id: tags ever removed, and tags added after their last removal, in order."""
+    none = F.array().cast("array<string>")
+    seq = F.col("seq").cast("long") if "seq" in edits.columns else F.lit(0).cast("long")
+    numbered = edits.select(
+        "id", seq.alias("seq"), F.coalesce("add", none).alias("add"), F.coalesce("remove", none).alias("remove")
+    )
+    steps = numbered.select("id", "seq", F.posexplode("add").alias("at", "tag")).withColumn("kept", F.lit(True)).union(
+        numbered.select("id", "seq", F.posexplode("remove").alias("at", "tag")).withColumn("kept", F.lit(False))
+    )
+    last = steps.filter("not kept").groupBy("id", "tag").agg(F.max("seq").alias("gone"))
+    added = (
+        steps.filter("kept").join(last, ["id", "tag"], "left")
+        .filter(F.col("gone").isNull() | (F.col("seq") > F.col("gone")))
+        .groupBy("id", "tag").agg(F.min(F.struct("seq", "at")).alias("first"))
+        .groupBy("id").agg(F.array_sort(F.collect_list(F.struct("first", "tag"))).getField("tag").alias("added"))
+    )
+    removed = last.groupBy("id").agg(F.collect_set("tag").alias("removed"))
+    return numbered.select("id").distinct().join(added, "id", "left").join(removed, "id", "left")
+
+
 # --- replay -----------------------------------------------------------------------
 
 # Kinds of events that set a flag, and what they set it to.
@@ -224,10 +260,19 @@ def latest_state_per_id(events: DataFrame) -> DataFrame:
     )
 
 
-def replay_events(memory: DataFrame, events: DataFrame):
+def replay_events(memory: DataFrame, events: DataFrame, embedder: Embedder | None = None):
     """The table after an ordered log of pin, unpin, archive, restore, promote,
-    touch, correct and forget events (``id, kind, seq, ts, payload``)."""
+    touch, correct and forget events (``id, kind, seq, ts, payload``).
+
+    A corrected content brings its vector, and its stored lexemes are dropped.
+    """
     state = latest_state_per_id(events)
+    renewed = embed_column(
+        state.filter("new_content is not null").select("id", "new_content"), "new_content", embedder,
+        output="new_vector",
+    ).select("id", "new_vector")
+    state = state.join(renewed, "id", "left")
+    corrected = F.col("new_content").isNotNull()
     stamp = memory.schema["updated_at"].dataType
     joined = memory.join(state, "id", "left").filter(
         ~F.coalesce(F.col("deleted"), F.lit(False))
@@ -236,8 +281,12 @@ def replay_events(memory: DataFrame, events: DataFrame):
         "pinned": F.coalesce("new_pinned", "pinned"),
         "archived": F.coalesce("new_archived", "archived"),
         "content": F.coalesce("new_content", "content"),
+        "embedding": F.when(corrected, F.col("new_vector")).otherwise(F.col("embedding")),
+        **{name: F.when(corrected, value).otherwise(F.col(name))
+           for name, value in outdated_lexemes(memory).items()},
         "updated_at": F.coalesce(F.col("new_updated").cast(stamp), "updated_at"),
-        "last_accessed_at": F.coalesce(F.col("new_accessed").cast(stamp), "last_accessed_at"),
+        # A log may be older than the table; an access never takes time back.
+        "last_accessed_at": F.greatest("last_accessed_at", F.col("new_accessed").cast(stamp)),
         "access_count": (F.col("access_count") + F.coalesce("touches", F.lit(0))).cast("int"),
     }).select(*memory.columns)
     return replayed, _report_ids(memory, events)

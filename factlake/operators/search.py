@@ -44,7 +44,7 @@ def recall(
     repo: str | None = None,
     tags: list[str] | None = None,
     text: str | None = None,
-    config: str = "simple",
+    config: str = "english",
 ) -> DataFrame:
     """The facts most similar to ``vector``, or that contain ``text``.
 
@@ -231,7 +231,7 @@ def with_facts(memory: DataFrame, hits: DataFrame, few: bool) -> DataFrame:
 
 
 def hybrid_recall(
-    memory: DataFrame, queries: DataFrame, config: str | None = "simple"
+    memory: DataFrame, queries: DataFrame, config: str | None = "english"
 ) -> DataFrame:
     """Vector or text search for every query under its own scope and limit.
 
@@ -255,7 +255,7 @@ def recall_batch(memory: DataFrame, queries: DataFrame) -> DataFrame:
     return hybrid_recall(memory, queries, config=None)
 
 
-def recall_with_side_effects(memory: DataFrame, queries: DataFrame, as_of, config: str = "simple"):
+def recall_with_side_effects(memory: DataFrame, queries: DataFrame, as_of, config: str = "english"):
     """(results, new memory): hits are touched, archived ones found become active.
 
     The results show the access fields from before the touch; they are written

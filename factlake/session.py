@@ -38,6 +38,9 @@ def shared_folder(spark: SparkSession) -> str:
     if not folder:
         folder = spark.conf.get("factlake.local.folder", None)
     if not folder:
+        master = spark.sparkContext.master
+        if master != "local" and not master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         folder = tempfile.mkdtemp(prefix="factlake-")
         spark.conf.set("factlake.local.folder", folder)
     return folder.rstrip("/")

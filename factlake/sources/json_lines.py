@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from factlake.functions.scalars import is_importance, trimmed, utf16_length
 from factlake.schema import EVENT_SCHEMA, MAX_CONTENT_LENGTH, TOOL_LOG_SCHEMA
+from factlake.session import materialize
 
 
 def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
@@ -26,9 +27,24 @@ def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
         .withColumn("run", F.floor(F.col("at") / 4096))
     )
     run = ["file", "block", "run"]
-    sizes = span.groupBy(*run).agg(F.count(F.lit(1)).alias("n"))
-    before = Window.orderBy(*run).rowsBetween(Window.unboundedPreceding, -1)
-    starts = sizes.select(*run, F.coalesce(F.sum("n").over(before), F.lit(0)).alias("start"))
+    sizes = materialize(span.groupBy(*run).agg(F.count(F.lit(1)).alias("n")), "line-runs")
+    # Runs inside a block are numbered there, blocks inside their file, files among each other:
+    # only one row per file meets in one place, through a join with the smaller ones.
+    earlier = (Window.unboundedPreceding, -1)
+    in_block = Window.partitionBy("file", "block").orderBy("run").rowsBetween(*earlier)
+    blocks = sizes.groupBy("file", "block").agg(F.sum("n").alias("n"))
+    in_file = Window.partitionBy("file").orderBy("block").rowsBetween(*earlier)
+    files = blocks.groupBy("file").agg(F.sum("n").alias("n"))
+    before = files.alias("f").join(files.alias("g"), F.col("g.file") < F.col("f.file"), "left").groupBy(
+        F.col("f.file").alias("file")
+    ).agg(F.coalesce(F.sum("g.n"), F.lit(0)).alias("file_start"))
+    starts = (
+        sizes.withColumn("run_start", F.coalesce(F.sum("n").over(in_block), F.lit(0)))
+        .join(blocks.withColumn("block_start", F.coalesce(F.sum("n").over(in_file), F.lit(0))).drop("n"),
+              ["file", "block"])
+        .join(before, "file")
+        .select(*run, (F.col("run_start") + F.col("block_start") + F.col("file_start")).alias("start"))
+    )
     inside = Window.partitionBy(*run).orderBy("at")
     return (
         span.withColumn("n", F.row_number().over(inside))
@@ -41,7 +57,7 @@ def _kind(value: Column) -> Column:
     return F.schema_of_variant(value)
 
 
-def parse_import_lines(lines: DataFrame, max_len: int = MAX_CONTENT_LENGTH):
+def parse_import_lines(lines: DataFrame, max_len: int | None = MAX_CONTENT_LENGTH):
     """(entries, warnings) from ``line_no, line`` rows.
 
     A bad line is dropped with one warning; a bad optional field is dropped
@@ -76,9 +92,10 @@ def parse_import_lines(lines: DataFrame, max_len: int = MAX_CONTENT_LENGTH):
         .when(~F.startswith(F.col("top"), F.lit("OBJECT")), "is not a JSON object, skipping")
         .when(F.coalesce(trimmed(F.col("content")), F.lit("")) == "",
               'missing or empty "content" field, skipping')
-        .when(utf16_length(F.col("content")) > max_len,
-              f"content exceeds {max_len} chars, skipping")
     )
+    if max_len is not None:
+        fatal = fatal.when(utf16_length(F.col("content")) > max_len,
+                           f"content exceeds {max_len} chars, skipping")
 
     def complaint(value: str, ok: Column, message: str) -> Column:
         return F.when(F.col(value).isNotNull() & ~F.coalesce(ok, F.lit(False)), message)
@@ -112,8 +129,11 @@ def _has_null_item(column: str) -> Column:
     return F.exists(items, lambda item: item.isNull())
 
 
-def read_import_jsonl(spark: SparkSession, path: str, max_len: int = MAX_CONTENT_LENGTH):
-    """(entries, warnings) of one import file; ordinals are its line numbers."""
+def read_import_jsonl(spark: SparkSession, path: str, max_len: int | None = MAX_CONTENT_LENGTH):
+    """(entries, warnings) of one import file; ordinals are its line numbers.
+
+    ``max_len=None`` takes contents of any length.
+    """
     return parse_import_lines(numbered_lines(spark, path), max_len)
 
 

@@ -8,7 +8,8 @@ from pyspark.sql import types as T
 
 from factlake.operators import filters
 from factlake.operators.listing import union_active_archived
-from factlake.operators.projections import to_api_rows
+from factlake.operators.projections import API_NAMES, to_api_rows
+from factlake.schema import memory_schema
 
 PARTITIONS = ("project_id", "archived")
 
@@ -30,11 +31,13 @@ def scan_memory(
     spark: SparkSession, path: str, project_id: str | None = None, archived: bool | None = None
 ) -> DataFrame:
     """The table, pruned to a project's and state's folders."""
-    df = spark.read.option("basePath", path).parquet(path)
-    df = df.withColumns({
-        "project_id": F.col("project_id").cast("string"),
-        "archived": F.col("archived").cast("boolean"),
-    })
+    found = spark.read.option("basePath", path).parquet(path).schema
+    # Declared, since folder names such as 007 would be taken for numbers.
+    declared = T.StructType([
+        T.StructField(f.name, {"project_id": T.StringType(), "archived": T.BooleanType()}.get(f.name, f.dataType))
+        for f in found.fields
+    ])
+    df = spark.read.schema(declared).option("basePath", path).parquet(path)
     if project_id is not None:
         df = filters.by_project(df, project_id)
     if archived is not None:
@@ -66,6 +69,25 @@ def write_export(exported: DataFrame, path: str) -> None:
     )
 
 
+def restore_export(spark: SparkSession, path: str, timestamp: T.DataType | None = None) -> DataFrame:
+    """The facts of a written export with all their fields, whatever their length.
+
+    Vectors are not exported; ``lifecycle.re_embed`` gives them back.
+    """
+    kinds = memory_schema(timestamp or T.TimestampType())
+    names = {name: column for column, name in API_NAMES.items()}
+    read = T.StructType([
+        T.StructField(name, T.StringType() if isinstance(kinds[column].dataType, (T.TimestampType, T.TimestampNTZType))
+                      else kinds[column].dataType)
+        for name, column in names.items()
+    ])
+    rows = spark.read.schema(read).json(path)
+    return rows.select(*[
+        (F.col(API_NAMES[f.name]) if f.name in API_NAMES else F.lit(None)).cast(f.dataType).alias(f.name)
+        for f in kinds.fields
+    ])
+
+
 # --- snapshots -------------------------------------------------------------------
 
 def _filesystem(spark: SparkSession, path: str):

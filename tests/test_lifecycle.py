@@ -63,10 +63,10 @@ def test_flags_and_forget(spark):
 
 
 def test_correct(spark):
-    memory = refresh_tsv(table(spark, [fact("a", [1, 0], content="old"), fact("b", [1, 0])]))
+    memory = refresh_tsv(table(spark, [fact("a", [1, 0], content="old"), fact("b", [1, 0])]), "simple")
     edits = spark.createDataFrame([("a", "brand new"), ("b", " "), ("zz", "x")], "id string, new_content string")
     after, report = lifecycle.correct(memory, edits, AS_OF)
-    rows = by_id(refresh_tsv(after))
+    rows = by_id(refresh_tsv(after, "simple"))
     assert rows["a"].content == "brand new" and rows["a"].tsv == ["brand", "new"]
     assert rows["a"].created_by == "alice/coder" and len(rows["a"].embedding) == 64
     assert rows["b"].content == "content b"
