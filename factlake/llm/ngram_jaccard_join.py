@@ -36,14 +36,13 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from factlake.llm.common import chunks, mix, word_hashes
-from factlake.operators.duplicates import connected_components
 from factlake.session import materialize
 
 WORDS = 4
 NUMERATOR = 85
-# The shingles ranked as common: at most so many, seen this often in one task.
-COMMON = 1 << 17
-SEEN = 4
+# The shingles ranked as common: at most so many, seen this often in a task's run.
+COMMON = 1 << 20
+SEEN = 2
 # A block that is verified in one call.
 BLOCK_SETS, BLOCK_SHINGLES = 64, 1 << 18
 BUCKET_SHINGLES = 1 << 21
@@ -97,14 +96,16 @@ def _common_in_task(batches, words):
             [pa.array(values[often].view(np.int64)), pa.array(counts[often].astype(np.int64))], ["token", "n"]
         )
 
+    met: set[int] = set()
     for _, texts in chunks(batches, "text"):
-        # Runs across two texts count too: the order need only be one, not exact.
+        # Copies in a run count once. Runs of words across two texts count too: any one order will do.
+        texts = [t for t in texts if t and (h := hash(t)) not in met and not met.add(h)]
         hashes = long_shingles(word_hashes(texts)[0], words)
         held.append(hashes)
         size += len(hashes)
         if size > 4_000_000:
             yield flush()
-            held, size = [], 0
+            held, size, met = [], 0, set()
     if held:
         yield flush()
 
@@ -114,12 +115,13 @@ class _Order:
 
     def __init__(self, common: np.ndarray, counts: np.ndarray):
         order = np.argsort(common)
-        self.common, self.counts = common[order], counts[order]
+        # Frequencies to the nearest power of two are enough to put rare ones first.
+        self.common, self.counts = common[order], np.ceil(np.log2(counts[order] + 1)).astype(np.uint8)
         self.seen = np.zeros(1 << 22, dtype=bool)
         self.seen[self.common & np.uint64((1 << 22) - 1)] = True
 
     def count(self, hashes: np.ndarray) -> np.ndarray:
-        found = np.zeros(len(hashes), dtype=np.int64)
+        found = np.zeros(len(hashes), dtype=np.uint8)
         if len(self.common):
             maybe = np.flatnonzero(self.seen[hashes & np.uint64((1 << 22) - 1)])
             at = np.minimum(np.searchsorted(self.common, hashes[maybe]), len(self.common) - 1)
@@ -354,7 +356,7 @@ def ngram_jaccard_components(documents: DataFrame, words: int = WORDS, numerator
     links = join.verify(_best_probe(join, shared.select(
         "doc_id", "n", F.col("hub.doc_id").alias("probe"), F.col("hub.n").alias("m")
     )))
-    labels = connected_components(links)
+    labels = _components(links)
     mixed = materialize(_mixed(shared, labels), "mixed-groups")
     few = PAIRS_PER_ROW * shared.count()
     for round_ in range(ROUNDS):
@@ -362,16 +364,16 @@ def ngram_jaccard_components(documents: DataFrame, words: int = WORDS, numerator
         if (mixed.agg(F.sum("size")).first()[0] or 0) <= few:
             break
         turn = group.orderBy(F.xxhash64("doc_id", F.lit(round_)), "doc_id")
-        beside = mixed.select(
-            "doc_id", "n", "component", F.lag(F.struct("doc_id", "n", "component")).over(turn).alias("other")
-        ).filter("other.component <> component")
+        beside = mixed.withColumn("others", F.array(*(
+            F.lag(F.struct("doc_id", "n", "component"), k).over(turn) for k in (1, 2, 3)
+        ))).select("doc_id", "n", "component", F.explode("others").alias("other")).filter("other.component <> component")
         tried = join.verify(_best_probe(join, beside.select(
             "doc_id", "n", F.col("other.doc_id").alias("probe"), F.col("other.n").alias("m")
         )))
         if not tried.limit(1).count():
             break
         links = materialize(links.union(tried), "links")
-        labels = connected_components(links)
+        labels = _components(links)
         mixed = materialize(_mixed(shared, labels), "mixed-groups")
     a, b = mixed.alias("a"), mixed.alias("b")
     pairs = (
@@ -386,7 +388,7 @@ def ngram_jaccard_components(documents: DataFrame, words: int = WORDS, numerator
         .filter(join.possible("n", "m", F.col("shared")))
     )
     last = join.verify(pairs.select("probe", "doc_id", "n"))
-    labels = connected_components(links.union(last)) if last.limit(1).count() else labels
+    labels = _components(links.union(last)) if last.limit(1).count() else labels
     named = nodes.join(labels, "node", "left").select(
         *same, F.coalesce("component", "node").alias("component_id")
     )
@@ -450,3 +452,30 @@ def one_of_each_group(documents: DataFrame, words: int = 5, numerator: int = 80)
         documents.withColumn("row_key", key).join(materialize(kept, "kept"), "row_key", "left_semi")
         .dropDuplicates(["row_key"]).drop("row_key")
     )
+
+
+def _components(links: DataFrame) -> DataFrame:
+    """``node, component``: the smallest id reachable over ``src - dst``.
+
+    In each round a node hears its neighbours' labels and its label's label, so
+    long chains close in few rounds; every round is written, which cuts the lineage.
+    """
+    both = materialize(links.select("src", "dst").union(links.select("dst", "src")).distinct(), "edges")
+    labels = both.groupBy(F.col("src").alias("node")).agg(F.min("dst").alias("heard")).select(
+        "node", F.least("node", "heard").alias("component"), F.lit(True).alias("changed")
+    )
+    while True:
+        labels = materialize(labels, "labels")
+        if not labels.filter("changed").limit(1).count():
+            return labels.select("node", "component")
+        known = labels.select("node", "component")
+        heard = (
+            both.join(known, F.col("dst") == F.col("node")).groupBy(F.col("src").alias("node"))
+            .agg(F.min("component").alias("heard"))
+        )
+        onward = known.select(F.col("node").alias("component"), F.col("component").alias("next"))
+        least = F.least("component", "heard", F.coalesce("next", "component"))
+        labels = (
+            known.join(heard, "node", "left").join(onward, "component", "left")
+            .select("node", least.alias("component"), (least < F.col("component")).alias("changed"))
+        )
