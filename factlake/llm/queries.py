@@ -5,12 +5,15 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
-from factlake.llm.common import held_out, table
+from factlake.llm import oracles
+from factlake.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op1_ngram_jaccard": oracles.NGRAM_JACCARD,
+    "op10_decontaminate": oracles.DECONTAMINATE,
+}
 
 
 def query(function):
