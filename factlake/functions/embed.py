@@ -61,26 +61,26 @@ def embed_column(
 ) -> DataFrame:
     """``df`` with a vector of ``text_col``; a blank text fails the job.
 
-    Rows keep their other columns, so no join back is needed.  Split blank
-    texts off first with :func:`split_blank` to report them instead.
+    Only the text travels to Python, the other columns stay where they are.
+    Split blank texts off first with :func:`split_blank` to report them instead.
     """
     model = embedder or HashedWords()
-    schema = T.StructType([f for f in df.schema.fields if f.name != output]).add(output, VECTOR)
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    @F.pandas_udf(VECTOR)
+    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for batch in batches:
-            texts = batch[text_col].tolist()
+            texts = batch.tolist()
             for position, text in enumerate(texts):
                 if text is None or not text.strip():
                     raise ValueError(f"cannot embed an empty text (row {position} of its batch)")
-            vectors = [
+            yield pd.Series([
                 v
                 for start in range(0, len(texts), chunk)
                 for v in model.embed(texts[start:start + chunk]).astype("float32")
-            ]
-            yield batch.assign(**{output: vectors})[schema.fieldNames()]
+            ], dtype=object)
 
-    return spread(df.drop(output)).mapInPandas(run, schema)
+    rows = spread(df.drop(output) if output != text_col else df)
+    return rows.withColumn(output, run(F.col(text_col)))
 
 
 def split_blank(df: DataFrame, text_col: str) -> tuple[DataFrame, DataFrame]:

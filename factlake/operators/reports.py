@@ -1,6 +1,6 @@
 """Statistics of the pool.  With ``project_id=None`` there is one group per project."""
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from factlake.functions.scalars import day_start, days_before
@@ -40,24 +40,30 @@ def stats_counts(memory: DataFrame, project_id: str | None = None) -> DataFrame:
     )
 
 
-def by_engineer(memory: DataFrame, project_id: str | None = None) -> DataFrame:
+def _engineers(rows: DataFrame) -> DataFrame:
     return (
-        filters.active(_rows(memory, project_id))
+        filters.active(rows)
         .groupBy("project_id", F.coalesce("engineer", F.lit("auto")).alias("engineer"))
         .agg(F.count(F.lit(1)).alias("count"), F.count_if("pinned").alias("pinned"))
-        .orderBy("project_id", F.desc("count"), "engineer")
     )
 
 
-def by_repo(memory: DataFrame, project_id: str | None = None) -> DataFrame:
+def _repos(rows: DataFrame) -> DataFrame:
     return (
-        filters.active(_rows(memory, project_id))
+        filters.active(rows)
         .groupBy("project_id", F.coalesce("repo", F.lit("(no repo)")).alias("repo"))
         .agg(F.count(F.lit(1)).alias("count"))
-        .orderBy("project_id", F.desc("count"), "repo")
     )
 
 
+def by_engineer(memory: DataFrame, project_id: str | None = None) -> DataFrame:
+    return _engineers(_rows(memory, project_id)).orderBy("project_id", F.desc("count"), "engineer")
+
+
+def by_repo(memory: DataFrame, project_id: str | None = None) -> DataFrame:
+    return _repos(_rows(memory, project_id)).orderBy("project_id", F.desc("count"), "repo")
+
+
 def tag_counts(memory: DataFrame, project_id: str | None = None) -> DataFrame:
     """Uses of every tag by active facts; a tag repeated in a fact counts again."""
     return (
@@ -132,8 +138,8 @@ def dashboard(memory: DataFrame, as_of, project_id: str | None = None, tags: int
         return rows.groupBy("project_id").agg(kept.alias(name))
 
     lists = [
-        listed(by_engineer(memory), "by_engineer", "engineer", "count", "pinned"),
-        listed(by_repo(memory), "by_repo", "repo", "count"),
+        listed(_engineers(memory), "by_engineer", "engineer", "count", "pinned"),
+        listed(_repos(memory), "by_repo", "repo", "count"),
         listed(top_tags(memory, k=tags), "top_tags", "tag", "count"),
         listed(most_accessed(memory), "most_accessed", "id", "access_count", "content"),
     ]
@@ -197,23 +203,44 @@ def event_counts(events: DataFrame, as_of) -> DataFrame:
 def tool_log_report(log: DataFrame, exact: bool = True) -> DataFrame:
     """Calls, failures and durations per tool, agent and hour.
 
-    Exact percentiles hold a group's distinct durations in one aggregation
-    buffer; ``exact=False`` takes bounded sketches, for groups without bound.
+    Exact percentiles come from a running sum over the counts of the distinct
+    durations, so no buffer holds a group; ``exact=False`` takes bounded sketches
+    and saves the sort.
     """
+    keys = ["tool", "agent_id", "hour"]
+    calls = log.withColumn("hour", F.date_trunc("hour", "timestamp"))
+    aggregates = [
+        F.count(F.lit(1)).alias("calls"),
+        F.count_if(~F.col("success")).alias("failures"),
+        F.avg("duration_ms").alias("mean_ms"),
+        F.max("duration_ms").alias("max_ms"),
+    ]
+    shares = {"p50_ms": 0.5, "p95_ms": 0.95}
+    if not exact:
+        report = calls.groupBy(*keys).agg(*aggregates, *(
+            F.percentile_approx("duration_ms", F.lit(p), F.lit(10_000)).cast("double").alias(name)
+            for name, p in shares.items()
+        ))
+        return report.withColumn("error_rate", F.col("failures") / F.col("calls"))
+    values = calls.filter(F.col("duration_ms").isNotNull()).groupBy(*keys, "duration_ms").agg(
+        F.count(F.lit(1)).alias("n")
+    )
+    group = Window.partitionBy(*keys)
+    ranked = values.withColumn("upto", F.sum("n").over(group.orderBy("duration_ms"))).withColumn(
+        "total", F.sum("n").over(group)
+    )
+
+    def at(rank: Column) -> Column:
+        return F.min(F.when(F.col("upto") > rank, F.col("duration_ms")))
+
     def quantile(p: float) -> Column:
-        if exact:
-            return F.percentile("duration_ms", F.lit(p))
-        return F.percentile_approx("duration_ms", F.lit(p), F.lit(10_000)).cast("double")
+        place = (F.col("total") - 1) * p
+        low, high = at(F.floor(place)), at(F.ceil(place))
+        return low + (high - low) * (F.max(place) - F.floor(F.max(place)))
 
+    quantiles = ranked.groupBy(*keys).agg(*(quantile(p).alias(name) for name, p in shares.items()))
+    same = [F.col(f"r.{k}").eqNullSafe(F.col(f"q.{k}")) for k in keys]
     return (
-        log.groupBy("tool", "agent_id", F.date_trunc("hour", "timestamp").alias("hour"))
-        .agg(
-            F.count(F.lit(1)).alias("calls"),
-            F.count_if(~F.col("success")).alias("failures"),
-            F.avg("duration_ms").alias("mean_ms"),
-            quantile(0.5).alias("p50_ms"),
-            quantile(0.95).alias("p95_ms"),
-            F.max("duration_ms").alias("max_ms"),
-        )
-        .withColumn("error_rate", F.col("failures") / F.col("calls"))
+        calls.groupBy(*keys).agg(*aggregates).alias("r").join(quantiles.alias("q"), same, "left")
+        .select("r.*", *shares).withColumn("error_rate", F.col("failures") / F.col("calls"))
     )

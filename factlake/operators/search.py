@@ -293,7 +293,8 @@ def dedup_check(
         F.col("project_id").alias("part"), F.col("embedding").alias("vec"),
         F.lit(float(threshold)).alias("threshold"), F.lit(k).alias("limit"),
     )
-    hits = best_hits(similarity_rows(filters.active(memory)), probes)
+    # Written, so that the planner knows how few they are and the contents stay in place.
+    hits = materialize(best_hits(similarity_rows(filters.active(memory)), probes), "dedup-hits")
     facts = memory.select("id", "content", "created_by")
     id_type = candidates.schema["candidate_id"].dataType
     return hits.join(facts, "id").select(
@@ -317,8 +318,10 @@ def get_by_ids(memory: DataFrame, ids: DataFrame):
     return memory.join(wanted, "id", "left_semi"), wanted.join(memory, "id", "left_anti")
 
 
-def resolve_ids(memory: DataFrame, keys: DataFrame, project_id: str | None = None) -> DataFrame:
-    """Exact id, else prefix: ``key, status, id``, at most ten matches a key.
+def resolve_ids(
+    memory: DataFrame, keys: DataFrame, project_id: str | None = None, most: int = PREFIX_LIMIT
+) -> DataFrame:
+    """Exact id, else prefix: ``key, status, id``, at most ``most`` matches a key.
 
     Prefixes meet ids by equality on the first n characters, one n per key
     length up to six, so no key is compared with every id.
@@ -327,9 +330,10 @@ def resolve_ids(memory: DataFrame, keys: DataFrame, project_id: str | None = Non
     exact = keys.join(memory.select(F.col("id").alias("key")), "key", "left_semi").select(
         "key", F.lit("exact").alias("status"), F.col("key").alias("id")
     )
-    open_keys = keys.join(exact.select("key"), "key", "left_anti").withColumn(
+    # Written, so that a few keys reach the ids by broadcast and the ids are not shuffled.
+    open_keys = materialize(keys.join(exact.select("key"), "key", "left_anti").withColumn(
         "head", F.substring("key", 1, 6)
-    )
+    ), "open-keys")
     lengths = sorted(
         r[0] for r in open_keys.filter(F.length("key") > 0)
         .select(F.least(F.length("key"), F.lit(6))).distinct().collect()
@@ -345,7 +349,7 @@ def resolve_ids(memory: DataFrame, keys: DataFrame, project_id: str | None = Non
         open_keys.join(heads, "head")
         .filter(F.startswith(F.col("id"), F.col("key")))
         .select("key", "id", F.row_number().over(first).alias("n"))
-        .filter(F.col("n") <= PREFIX_LIMIT)
+        .filter(F.col("n") <= most)
     )
     counted = matches.groupBy("key").agg(F.max("n").alias("found"))
     by_prefix = (

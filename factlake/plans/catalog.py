@@ -1214,10 +1214,12 @@ def _(spark, sf):
 , ordered AS (SELECT id, ts, lead(ts) OVER (PARTITION BY id ORDER BY ts) AS nxt FROM accesses)
 SELECT id, {sql_ts('ts')} AS last_ts, {sql_ts("ts + INTERVAL 5 DAY")} AS stale_at FROM ordered
 WHERE (nxt IS NULL OR nxt >= ts + INTERVAL 5 DAY)
-  AND ts + INTERVAL 5 DAY <= (SELECT date_trunc('milliseconds', max(ts)) FROM accesses)""", "accesses")
+  AND ts + INTERVAL 5 DAY <= (SELECT date_trunc('milliseconds', max(ts)) FROM accesses)
+  AND id IN (SELECT id FROM memory WHERE NOT pinned AND NOT archived)""", "memory")
 def _(spark, sf):
     stream = _streamed(spark, facts.accesses(spark, sf), "accesses")
-    out = _finish(spark, streams.archive_sweep(stream, days=5), "sweep")
+    out = streams.due_for_archive(
+        _finish(spark, streams.archive_sweep(stream, days=5), "sweep"), facts.memory(spark, sf))
     return out.select("id", ts("last_ts").alias("last_ts"), ts("stale_at").alias("stale_at"))
 
 
@@ -1235,7 +1237,7 @@ def _(spark, sf):
 @query("str05_write_rate_alerts", f"""
 , w AS (SELECT agent, unnest(range(
     time_bucket(INTERVAL 6 HOUR, ts) - INTERVAL 18 HOUR,
-    time_bucket(INTERVAL 6 HOUR, ts) + INTERVAL 1 SECOND, INTERVAL 6 HOUR)) AS s FROM changes)
+    time_bucket(INTERVAL 6 HOUR, ts) + INTERVAL 1 SECOND, INTERVAL 6 HOUR)) AS s FROM changes WHERE kind NOT IN ('touch', 'recall'))
 SELECT {sql_ts('s')} AS window_start, {sql_ts('s + INTERVAL 24 HOUR')} AS window_end, agent,
   count(*) AS writes FROM w GROUP BY s, agent
 HAVING count(*) > 3 AND s + INTERVAL 24 HOUR <= (SELECT max(ts) FROM changes) - INTERVAL 1 MINUTE""",
@@ -1317,6 +1319,27 @@ def _(spark, sf):
         FROM recall('proj-0', array({vector}), 25, 0.1D, p_engineer => 'alice')""")
 
 
+@query("udf05_sql_touch", f"""
+SELECT id, {NOW_TEXT} AS last_accessed_at, cast(access_count + 1 AS int) AS access_count
+FROM memory WHERE id IN (md5('1'), md5('2'), md5('no such'))""", "memory")
+def _(spark, sf):
+    facts.memory(spark, sf).createOrReplaceTempView("memory")
+    sql_functions.register(spark)
+    return spark.sql(f"""
+        SELECT id, last_accessed_at, access_count FROM touch_memories(
+          array(md5('1'), md5('2'), md5('no such'), md5('1')), timestamp_ntz'{AS_OF}')
+    """).withColumn("last_accessed_at", ts("last_accessed_at"))
+
+
+@query("udf05_sql_archive_stale", f"""
+SELECT id, project_id FROM memory
+WHERE NOT pinned AND NOT archived AND last_accessed_at < {NOW} - INTERVAL 20 DAY""", "memory")
+def _(spark, sf):
+    facts.memory(spark, sf).createOrReplaceTempView("memory")
+    sql_functions.register(spark)
+    return spark.sql(f"SELECT id, project_id FROM archive_stale(timestamp_ntz'{AS_OF}', 20)")
+
+
 @query("udf05_sql_dedup_check", """
 , usable AS MATERIALIZED (SELECT * FROM memory WHERE embedding IS NOT NULL
     AND project_id = 'proj-0' AND NOT archived),

@@ -67,8 +67,28 @@ RETURN
 """
 
 
+_TOUCH = """
+CREATE OR REPLACE TEMPORARY FUNCTION touch_memories(p_ids ARRAY<STRING>, p_as_of {timestamp})
+RETURNS TABLE (id STRING, last_accessed_at {timestamp}, access_count INT)
+RETURN
+  SELECT id, p_as_of, access_count + 1 FROM {view} WHERE array_contains(p_ids, id)
+"""
+
+_ARCHIVE = """
+CREATE OR REPLACE TEMPORARY FUNCTION archive_stale(p_as_of {timestamp}, p_days INT DEFAULT {days})
+RETURNS TABLE (id STRING, project_id STRING, last_accessed_at {timestamp})
+RETURN
+  SELECT id, project_id, last_accessed_at FROM {view}
+  WHERE NOT pinned AND NOT archived AND last_accessed_at < p_as_of - make_dt_interval(p_days)
+"""
+
+
 def register(spark: SparkSession, view: str = "memory") -> None:
-    """Create ``recall`` and ``dedup_check`` as SQL table functions over ``view``.
+    """Create ``recall``, ``dedup_check``, ``touch_memories`` and ``archive_stale``
+    as SQL table functions over ``view``.
+
+    The last two return the rows a touch or a sweep changes, as they are after
+    the touch and as the sweep finds them; nothing is changed in place.
 
     One call answers one question over a view of the facts; the operators of
     ``factlake.operators.search`` are the way to ask many.
@@ -78,6 +98,8 @@ def register(spark: SparkSession, view: str = "memory") -> None:
     spark.sql(_LEXEMES)
     spark.sql(_RECALL.format(view=view, timestamp=timestamp))
     spark.sql(_DEDUP.format(view=view, threshold=DEDUP_THRESHOLD, limit=DEDUP_LIMIT))
+    spark.sql(_TOUCH.format(view=view, timestamp=timestamp))
+    spark.sql(_ARCHIVE.format(view=view, timestamp=timestamp, days=ARCHIVE_AFTER_DAYS))
 
 
 def touch_memories(spark: SparkSession, ids: DataFrame, as_of, view: str = "memory") -> DataFrame:

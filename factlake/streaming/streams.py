@@ -15,6 +15,10 @@ from factlake.schema import ARCHIVE_AFTER_DAYS, DEDUP_THRESHOLD
 from factlake.sources.tables import latest_version, read_snapshot, write_snapshot
 
 
+# Kinds of events that change no content or flag.
+READS = ("touch", "recall")
+
+
 def exactly_once(stream: DataFrame, key: str = "event_id", ts: str = "ts",
                  delay: str = "1 hour") -> DataFrame:
     """Drop redelivered events whose repeat comes within ``delay`` of the first."""
@@ -43,7 +47,12 @@ def growth(facts: DataFrame, ts: str = "created_at", delay: str = "1 day") -> Da
 
 def write_rate_alerts(writes: DataFrame, most: int, length: str = "1 minute",
                       slide: str = "10 seconds", ts: str = "ts", delay: str = "1 minute") -> DataFrame:
-    """Agents that wrote more than ``most`` facts within a sliding window."""
+    """Agents that wrote more than ``most`` facts within a sliding window.
+
+    Events with a ``kind`` that only reads or touches a fact are no writes.
+    """
+    if "kind" in writes.columns:
+        writes = writes.filter(~F.col("kind").isin(*READS))
     return (
         writes.withWatermark(ts, delay)
         .groupBy(F.window(ts, length, slide).alias("w"), "agent")
@@ -77,8 +86,9 @@ def archive_sweep(accesses: DataFrame, days: int = ARCHIVE_AFTER_DAYS, ts: str =
 
     Accesses (and the creation) of a fact form one session as long as none is
     ``days`` after the one before; when the watermark passes the end of a
-    session, the fact has been left alone that long.  Join with the snapshot
-    to leave pinned and archived facts out.
+    session, the fact has been left alone that long.  :func:`due_for_archive`
+    leaves out what the snapshot keeps.  A fact that nobody ever accessed is
+    covered by its creation.
     """
     return (
         accesses.withWatermark(ts, delay)
@@ -88,6 +98,20 @@ def archive_sweep(accesses: DataFrame, days: int = ARCHIVE_AFTER_DAYS, ts: str =
     )
 
 
+def due_for_archive(stale: DataFrame, memory: DataFrame) -> DataFrame:
+    """Stale facts that the snapshot has as neither pinned nor archived."""
+    kept = memory.filter("not pinned and not archived").select("id")
+    return stale.join(kept, "id", "left_semi")
+
+
+def late_rows(query: StreamingQuery) -> int:
+    """Rows that came after their window was final, over all batches reported."""
+    return sum(
+        operator["numRowsDroppedByWatermark"]
+        for progress in query.recentProgress for operator in progress["stateOperators"]
+    )
+
+
 def import_stream(
     entries: DataFrame,
     root: str,
