@@ -19,6 +19,7 @@ carry ``query_id, part, vec, threshold, limit`` and optionally ``floor,
 before, scope``.  Only rows and probes of the same ``part`` meet.
 """
 
+import math
 from dataclasses import dataclass
 
 import numpy as np
@@ -43,6 +44,8 @@ _ALL = -1
 # Keys of a block, and a bound on the tasks that share them.
 _BLOCK = ("part", "cell", "sub", "qsub")
 _MOST_TASKS = 20_000
+# What may be broadcast: probes, or the pivots of all parts.
+MOST_BYTES = 64 << 20
 
 
 @dataclass(frozen=True)
@@ -51,12 +54,14 @@ class Limits:
 
     broadcast_rows: int = 16_384
     block_rows: int = 16_384
-    pivots: int = 256
+    # Most pivots of a part; None lets them grow with the square root of its rows.
+    pivots: int | None = None
 
     @classmethod
     def of(cls, spark: SparkSession) -> "Limits":
-        def setting(name: str, default: int) -> int:
-            return int(spark.conf.get(f"factlake.similarity.{name}", str(default)))
+        def setting(name: str, default: int | None) -> int | None:
+            given = spark.conf.get(f"factlake.similarity.{name}", None)
+            return default if given is None else int(given)
 
         return cls(
             setting("broadcastRows", cls.broadcast_rows),
@@ -66,9 +71,9 @@ class Limits:
 
 
 def small_table(df: DataFrame, most: int) -> pa.Table | None:
-    """The rows as an Arrow table if there are at most ``most``, else None."""
+    """The rows as an Arrow table if they are at most ``most`` and MOST_BYTES, else None."""
     table = df.limit(most + 1).toArrow()
-    return table if table.num_rows <= most else None
+    return table if table.num_rows <= most and table.nbytes <= MOST_BYTES else None
 
 
 def best_hits(
@@ -158,6 +163,8 @@ def choose_pivots(rows: DataFrame, count: int, apart: float = 0.0) -> np.ndarray
     )
     vectors, usable = unit_matrix(picked.column("vec"))
     pivots = np.unique(np.round(vectors[usable], 12), axis=0)
+    # They go to every task, so their size is bounded, not only their number.
+    pivots = pivots[:max(1, MOST_BYTES // (8 * max(1, pivots.shape[1])))]
     kept: list[int] = []
     for at in range(len(pivots) if apart > 0 else 0):
         if not kept or _angles(pivots[at:at + 1], pivots[kept]).min() > apart:
@@ -252,13 +259,16 @@ def _large_parts(rows: DataFrame, block_rows: int) -> DataFrame:
 
 
 def _pivot_count(large: DataFrame, limits: Limits) -> int:
-    """Cells of about half a block in the largest part, within the set bound.
+    """Cells of about half a block in the largest part, within a bound.
 
     More cells rule out more rows, but a probe is copied to every cell it must
-    visit, so cells much smaller than a block only cost copies.
+    visit, so cells much smaller than a block only cost copies.  Unless set, the
+    bound is the square root of the rows: then finding a row's pivot costs no
+    more than comparing it with the rows of its cell.
     """
     most = large.agg(F.max("_n")).first()[0] or 0
-    return int(min(limits.pivots, max(1, -(-2 * most // limits.block_rows))))
+    bound = limits.pivots or max(256, math.isqrt(most))
+    return int(min(bound, max(1, -(-2 * most // limits.block_rows))))
 
 
 def _extent(placed: DataFrame) -> DataFrame:
@@ -398,7 +408,7 @@ def match_edges(rows: DataFrame, threshold: float) -> DataFrame:
 
     core_angle = float(np.arccos(min(1.0, threshold)) - _SLACK) / 2
     count = _pivot_count(_large_parts(rows, limits.block_rows), limits)
-    pivots = choose_pivots(rows, max(count, min(16, limits.pivots)), max(core_angle, 0.0) / 2)
+    pivots = choose_pivots(rows, max(count, min(16, limits.pivots or 16)), max(core_angle, 0.0) / 2)
     half = F.lit(core_angle)
     homed = with_cell(rows.select("id", "part", "vec"), pivots)
     homed = materialize(homed.withColumn("core", F.col("angle") < half), "cell-rows")

@@ -1354,3 +1354,29 @@ def _(spark, sf):
     return spark.sql(f"""
         SELECT id, created_by, similarity
         FROM dedup_check('proj-0', array({vector}), 0.2D)""")
+
+
+# --- the plan for large sides, forced ------------------------------------------------------------------
+
+# Settings with which even small tables are cut into cells and blocks.
+_CELLS = {"broadcastRows": "0", "blockRows": "128", "pivots": "16"}
+
+
+def _in_cells(run):
+    """A query with the plan that large tables take."""
+    def forced(spark, sf):
+        for name, value in _CELLS.items():
+            spark.conf.set(f"factlake.similarity.{name}", value)
+        try:
+            # Written here, while the settings hold.
+            return materialize(run(spark, sf), "in-cells")
+        finally:
+            for name in _CELLS:
+                spark.conf.unset(f"factlake.similarity.{name}")
+    return forced
+
+
+for _name in ("jn02_recall_batch", "jn03_hybrid_recall", "jn05_dedup_check", "jn06_near_duplicates",
+              "jn07_duplicate_clusters", "jn12_cross_agent_corroboration", "mut03_import_batch"):
+    QUERIES[f"{_name}_cells"] = _in_cells(QUERIES[_name])
+    ORACLES[f"{_name}_cells"] = ORACLES[_name]
