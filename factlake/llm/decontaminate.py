@@ -7,8 +7,8 @@ the window gives where the window would start, bounds on start and end drop
 candidates that do not fit, and the candidates left are compared word by word
 with the document. Only narrow rows are joined and shuffled until then.
 
-The words of the benchmark are small beside the documents; whether they are
-broadcast is left to the planner, which knows the size of their written table.
+The words of the benchmark are broadcast if their checked size is at most
+MOST_BYTES; beyond that the joins shuffle.
 
 Null texts have no words. Rows that repeat an id or text all keep their row.
 A null ``doc_id`` keeps its row. Items with equal ids are one item; an item
@@ -26,6 +26,8 @@ from factlake.llm.common import ascii_lower
 from factlake.session import materialize
 
 WINDOW = 10
+# Words of the benchmark are broadcast up to this size.
+MOST_BYTES = 32 << 20
 _BETWEEN = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
 
@@ -38,6 +40,12 @@ def _words(lowered: Column) -> Column:
     return F.filter(_pieces(lowered), lambda w: w != "")
 
 
+def _sent(words: DataFrame) -> DataFrame:
+    """Words to broadcast where their checked size allows; else the planner joins by shuffling."""
+    size = words.agg(F.sum(F.octet_length("word") + 64).alias("bytes")).first()["bytes"] or 0
+    return F.broadcast(words) if size <= MOST_BYTES else words
+
+
 def benchmark_windows(benchmark: DataFrame, size: int = WINDOW) -> tuple[DataFrame, DataFrame]:
     """Distinct windows ``window, words``, and ``window, item_id`` of their items."""
     words = benchmark.select(
@@ -47,7 +55,7 @@ def benchmark_windows(benchmark: DataFrame, size: int = WINDOW) -> tuple[DataFra
         F.sequence(F.lit(1), F.greatest(F.size("words") - size + 1, F.lit(1))),
         lambda i: F.slice("words", i, F.lit(size)),
     )).alias("words"))
-    named = cut.select(F.sha2(F.array_join("words", " ").cast("binary"), 256).alias("window"), "words", "item_id")
+    named = cut.select(F.xxhash64("words").alias("window"), "words", "item_id")
     windows = materialize(named.select("window", "words").dropDuplicates(["window"]), "windows")
     items = materialize(named.select("window", "item_id").distinct(), "window-items")
     return windows, items
@@ -80,7 +88,7 @@ def contamination(
     )
     vocabulary = materialize(spots.select("word").distinct(), "benchmark-words")
     seen = materialize(
-        pieces.select(F.explode("pieces").alias("word")).join(vocabulary, "word")
+        pieces.select(F.explode("pieces").alias("word")).join(_sent(vocabulary), "word")
         .groupBy("word").agg(F.count(F.lit(1)).alias("seen")), "word-counts"
     )
     # Every word of a window that occurs was seen; a window with an unseen word has no candidates.
@@ -97,8 +105,11 @@ def contamination(
     counted = pieces.withColumn("lead", starts_empty).withColumn(
         "n", F.size("pieces") - F.col("lead") - ends_empty
     )
+    # Only the words themselves meet all words of the documents; the windows join what is left.
+    necessary = materialize(prefix.select("word").distinct(), "necessary-words")
     candidates = (
         counted.select("row", "lead", "n", F.posexplode("pieces").alias("at", "word"))
+        .join(_sent(necessary), "word", "left_semi")
         .join(prefix.select("window", "size", "place", "word"), "word")
         .withColumn("start", F.col("at") - F.col("lead") - F.col("place"))
         .filter("start >= 0 and start + size <= n")
@@ -118,7 +129,7 @@ def contamination(
     ) == c["words"]))
     found = checked.select("doc_id", "row", "n_words", F.coalesce(F.transform(occurring, lambda c: F.struct(
         c["start"].alias("start"), (c["start"] + F.size(c["words"])).alias("end"), c["window"].alias("window")
-    )), F.array().cast("array<struct<start:int,end:int,window:string>>")).alias("occurring"))
+    )), F.array().cast("array<struct<start:int,end:int,window:bigint>>")).alias("occurring"))
     found = materialize(found, "occurring")
     hit = F.aggregate(
         "occurring", F.struct(F.lit(0).alias("end"), F.lit(0).alias("hit")),
