@@ -29,6 +29,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from factlake.session import materialize
+
 SAMPLE = 8
 # A slot must hold this share of the varying text for the wrapper to go into it.
 SHARE = 0.75
@@ -280,7 +282,8 @@ def extract_main_text(pages: DataFrame, sample: int = SAMPLE) -> DataFrame:
     ).withColumn(
         "host", F.lower(F.regexp_extract(F.coalesce("url", F.lit("")), r"^[a-zA-Z][a-zA-Z0-9+.-]*://([^/?#]*)", 1))
     )
-    wrappers = host_wrappers(named.withColumn("key", F.xxhash64("html")), sample)
+    # Written, so that the planner knows how few they are and pages of a large host stay where they are.
+    wrappers = materialize(host_wrappers(named.withColumn("key", F.xxhash64("html")), sample), "wrappers")
     return named.join(wrappers, "host", "left").select("page_id", "url", "html", "wrapper").mapInArrow(
         _extract, "page_id long, url string, text string, n_chars long"
     )
