@@ -32,7 +32,7 @@ from functools import partial
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from factlake.llm.common import chunks, mix, word_hashes
@@ -47,7 +47,7 @@ SEEN = 2
 BLOCK_SETS, BLOCK_SHINGLES = 64, 1 << 18
 BUCKET_SHINGLES = 1 << 21
 # Neighbours are tried in at most ROUNDS rounds, while there are more pairs than this per row.
-ROUNDS, PAIRS_PER_ROW = 4, 8
+ROUNDS, PAIRS_PER_ROW = 4, 100
 _FILTER_WORDS = 1 << 17
 
 
@@ -317,7 +317,7 @@ class _Join:
         links = wanted.join(sets, "doc_id").groupBy(bucket).applyInPandas(verified, "src long, dst long")
         return materialize(links.distinct(), "links")
 
-    def possible(self, left: str, right: str, shared):
+    def possible(self, left: str, right: str, shared: Column) -> Column:
         """Whether sets of these sizes can link if so many first shingles are shared.
 
         A common shingle that is not among the first of both lies behind the
@@ -370,23 +370,31 @@ def ngram_jaccard_components(documents: DataFrame, words: int = WORDS, numerator
         tried = join.verify(_best_probe(join, beside.select(
             "doc_id", "n", F.col("other.doc_id").alias("probe"), F.col("other.n").alias("m")
         )))
-        if not tried.limit(1).count():
+        found = tried.count()
+        if not found:
             break
         links = materialize(links.union(tried), "links")
         labels = _components(links)
-        mixed = materialize(_mixed(shared, labels), "mixed-groups")
+        before, mixed = mixed, materialize(_mixed(shared, labels), "mixed-groups")
+        # Where neighbours no longer shrink the groups, more rounds would not either.
+        if 10 * mixed.count() > 9 * before.count():
+            break
+    # With their first shingles at hand two sets meet once, and only if they share enough of them.
+    firsts = join.sets.select("doc_id", F.col("n_shingles").alias("n"), "prefix").join(
+        mixed.select("doc_id").distinct(), "doc_id", "left_semi"
+    ).dropDuplicates(["doc_id", "n", "prefix"])
+    mixed = mixed.join(firsts, ["doc_id", "n"])
     a, b = mixed.alias("a"), mixed.alias("b")
-    pairs = (
-        a.join(b, F.expr(
-            f"a.token = b.token and a.doc_id < b.doc_id and a.component <> b.component "
-            f"and 100 * least(a.n, b.n) >= {numerator} * greatest(a.n, b.n) "
-            f"and least(a.place, b.place) + 1 + least(a.n - a.place, b.n - b.place) - 1 "
-            f">= {numerator} * (a.n + b.n) / {100 + numerator}"
-        ))
-        .groupBy(F.col("a.doc_id").alias("probe"), F.col("b.doc_id").alias("doc_id"))
-        .agg(F.count(F.lit(1)).alias("shared"), F.first("a.n").alias("m"), F.first("b.n").alias("n"))
-        .filter(join.possible("n", "m", F.col("shared")))
-    )
+    need = f"ceil({numerator} * (a.n + b.n) / {100 + numerator})"
+    rest = f"(ceil({numerator} * greatest(a.n, b.n) / 100) - 1)"
+    both = "array_intersect(a.prefix, b.prefix)"
+    pairs = a.join(b, F.expr(
+        f"a.token = b.token and a.doc_id < b.doc_id and a.component <> b.component "
+        f"and 100 * least(a.n, b.n) >= {numerator} * greatest(a.n, b.n) "
+        f"and least(a.place, b.place) + least(a.n - a.place, b.n - b.place) >= {need} "
+        f"and size({both}) + {rest} >= {need} and array_min({both}) = a.token"
+    )).select(F.col("a.doc_id").alias("probe"), F.col("b.doc_id").alias("doc_id"), F.col("b.n").alias("n"))
+    pairs = pairs.distinct()
     last = join.verify(pairs.select("probe", "doc_id", "n"))
     labels = _components(links.union(last)) if last.limit(1).count() else labels
     named = nodes.join(labels, "node", "left").select(
