@@ -25,7 +25,7 @@ from __future__ import annotations
 
 import re
 import zlib
-from collections import deque
+from bisect import bisect_left
 from functools import partial
 
 import numpy as np
@@ -38,7 +38,7 @@ from factlake.llm.common import chunks
 
 SIZE = 2048
 RUN = 1 << 20
-STRIDE = 16
+STRIDE = 24
 SENTENCE_PENALTY, INSIDE_PENALTY = 0.5, 2.0
 # A task forgets its words beyond this many.
 MOST_WORDS = 1_500_000
@@ -55,6 +55,13 @@ def default_tokenizer() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+def _letters_and_mark(word: str) -> tuple[str, str]:
+    """A word of letters in lower case, and the mark after it; any other word as it is."""
+    root, mark = (word[:-1], word[-1]) if word[-1] in ".,!?;:" else (word, "")
+    # A capital sigma's lower case depends on its place, which the tokeniser leaves out of account.
+    return (root.lower(), mark) if root.isalpha() and "\u03a3" not in root else (word, "")
+
+
 class WordTokens:
     """Token ids of texts, with every word tokenised once."""
 
@@ -69,6 +76,7 @@ class WordTokens:
 
     def _forget(self):
         self.known: dict[str, int] = {}
+        self.roots: dict[str, list[int]] = {}
         self.ids = np.zeros(1 << 16, dtype=np.uint32)
         self.begin = np.zeros(1 << 14, dtype=np.int64)
         self.size = np.zeros(1 << 14, dtype=np.int64)
@@ -80,7 +88,16 @@ class WordTokens:
         return array if n <= len(array) else np.concatenate([array, np.zeros(max(n, len(array)), array.dtype)])
 
     def _learn(self, words: list[str]):
-        encoded = self._encode(words)
+        # Letters and a mark behind them are tokenised apart, so words in any case and
+        # with any mark share their letters' ids.
+        parts = [_letters_and_mark(w) for w in words]
+        new = [k for k in dict.fromkeys(k for pair in parts for k in pair) if k not in self.roots]
+        letters = [k for k in new if k.isalpha()]
+        others = [k for k in new if not k.isalpha()]
+        self.roots.update(zip(others, self._encode(others), strict=True))
+        for i in range(0, len(letters), 500):
+            self.roots.update(zip(letters[i:i + 500], self._encode_letters(letters[i:i + 500]), strict=True))
+        encoded = [self.roots[root] + self.roots[mark] if mark else self.roots[root] for root, mark in parts]
         n = len(self.known)
         sizes = np.array([len(e) for e in encoded], dtype=np.int64)
         total, m = int(sizes.sum()), len(words)
@@ -97,6 +114,19 @@ class WordTokens:
         encode = getattr(self.tokenizer, "encode_batch_fast", self.tokenizer.encode_batch)
         return [e.ids for e in encode(texts, add_special_tokens=False)]
 
+    def _encode_letters(self, words: list[str]) -> list[list[int]]:
+        """Words of letters in one call, told apart by the tokeniser's own word numbers."""
+        together = self.tokenizer.encode(" ".join(words), add_special_tokens=False)
+        out: list[list[int]] = []
+        last = None
+        for i, word in zip(together.ids, together.word_ids, strict=True):
+            if word == last:
+                out[-1].append(i)
+            else:
+                out.append([i])
+                last = word
+        return out if len(out) == len(words) else self._encode(words)
+
     def __call__(self, texts: list[str]):
         """Ids of all texts, one after the other; each text's size; where sentences end."""
         if len(self.known) > MOST_WORDS:
@@ -135,26 +165,27 @@ def choose_cuts(places: list[int], penalties: list[float], size: int, last_free:
     No gap between places exceeds ``size``. With ``last_free`` the sequence that
     ends at the last place costs no padding.
     """
-    cost, back = [0.0], [-1]
+    # With key(i) = cost(i) + place(i), the best i for any j is the one of least key in the window,
+    # and key(j) = size + penalty(j) + that key.
     at = [0, *places]
-    queue = deque([(0.0, 0)])  # of (cost + place, index), ascending in both
+    keys, back = [0.0], [-1]
+    least, index, head = [0.0], [0], 0  # a queue of keys, ascending in both
     last = len(places)
-    for j in range(1, last + 1):
-        place = at[j]
-        while at[queue[0][1]] < place - size:
-            queue.popleft()
-        if j == last and last_free:
-            best, i = min((cost[i], i) for _, i in queue)
-            value = best
-        else:
-            best, i = queue[0]
-            value = best + size - place + penalties[j - 1]
-        cost.append(value)
-        back.append(i)
-        key = value + place
-        while queue and queue[-1][0] >= key:
-            queue.pop()
-        queue.append((key, j))
+    for j in range(1, last + (not last_free)):
+        earliest = at[j] - size
+        while at[index[head]] < earliest:
+            head += 1
+        key = least[head] + size + penalties[j - 1]
+        back.append(index[head])
+        keys.append(key)
+        while len(least) > head and least[-1] >= key:
+            least.pop()
+            index.pop()
+        least.append(key)
+        index.append(j)
+    if last_free:
+        near = range(bisect_left(at, at[last] - size, 0, last), last)
+        back.append(min(near, key=lambda i: (keys[i] - at[i], i)))
     cuts, j = [], last
     while j > 0:
         cuts.append(at[j])
