@@ -41,13 +41,15 @@ from factlake.session import materialize
 WORDS = 4
 NUMERATOR = 85
 # The shingles ranked as common: at most so many, seen this often in a task's run.
-COMMON = 1 << 20
+COMMON = 1 << 19
 SEEN = 2
 # A block that is verified in one call.
 BLOCK_SETS, BLOCK_SHINGLES = 64, 1 << 18
 BUCKET_SHINGLES = 1 << 21
 # Neighbours are tried in at most ROUNDS rounds, while there are more pairs than this per row.
-ROUNDS, PAIRS_PER_ROW = 4, 100
+ROUNDS, PAIRS_PER_ROW = 4, 1000
+# Sets of groups up to this size are paired per shared shingle, those of larger ones with all first shingles at hand.
+SMALL_GROUP = 64
 _FILTER_WORDS = 1 << 17
 
 
@@ -113,19 +115,28 @@ def _common_in_task(batches, words):
 class _Order:
     """The global order of shingles: common ones last, by count, then by hash."""
 
-    def __init__(self, common: np.ndarray, counts: np.ndarray):
+    def __init__(self, common: np.ndarray, levels: np.ndarray):
         order = np.argsort(common)
-        # Frequencies to the nearest power of two are enough to put rare ones first.
-        self.common, self.counts = common[order], np.ceil(np.log2(counts[order] + 1)).astype(np.uint8)
-        self.seen = np.zeros(1 << 22, dtype=bool)
-        self.seen[self.common & np.uint64((1 << 22) - 1)] = True
+        # Frequencies to a power of two are enough to put rare ones first.
+        self.common, self.levels = common[order], levels[order].astype(np.uint8)
+        self.seen = None
+
+    def __getstate__(self):
+        return {**self.__dict__, "seen": None}
+
+    def _maybe(self, hashes: np.ndarray) -> np.ndarray:
+        """Where a hash may be a common one, by its last bits."""
+        if self.seen is None:
+            self.seen = np.zeros(1 << 22, dtype=bool)
+            self.seen[self.common & np.uint64((1 << 22) - 1)] = True
+        return np.flatnonzero(self.seen[hashes & np.uint64((1 << 22) - 1)])
 
     def count(self, hashes: np.ndarray) -> np.ndarray:
         found = np.zeros(len(hashes), dtype=np.uint8)
         if len(self.common):
-            maybe = np.flatnonzero(self.seen[hashes & np.uint64((1 << 22) - 1)])
+            maybe = self._maybe(hashes)
             at = np.minimum(np.searchsorted(self.common, hashes[maybe]), len(self.common) - 1)
-            found[maybe] = np.where(self.common[at] == hashes[maybe], self.counts[at], 0)
+            found[maybe] = np.where(self.common[at] == hashes[maybe], self.levels[at], 0)
         return found
 
     def sort(self, hashes: np.ndarray) -> np.ndarray:
@@ -277,12 +288,21 @@ class _Join:
             F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")
         )
         self.words, self.numerator = words, numerator
-        common = (
+        counted = materialize(
             self.documents.select("text").mapInArrow(partial(_common_in_task, words=words), "token long, n long")
-            .groupBy("token").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "token").limit(COMMON).toPandas()
+            .groupBy("token").agg(F.sum("n").alias("n"))
+            .select("token", F.ceil(F.log2(F.col("n") + 1)).cast("int").alias("level")), "common-shingles"
         )
+        # As many of the highest levels, whole, as make at most COMMON shingles.
+        lowest, total = 64, 0
+        for row in counted.groupBy("level").count().orderBy(F.desc("level")).collect():  # at most 64 rows
+            total += row["count"]
+            if total > COMMON:
+                break
+            lowest = row["level"]
+        common = counted.filter(F.col("level") >= lowest).toPandas()
         self.order = _Order(
-            common["token"].to_numpy(dtype=np.int64).view(np.uint64), common["n"].to_numpy(dtype=np.int64)
+            common["token"].to_numpy(dtype=np.int64).view(np.uint64), common["level"].to_numpy(dtype=np.int64)
         )
         self.sets = materialize(self.documents.mapInArrow(
             partial(_prefixes, words=words, numerator=numerator, order=self.order),
@@ -379,22 +399,7 @@ def ngram_jaccard_components(documents: DataFrame, words: int = WORDS, numerator
         # Where neighbours no longer shrink the groups, more rounds would not either.
         if 10 * mixed.count() > 9 * before.count():
             break
-    # With their first shingles at hand two sets meet once, and only if they share enough of them.
-    firsts = join.sets.select("doc_id", F.col("n_shingles").alias("n"), "prefix").join(
-        mixed.select("doc_id").distinct(), "doc_id", "left_semi"
-    ).dropDuplicates(["doc_id", "n", "prefix"])
-    mixed = mixed.join(firsts, ["doc_id", "n"])
-    a, b = mixed.alias("a"), mixed.alias("b")
-    need = f"ceil({numerator} * (a.n + b.n) / {100 + numerator})"
-    rest = f"(ceil({numerator} * greatest(a.n, b.n) / 100) - 1)"
-    both = "array_intersect(a.prefix, b.prefix)"
-    pairs = a.join(b, F.expr(
-        f"a.token = b.token and a.doc_id < b.doc_id and a.component <> b.component "
-        f"and 100 * least(a.n, b.n) >= {numerator} * greatest(a.n, b.n) "
-        f"and least(a.place, b.place) + least(a.n - a.place, b.n - b.place) >= {need} "
-        f"and size({both}) + {rest} >= {need} and array_min({both}) = a.token"
-    )).select(F.col("a.doc_id").alias("probe"), F.col("b.doc_id").alias("doc_id"), F.col("b.n").alias("n"))
-    pairs = pairs.distinct()
+    pairs = _pairs_of_small_groups(join, mixed).union(_pairs_of_large_groups(join, mixed)).distinct()
     last = join.verify(pairs.select("probe", "doc_id", "n"))
     labels = _components(links.union(last)) if last.limit(1).count() else labels
     named = nodes.join(labels, "node", "left").select(
@@ -410,6 +415,47 @@ def ngram_jaccard_components(documents: DataFrame, words: int = WORDS, numerator
     ))
 
 
+def _meeting(numerator: int) -> str:
+    """The condition under which two entries of different components can be of one link."""
+    return (
+        "a.token = b.token and a.doc_id < b.doc_id and a.component <> b.component "
+        f"and 100 * least(a.n, b.n) >= {numerator} * greatest(a.n, b.n) "
+        "and least(a.place, b.place) + least(a.n - a.place, b.n - b.place) "
+        f">= ceil({numerator} * (a.n + b.n) / {100 + numerator})"
+    )
+
+
+def _pairs_of_small_groups(join: _Join, mixed: DataFrame) -> DataFrame:
+    """``probe, doc_id, n`` of pairs whose small groups in common are enough for a link.
+
+    A pair that also shares a large group may have too few here; it is found there.
+    """
+    small = mixed.filter(F.col("size") <= SMALL_GROUP)
+    return (
+        small.alias("a").join(small.alias("b"), F.expr(_meeting(join.numerator)))
+        .groupBy(F.col("a.doc_id").alias("probe"), F.col("b.doc_id").alias("doc_id"))
+        .agg(F.count(F.lit(1)).alias("shared"), F.first("a.n").alias("m"), F.first("b.n").alias("n"))
+        .filter(join.possible("n", "m", F.col("shared"))).select("probe", "doc_id", "n")
+    )
+
+
+def _pairs_of_large_groups(join: _Join, mixed: DataFrame) -> DataFrame:
+    """The same for pairs that share a large group, with all their first shingles compared at once."""
+    large = mixed.filter(F.col("size") > SMALL_GROUP)
+    firsts = join.sets.select("doc_id", F.col("n_shingles").alias("n"), "prefix").join(
+        large.select("doc_id").distinct(), "doc_id", "left_semi"
+    ).dropDuplicates(["doc_id", "n", "prefix"])
+    large = large.join(firsts, ["doc_id", "n"])
+    top = join.numerator
+    enough = (
+        f"size(array_intersect(a.prefix, b.prefix)) + ceil({top} * greatest(a.n, b.n) / 100) - 1 "
+        f">= ceil({top} * (a.n + b.n) / {100 + top})"
+    )
+    return large.alias("a").join(large.alias("b"), F.expr(f"{_meeting(top)} and {enough}")).select(
+        F.col("a.doc_id").alias("probe"), F.col("b.doc_id").alias("doc_id"), F.col("b.n").alias("n")
+    )
+
+
 def _count_only(batches, words):
     for _, texts in chunks(batches, "text"):
         yield pa.RecordBatch.from_arrays(
