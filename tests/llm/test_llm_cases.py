@@ -295,7 +295,7 @@ def test_masked_network_learns_from_both_sides():
     ids = np.stack([rng.integers(40, 48, 20000), right + 100, right], axis=1).reshape(-1).astype(np.int32)
     network = WindowNetwork()
     offsets = np.array([0, len(ids)])
-    for _ in range(12):
+    for _ in range(30):
         for _, context, target in _batches(ids, offsets):
             network.learn(context, target, 0.2)
     scores = np.zeros(len(ids))
