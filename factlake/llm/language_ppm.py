@@ -43,6 +43,7 @@ SYMBOLS = 48
 ORDER = 3
 # A worker's table of code lengths has at most this many numbers; beyond, the order falls.
 MOST_ENTRIES = 48_000_000
+_CONTEXTS = 8192
 _LETTER = re.compile(rb"[A-Za-z]")
 
 
@@ -82,22 +83,29 @@ def ppm_lengths(counts: np.ndarray, order: int) -> np.ndarray:
     Counts of shorter contexts are sums of those of longer ones.
     """
     chance = np.full(SYMBOLS, 1 / SYMBOLS)
-    for k in range(order + 1):
+    for k in range(order):
         # Contexts of the k symbols just before: sum over the symbols further away.
-        c = counts.reshape(SYMBOLS ** (order - k), SYMBOLS ** k, SYMBOLS).sum(axis=0).astype(np.float64)
-        shorter = np.broadcast_to(
-            chance.reshape(1, -1, SYMBOLS) if k else chance.reshape(1, 1, SYMBOLS),
-            (SYMBOLS if k else 1, SYMBOLS ** max(k - 1, 0), SYMBOLS),
-        ).reshape(SYMBOLS ** k, SYMBOLS)
-        seen = c > 0
-        n, d = c.sum(axis=1, keepdims=True), seen.sum(axis=1, keepdims=True)
-        rest = np.where(seen, 0.0, shorter)
-        mass = rest.sum(axis=1, keepdims=True)
-        # With every symbol seen nothing escapes.
-        escape = np.where(mass > 0, d, 0)
-        with np.errstate(divide="ignore", invalid="ignore"):
-            chance = np.where(n > 0, (c + escape * rest / np.where(mass > 0, mass, 1)) / (n + escape), shorter)
-    return -np.log2(chance)
+        c = counts.reshape(SYMBOLS ** (order - k), SYMBOLS ** k, SYMBOLS).sum(axis=0)
+        chance = _blended(c, chance.reshape(-1, SYMBOLS), 0)
+    # The longest contexts are many, so they are taken some at a time.
+    shorter, out = chance.reshape(-1, SYMBOLS), np.empty(counts.shape, dtype=np.float32)
+    for a in range(0, len(counts), _CONTEXTS):
+        out[a:a + _CONTEXTS] = -np.log2(_blended(counts[a:a + _CONTEXTS], shorter, a))
+    return out
+
+
+def _blended(c: np.ndarray, shorter: np.ndarray, first: int) -> np.ndarray:
+    """Chances in contexts ``first`` and on, from their counts and the chances one symbol shorter."""
+    shorter = shorter[(first + np.arange(len(c))) % len(shorter)]
+    c = c.astype(np.float64)
+    seen = c > 0
+    n, d = c.sum(axis=1, keepdims=True), seen.sum(axis=1, keepdims=True)
+    rest = np.where(seen, 0.0, shorter)
+    mass = rest.sum(axis=1, keepdims=True)
+    # With every symbol seen nothing escapes.
+    escape = np.where(mass > 0, d, 0)
+    with np.errstate(divide="ignore", invalid="ignore"):
+        return np.where(n > 0, (c + escape * rest / np.where(mass > 0, mass, 1)) / (n + escape), shorter)
 
 
 class PpmModel:
