@@ -249,15 +249,8 @@ def _joined(parts: dict, order: int) -> PpmModel:
     return model
 
 
-_MODELS: dict[str, PpmModel] = {}
-
-
-def _score(batches, model, key):
-    # A worker builds the table once.
-    if key not in _MODELS:
-        _MODELS.clear()
-        _MODELS[key] = model
-    model = _MODELS[key]
+def _score(batches, model):
+    # The table is built by each task and goes with it: a worker keeps no memory for later stages.
     for batch, texts in chunks(batches, "text"):
         answers = model.score(texts)
         yield pa.RecordBatch.from_arrays(
@@ -269,34 +262,25 @@ def _score(batches, model, key):
 
 def predict_language(documents: DataFrame, model: PpmModel | None = None) -> DataFrame:
     """``doc_id, held_out, lang_pred, score`` for each row of ``documents``."""
-    import uuid
-
     model = model or fit_languages(documents)
     asked = documents.select(
         F.col("doc_id").cast("long").alias("doc_id"), held_out(F.col("doc_id")).alias("held_out"),
         F.col("text").cast("string").alias("text"),
     )
     return asked.mapInArrow(
-        partial(_score, model=model, key=uuid.uuid4().hex),
+        partial(_score, model=model),
         "doc_id long, held_out boolean, lang_pred string, score double",
     )
 
 
-def _keep(batches, model, key, least):
+def _keep(batches, model, least):
     """The rows whose text is in a language of the model, by at least this posterior."""
-    if key not in _MODELS:
-        _MODELS.clear()
-        _MODELS[key] = model
     for batch, texts in chunks(batches, "text"):
-        answers = _MODELS[key].score(texts)
+        answers = model.score(texts)
         yield batch.filter(pa.array([lang != "und" and score >= least for lang, score in answers], type=pa.bool_()))
 
 
 def keep_known_languages(documents: DataFrame, model: PpmModel | None = None, least: float = 0.5) -> DataFrame:
     """``documents`` without the rows that no language fits: no letter, or no clear winner."""
-    import uuid
-
     model = model or fit_languages(documents)
-    return documents.mapInArrow(
-        partial(_keep, model=model, key=uuid.uuid4().hex, least=least), documents.schema
-    )
+    return documents.mapInArrow(partial(_keep, model=model, least=least), documents.schema)

@@ -41,7 +41,7 @@ RUN = 1 << 20
 STRIDE = 24
 SENTENCE_PENALTY, INSIDE_PENALTY = 0.5, 2.0
 # A task forgets its words beyond this many.
-MOST_WORDS = 600_000
+MOST_WORDS = 300_000
 _ODD = re.compile("[\x1c-\x1f]")
 _ENDS = (".", "!", "?", ".\"", "!\"", "?\"", ".)", "!)", "?)", "。", "！", "？")
 SCHEMA = (
