@@ -267,7 +267,9 @@ def host_wrappers(pages: DataFrame, sample: int = SAMPLE) -> DataFrame:
         pages.select("host", "key").groupBy("host", F.pmod("key", F.lit(sample)).alias("slot"))
         .agg(F.min("key").alias("key")).select("host", "key")
     )
-    # Copies of a page have one key, so a slot holds one distinct page.
+    # Copies of a page have one key, so a slot holds one distinct page. Written, so that the few
+    # keys reach the pages and the pages are not shuffled.
+    chosen = materialize(chosen, "sampled-pages")
     return (
         pages.join(chosen, ["host", "key"], "left_semi").dropDuplicates(["host", "key"]).select("host", "html")
         .groupBy("host").applyInPandas(_induce_host, "host string, wrapper string")
