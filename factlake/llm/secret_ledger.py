@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from factlake.llm.native import joined, labelled, matches, spans
 from factlake.session import fresh_path, materialize
 
-RULES_VERSION = "2"
+RULES_VERSION = "3"
 
 # The base rules' patterns. What one keeps is in _base_spans.
 ASSIGN = (
@@ -31,9 +31,20 @@ ASSIGN = (
 ASSIGN_HEAD = r"""^(?:(?i:password|passwd|secret|token|api_?key))["']?\x20*+[:=]\x20*+["']?"""
 ACCESS = r"AKIA[A-Z0-9]{12,}+"
 HEX = r"[0-9a-f]{32,}+"
+# A private key with its mark, up to the END line that follows before any other mark. Without one: the key's
+# headers, then whole lines of base64, runs of 16 or more and padded ends, whatever quotes or line feeds they
+# have between them, also spelled ones. All loops are possessive, so that long keys need no deep stack.
+_LABEL = r"[A-Z0-9\x20]{0,40}?PRIVATE\x20KEY(?:\x20BLOCK)?-----"
+_GAP = r"""(?:\\[nrt]|[\s"'`>#*|,;\\])"""
+PEM = (
+    r"-----BEGIN\x20" + _LABEL + r"(?:[^-]*+(?:-(?!----(?:BEGIN|END)\x20)[^-]*+)*+-----END\x20" + _LABEL + r"|(?:"
+    + _GAP + r"*+(?:Proc-Type|DEK-Info|Version|Comment|Hash|Charset|MessageID):[^\r\n\\]*+)*+(?:"
+    + _GAP + r"*+(?:[A-Za-z0-9+/]{16,}+={0,2}+|[A-Za-z0-9+/]++={1,2}+"
+    r"|(?<=\n[\x20\t>#*|\"']{0,16})[A-Za-z0-9+/]++(?=[\x20\t\"',;\\]*+(?:[\r\n]|\z))))*+)"
+)
 # Further rules of the method: name, pattern, a literal that each match holds.
 FURTHER = (
-    ("pem", r"-----BEGIN [A-Z ]{0,40}PRIVATE KEY-----", "PRIVATE KEY-----"),
+    ("pem", PEM, "PRIVATE KEY"),
     ("github", r"gh[pousr]_[A-Za-z0-9]{36,}+", "gh"),
     ("jwt", r"eyJ[A-Za-z0-9_-]{10,}+\.[A-Za-z0-9_-]{10,}+\.[A-Za-z0-9_-]{10,}+", "eyJ"),
     ("url", r"[a-z]{3,10}://[^/\s:@]{1,64}:[^/\s:@]{3,64}@", "://"),
