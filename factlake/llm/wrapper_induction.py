@@ -1,16 +1,18 @@
 """Main text of web pages by wrapper induction over the pages of a host.
 
-A bounded number of distinct pages per host are parsed to trees of their block
-elements and aligned by simple tree matching: two trees match if their roots
-have one signature (tag and classes), and their children are matched in order by
-dynamic programming. Nodes whose text is the same in the aligned pages are the
-host's template; slots whose text varies hold content. The wrapper of a host is
-the path of the deepest element that still holds most of the varying text. It is
-applied to every page of the host: all blocks below that path are the article,
-but for parts that their element or name marks as menus, headers and footers of
-the page, sidebars, notices, adverts, forms, scripts, styles or comments. A page
-without that path, or of a host with one page, is judged by itself, with every
-text as a varying one.
+Every page is parsed to a tree of its block elements. A slot is the path of an
+element (tags and classes, digits in classes folded) with the text it holds. Over
+all distinct pages of a host it is counted on how many pages a path occurs and on
+how many a slot does. Slots with one text on most of the pages that have their
+path, on LEAST pages or more, are the host's template; those that vary hold
+content. The same is decided among the pages of one layout (the containers a page
+has), so that a template of a few pages is found beside a large one. The wrapper
+of a layout is the list of its template slots. A page's article is every block
+that is neither a template slot nor part of an element that is marked as a menu,
+a header or footer of the page, a sidebar, a form, a hidden part and the like: by
+its tag, role or hidden attribute, or, for elements that hold other blocks, by a
+class or id that as a whole is a name of such a part. A page of which nothing
+would be left, or of a host with fewer pages, is judged by the marks alone.
 
 Null html is an empty page; an empty page has an empty text. Null urls are one
 host. Repeated ids and rows each keep their row. Markup that ends in the middle
@@ -22,20 +24,19 @@ from __future__ import annotations
 
 import html as entities
 import re
+from functools import lru_cache
+from hashlib import blake2b
 
-import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from factlake.session import materialize
 
-SAMPLE = 8
-# A slot must hold this share of the varying text for the wrapper to go into it.
-SHARE = 0.75
-# Nodes of a sample page that take part in the alignment.
-MOST_NODES = 3000
+# Pages with the same text in a slot that make a template.
+LEAST = 3
+# Levels of containers that tell layouts apart.
+LEVELS = 4
 
 # Elements by their role, and names of parts that are no article.
 _RAW = "script|style|noscript|template|textarea|iframe|svg|select|title"
@@ -45,35 +46,52 @@ _BLOCK = set(
     "center dialog menu hr".split()
 )
 _VOID = {"hr", "br", "img", "meta", "link", "input", "col", "area", "base", "embed", "source", "track", "wbr"}
-_LEAF = {"p", "h1", "h2", "h3", "h4", "h5", "h6", "li", "dt", "dd", "td", "th", "blockquote", "pre", "figcaption"}
+# Elements that are text themselves: names do not mark them.
+_LEAF = {"p", "h1", "h2", "h3", "h4", "h5", "h6", "li", "dt", "dd", "td", "th", "blockquote", "pre", "figcaption",
+         "figure", "caption", "details", "summary", "hr"}
 _NO_ARTICLE = {"nav", "aside", "footer", "form", "head", "menu", "dialog", "fieldset"}
 _NAME = re.compile(
-    r"(?:^|[\s_-])(?:ad|ads|adv|advert|adverts|advertisement|sponsor|sponsored|promo|banner|cookie|cookies|consent|"
-    r"gdpr|notice|notices|alert|popup|modal|newsletter|subscribe|signup|login|sidebar|side|widget|related|recommended|"
-    r"share|sharing|social|menu|nav|navbar|navigation|breadcrumb|breadcrumbs|pagination|pager|footer|masthead|"
-    r"site-header|page-header|topbar|comment|comments|reply|replies|respond|disqus|search)(?:$|[\s_-])", re.I
+    r"(?:(?:site|page|main|top|bottom|left|right|global|primary|secondary|post|entry|cookie|gdpr|email|user)[_-]?)?"
+    r"(?:ads?|adv|adverts?|advertisements?|sponsor|sponsored|promo|banner|cookies?|consent|gdpr|notices?|alert|popup|"
+    r"modal|newsletter|subscribe|signup|login|sidebar|related|recommended|share|sharing|social|menu|nav|navbar|"
+    r"navigation|breadcrumbs?|pagination|pager|footer|masthead|topbar|comments?|reply|replies|respond|disqus|search|"
+    r"site-header|page-header|widget)"
+    r"(?:[_-]?(?:bar|box|list|section|area|block|wrap|wrapper|container|widget|left|right|top|bottom|links?|form|"
+    r"notice|banner|buttons?|icons?|posts?|articles?|thread|slot|unit))?", re.I
 )
 _TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)|<(" + _RAW + r")\b[^>]*(?:>.*?(?:</\1\s*>|\Z)|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)([^>]*)(?:>|\Z)|<[!?/][^>]*(?:>|\Z)",
     re.S | re.I,
 )
-_ATTRIBUTE = re.compile(r"""(class|id|role)\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+)""", re.I)
-_HIDDEN = re.compile(r"display\s*:\s*none|\bhidden\b", re.I)
+_ATTRIBUTE = re.compile(r"""([^\s"'<>/=]+)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""")
+_UNSEEN = re.compile(r"(?:^|;)\s*display\s*:\s*none\b", re.I)
+_DIGITS = re.compile(r"[0-9]+")
 _ROLES = {"navigation", "banner", "contentinfo", "complementary", "search", "form", "dialog", "alert"}
 _CLOSES_P = _BLOCK - {"html", "head", "body"}
 
 
+def _hash(text: str) -> int:
+    return int.from_bytes(blake2b(text.encode("utf-8", "replace"), digest_size=8).digest(), "little", signed=True)
+
+
+@lru_cache(maxsize=65536)
+def _below(path: int, sign: str) -> int:
+    """The hash of the path one element further down."""
+    return _hash(f"{path}/{sign}")
+
+
 class Node:
-    __slots__ = ("tag", "sign", "dropped", "children", "texts", "parent")
+    __slots__ = ("tag", "path", "dropped", "parent", "level")
 
-    def __init__(self, tag, sign, dropped, parent):
-        self.tag, self.sign, self.dropped, self.parent = tag, sign, dropped, parent
-        self.children, self.texts = [], []
+    def __init__(self, tag, path, dropped, parent):
+        self.tag, self.path, self.dropped, self.parent = tag, path, dropped, parent
+        self.level = parent.level + 1 if parent else 0
 
 
-def parse(page: str) -> tuple[Node, list[tuple[Node, str]]]:
-    """The tree of block elements, and the page's text blocks in order with their element."""
-    root = at = Node("", "", False, None)
+def parse(page: str) -> tuple[int, list[tuple[Node, str]]]:
+    """The layout, and the page's text blocks in order with their element."""
+    at = Node("", 0, False, None)
+    containers: set[int] = set()
     blocks: list[tuple[Node, str]] = []
     run: list[str] = []
     place = 0
@@ -84,7 +102,6 @@ def parse(page: str) -> tuple[Node, list[tuple[Node, str]]]:
             run.clear()
             if text:
                 blocks.append((at, text))
-                at.texts.append(text)
 
     for token in _TOKEN.finditer(page):
         if token.start() > place:
@@ -111,148 +128,79 @@ def parse(page: str) -> tuple[Node, list[tuple[Node, str]]]:
             ends = {"p"} | ({tag} if tag in ("li", "dt", "dd", "tr", "td", "th") else set())
             if at.tag in ends:
                 at = at.parent
-        names = _ATTRIBUTE.findall(token.group(4)) if token.group(4) else ()
         classes, dropped = [], at.dropped or tag in _NO_ARTICLE
-        for name, value in names:
-            value = value.strip("\"'")
-            if name.lower() == "role":
+        for name, value in _ATTRIBUTE.findall(token.group(4)) if token.group(4) else ():
+            name, value = name.lower(), value.strip("\"'")
+            if name == "role":
                 dropped = dropped or value.lower() in _ROLES
-            elif tag not in ("html", "body", "article", "main"):
-                dropped = dropped or bool(_NAME.search(value))
-            if name.lower() == "class":
+            elif name in ("class", "id") and tag not in _LEAF and tag not in ("html", "body", "article", "main"):
+                dropped = dropped or any(map(_NAME.fullmatch, value.split()))
+            elif tag not in ("html", "body"):
+                dropped = dropped or name == "hidden" or (name == "style" and bool(_UNSEEN.search(value)))
+            if name == "class":
                 classes = sorted(value.split())
-        if token.group(4) and tag not in ("html", "body") and _HIDDEN.search(token.group(4)):
-            dropped = True
         if tag == "header":
             # The head of an article belongs to it, the head of the page does not.
             node = at
             while node is not None and node.tag not in ("article", "main"):
                 node = node.parent
             dropped = dropped or node is None
-        child = Node(tag, ".".join([tag, *classes]), dropped, at)
-        at.children.append(child)
+        child = Node(tag, _below(at.path, _DIGITS.sub("0", ".".join([tag, *classes]))), dropped, at)
+        if child.level <= LEVELS and not dropped and tag not in _LEAF:
+            containers.add(child.path)
         if tag not in _VOID:
             at = child
     if place < len(page):
         run.append(page[place:])
     flush()
-    return root, blocks
-
-
-def path_of(node: Node) -> str:
-    signs = []
-    while node is not None and node.parent is not None:
-        signs.append(node.sign)
-        node = node.parent
-    return "/".join(reversed(signs)) + "/"
-
-
-def tree_match(a: Node, b: Node, pairs: list | None = None) -> int:
-    """Size of the largest matching of two trees that keeps order and levels; pairs get its nodes."""
-    if a.sign != b.sign:
-        return 0
-    m, n = len(a.children), len(b.children)
-    weight = [[tree_match(x, y) for y in b.children] for x in a.children]
-    best = np.zeros((m + 1, n + 1), dtype=np.int64)
-    for i in range(1, m + 1):
-        for j in range(1, n + 1):
-            best[i, j] = max(best[i - 1, j], best[i, j - 1], best[i - 1, j - 1] + weight[i - 1][j - 1])
-    if pairs is not None:
-        pairs.append((a, b))
-        i, j = m, n
-        while i and j:
-            if weight[i - 1][j - 1] and best[i, j] == best[i - 1, j - 1] + weight[i - 1][j - 1]:
-                i, j = i - 1, j - 1
-                tree_match(a.children[i], b.children[j], pairs)
-            elif best[i, j] == best[i - 1, j]:
-                i -= 1
-            else:
-                j -= 1
-    return int(best[m, n]) + 1
-
-
-def _size(node: Node) -> int:
-    return 1 + sum(map(_size, node.children))
-
-
-def _content_path(root: Node, weight: dict[int, float]) -> str:
-    """The path of the deepest element that holds most of the weight."""
-    totals: dict[int, float] = {}
-
-    def total(node):
-        totals[id(node)] = 0.0 if node.dropped else weight.get(id(node), 0.0) + sum(map(total, node.children))
-        return totals[id(node)]
-
-    if not total(root):
-        return ""
-    node = root
-    while True:
-        by_sign: dict[str, list[Node]] = {}
-        for child in node.children:
-            by_sign.setdefault(child.sign, []).append(child)
-        most = max(by_sign.values(), key=lambda g: sum(totals[id(c)] for c in g), default=None)
-        if most is None or most[0].tag in _LEAF or sum(totals[id(c)] for c in most) < SHARE * totals[id(node)]:
-            return path_of(node) if node is not root else ""
-        node = max(most, key=lambda c: totals[id(c)])
-
-
-def induce(pages: list[str]) -> str:
-    """The content path of a host from some of its pages."""
-    trees = [t for t in (parse(p)[0] for p in pages) if _size(t) <= MOST_NODES]
-    if not trees:
-        return ""
-    base, others = trees[0], trees[1:]
-    same: dict[int, int] = {}
-    aligned: dict[int, int] = {}
-    lengths: dict[int, list[int]] = {}
-    for tree in others:
-        pairs: list = []
-        tree_match(base, tree, pairs)
-        for a, b in pairs:
-            aligned[id(a)] = aligned.get(id(a), 0) + 1
-            same[id(a)] = same.get(id(a), 0) + (a.texts == b.texts)
-            lengths.setdefault(id(a), []).append(sum(map(len, b.texts)))
-    weight: dict[int, float] = {}
-
-    def weigh(node):
-        own = sum(map(len, node.texts))
-        seen = aligned.get(id(node), 0)
-        constant = seen > 0 and 2 * same[id(node)] > seen
-        if not constant:
-            weight[id(node)] = float(np.mean([own, *lengths.get(id(node), [])]))
-        for child in node.children:
-            weigh(child)
-
-    weigh(base)
-    return _content_path(base, weight)
-
-
-def main_text(page: str | None, wrapper: str | None) -> str:
+    return _hash(str(sorted(containers))), blocks
+
+
+def slot_of(node: Node, text: str) -> int:
+    return _hash(f"{node.path}:{text}")
+
+
+def main_text(page: str | None, template: set[int]) -> str:
     """The article's blocks, two line feeds between them."""
     if not page:
         return ""
-    root, blocks = parse(page)
-    if wrapper:
-        kept = [t for node, t in blocks if not node.dropped and path_of(node).startswith(wrapper)]
-        if kept:
-            return "\n\n".join(kept)
-    weight: dict[int, float] = {}
-    for node, text in blocks:
-        weight[id(node)] = weight.get(id(node), 0.0) + len(text)
-    own = _content_path(root, weight)
-    return "\n\n".join(t for node, t in blocks if not node.dropped and path_of(node).startswith(own))
+    marked = [(node, text) for node, text in parse(page)[1] if not node.dropped]
+    kept = [text for node, text in marked if slot_of(node, text) not in template] if template else ()
+    return "\n\n".join(kept or [text for _, text in marked])
 
 
-def _induce_host(frame: pd.DataFrame) -> pd.DataFrame:
-    pages = sorted(set(frame["html"].dropna()))
-    return pd.DataFrame({"host": [frame["host"].iloc[0]], "wrapper": [induce(pages)]})
+def _slots(batches):
+    """A row per page and path, without slot, and per page and slot; both once per page."""
+    for batch in batches:
+        rows = []
+        for host, key, page in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
+            if not page:
+                continue
+            layout, blocks = parse(page)
+            slots = {(node.path, slot_of(node, text)) for node, text in blocks if not node.dropped}
+            rows += [(host, layout, path, slot, key) for path, slot in slots]
+            rows += [(host, layout, path, None, key) for path in {path for path, _ in slots}]
+        if rows:
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(column, type=pa.int64()) for column in zip(*rows, strict=True)],
+                ["host", "layout", "path", "slot", "key"],
+            )
+
+
+def _layouts(batches):
+    """The pages with the hash of their layout."""
+    for batch in batches:
+        layouts = [parse(page)[0] if page else 0 for page in batch.column(3).to_pylist()]
+        yield pa.RecordBatch.from_arrays(
+            [*batch.columns, pa.array(layouts, type=pa.int64())], ["host", "page_id", "url", "html", "layout"]
+        )
 
 
 def _extract(batches):
     for batch in batches:
         texts = [
-            main_text(page, wrapper)
-            for page, wrapper in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)
+            main_text(page, set(template or ()))
+            for page, template in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)
         ]
         yield pa.RecordBatch.from_arrays(
             [batch.column(0), batch.column(1), pa.array(texts, type=pa.string()),
@@ -261,31 +209,41 @@ def _extract(batches):
         )
 
 
-def host_wrappers(pages: DataFrame, sample: int = SAMPLE) -> DataFrame:
-    """``host, wrapper`` from at most ``sample`` distinct pages per host."""
-    chosen = (
-        pages.select("host", "key").groupBy("host", F.pmod("key", F.lit(sample)).alias("slot"))
-        .agg(F.min("key").alias("key")).select("host", "key")
+def host_wrappers(pages: DataFrame) -> DataFrame:
+    """``host, layout, template``: the template slots of each layout, from all pages."""
+    rows = pages.select("host", F.xxhash64("html").alias("key"), "html").mapInArrow(
+        _slots, "host long, layout long, path long, slot long, key long"
     )
-    # Copies of a page have one key, so a slot holds one distinct page. Written, so that the few
-    # keys reach the pages and the pages are not shuffled.
-    chosen = materialize(chosen, "sampled-pages")
-    return (
-        pages.join(chosen, ["host", "key"], "left_semi").dropDuplicates(["host", "key"]).select("host", "html")
-        .groupBy("host").applyInPandas(_induce_host, "host string, wrapper string")
+    # Copies of a page have one key and count once; the key is part of the first grouping, so that no
+    # task holds all slots of a host.
+    counted = materialize(
+        rows.distinct().groupBy("host", "layout", "path", "slot").agg(F.count(F.lit(1)).alias("n")), "slots"
     )
+    texts = counted.filter("slot is not null")
 
+    def constant(*group):
+        of_path = counted.filter("slot is null").groupBy(*group, "path").agg(F.sum("n").alias("pages"))
+        return (
+            texts.groupBy(*group, "path", "slot").agg(F.sum("n").alias("n")).filter(F.col("n") >= LEAST)
+            .join(of_path, [*group, "path"]).filter("2 * n > pages").select(*group, "slot")
+        )
 
-def extract_main_text(pages: DataFrame, sample: int = SAMPLE) -> DataFrame:
+    of_host = texts.select("host", "layout", "slot").join(constant("host"), ["host", "slot"], "left_semi")
+    return of_host.unionByName(constant("host", "layout")).groupBy("host", "layout").agg(
+        F.collect_set("slot").alias("template")
+    )
+
+
+def extract_main_text(pages: DataFrame) -> DataFrame:
     """``page_id, url, text, n_chars`` for each row of ``pages``."""
+    host = F.lower(F.regexp_extract(F.coalesce("url", F.lit("")), r"^[a-zA-Z][a-zA-Z0-9+.-]*://([^/?#]*)", 1))
     named = pages.select(
-        F.col("page_id").alias("page_id"), F.col("url").cast("string").alias("url"),
+        F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"),
         F.col("html").cast("string").alias("html"),
-    ).withColumn(
-        "host", F.lower(F.regexp_extract(F.coalesce("url", F.lit("")), r"^[a-zA-Z][a-zA-Z0-9+.-]*://([^/?#]*)", 1))
-    )
+    ).select(F.xxhash64(host).alias("host"), "page_id", "url", "html")
     # Written, so that the planner knows how few they are and pages of a large host stay where they are.
-    wrappers = materialize(host_wrappers(named.withColumn("key", F.xxhash64("html")), sample), "wrappers")
-    return named.join(wrappers, "host", "left").select("page_id", "url", "html", "wrapper").mapInArrow(
+    wrappers = materialize(host_wrappers(named), "wrappers")
+    laid_out = named.mapInArrow(_layouts, "host long, page_id long, url string, html string, layout long")
+    return laid_out.join(wrappers, ["host", "layout"], "left").select("page_id", "url", "html", "template").mapInArrow(
         _extract, "page_id long, url string, text string, n_chars long"
     )

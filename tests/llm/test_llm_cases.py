@@ -164,6 +164,26 @@ def test_main_text(spark):
     assert extract_main_text(frame(spark, rows, schema)).count() == len(rows)
 
 
+def _texts(spark, pages):
+    from factlake.llm.wrapper_induction import extract_main_text
+
+    rows = [(i, f"http://w.example/{i}", page) for i, page in enumerate(pages)]
+    got = extract_main_text(frame(spark, rows, "page_id long, url string, html string"))
+    return [r.text for r in got.orderBy("page_id").collect()]
+
+
+def test_main_text_of_several_layouts_and_long_pages(spark):
+    """Every page counts: three layouts of one host, and pages of thousands of blocks."""
+    shop = "<body><div class=item><p>Ships in two days</p><p>Lamp {0}</p></div></body>"
+    forum = "<body><div class=thread><div class=post><p>Be kind here</p><p>Says {0}</p></div></div></body>"
+    large = "<body><main><p>From our archive</p>" + "".join(f"<p>Line {j} of {{0}}</p>" for j in range(3500)) + "</main></body>"
+    pages = [shop.format(i) for i in range(30)] + [forum.format(i) for i in range(4)] + [large.format(i) for i in range(3)]
+    got = _texts(spark, pages)
+    assert got[:30] == [f"Lamp {i}" for i in range(30)]
+    assert got[30:34] == [f"Says {i}" for i in range(4)]
+    assert got[34:] == ["\n\n".join(f"Line {j} of {i}" for j in range(3500)) for i in range(3)]
+
+
 def test_neighbours(spark):
     from factlake.llm.collision_ann import nearest_neighbours
 
