@@ -172,6 +172,16 @@ def _texts(spark, pages):
     return [r.text for r in got.orderBy("page_id").collect()]
 
 
+def test_main_text_drops_what_is_constant_and_keeps_what_varies(spark):
+    """Names inside of other words, and the word hidden in other attributes, mark nothing."""
+    page = (
+        "<body><div class='overflow-hidden' title='Hidden gems'><div class=story aria-hidden=false><h2 id='search-algorithm'>On {0}"
+        "</h2><p>Read our terms first.</p><section id='social-impact'><p>Impact {0}</p></section><p class='side-note'>Note {0}"
+        "</p><p hidden>Not seen {0}</p><div style='display: none'>Nor {0}</div></div></div><div class='comments'>Nice {0}</div></body>"
+    )
+    assert _texts(spark, [page.format(i) for i in range(6)]) == [f"On {i}\n\nImpact {i}\n\nNote {i}" for i in range(6)]
+
+
 def test_main_text_of_several_layouts_and_long_pages(spark):
     """Every page counts: three layouts of one host, and pages of thousands of blocks."""
     shop = "<body><div class=item><p>Ships in two days</p><p>Lamp {0}</p></div></body>"
