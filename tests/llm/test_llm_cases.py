@@ -172,6 +172,20 @@ def _texts(spark, pages):
     return [r.text for r in got.orderBy("page_id").collect()]
 
 
+def test_main_text_keeps_all_parts_of_an_article(spark):
+    """Headline and lead, sections with heads, a second container of another class."""
+    shapes = [
+        "<article><h1>Head {0}</h1><div class=lead>Lead {0} words</div><div class=body><p>{1}</p></div></article>",
+        "<section><h2>Head {0}</h2><div class=text>Lead {0} words</div><div class=other>{1}</div></section>",
+        "<h1>Head {0}</h1><p>Lead {0} words</p><div class=a><div class=b><p>{1}</p></div></div>",
+    ]
+    for shape in shapes:
+        for n in (1, 6):
+            pages = ["<body><nav>Home</nav>" + shape.format(i, f"long text {i} " * 40) + "</body>" for i in range(n)]
+            want = [f"Head {i}\n\nLead {i} words\n\n{(f'long text {i} ' * 40).strip()}" for i in range(n)]
+            assert _texts(spark, pages) == want
+
+
 def test_main_text_drops_what_is_constant_and_keeps_what_varies(spark):
     """Names inside of other words, and the word hidden in other attributes, mark nothing."""
     page = (
