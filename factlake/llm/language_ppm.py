@@ -8,16 +8,15 @@ symbols not seen here. A text's code length under each language is exact for
 that model; the shortest wins, and the score is its share in the posterior under
 equal priors.
 
-Bytes are folded to at most SYMBOLS symbols (letters without case, one symbol
-for white space, digits and other ASCII each, the most frequent bytes of
-non-ASCII characters, and one for all others). Since statistics are frozen, the
-code lengths of all contexts fit a table, so that a text is scored by array
-look-ups. It is built in each worker from the counts.
+Bytes are folded to SYMBOLS symbols: letters without case, one symbol for white
+space, digits and other ASCII each, and every non-ASCII byte its own. The order
+is the same whatever the languages. Since statistics are frozen, the chance of
+every n-gram seen and the escape of every context seen are sorted arrays, which
+each task builds from the counts; n-grams of a text are looked up once each.
 
 The classifier is fitted on at most SAMPLE documents per language, chosen by
-hash from the fold that is not held out; languages are the values of ``lang``
-there, at most MOST_LANGUAGES (those with most documents). Every document is
-scored on its whole text.
+hash from the fold that is not held out; languages are all values of ``lang``
+there. Every document is scored on its whole text.
 
 Null texts and texts without a letter are ``und`` with score 0. Empty tables,
 or no labelled text at all, give ``und`` for every row. Each row is answered by
@@ -36,21 +35,18 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from factlake.llm.common import chunks, held_out
+from factlake.session import materialize
 
 SAMPLE = 2048
-MOST_LANGUAGES = 64
-SYMBOLS = 48
+SYMBOLS = 29 + 128
 ORDER = 3
-# A worker's table of code lengths has at most this many numbers; beyond, the order falls.
-MOST_ENTRIES = 48_000_000
-_CONTEXTS = 8192
 _LETTER = re.compile(rb"[A-Za-z]")
 
 
-def _folded() -> np.ndarray:
-    """Bytes to symbols 0..28: white space, letters, digits, others; non-ASCII bytes stay 255."""
-    to = np.full(256, 255, dtype=np.uint8)
-    to[:128] = 28
+def byte_symbols() -> np.ndarray:
+    """The symbol of each byte: white space, letters, digits, others; then the non-ASCII bytes."""
+    to = np.full(256, 28, dtype=np.uint8)
+    to[128:] = 29 + np.arange(128)
     to[[9, 10, 11, 12, 13, 32]] = 0
     for letter in range(26):
         to[65 + letter] = to[97 + letter] = 1 + letter
@@ -58,15 +54,6 @@ def _folded() -> np.ndarray:
     return to
 
 
-def byte_symbols(frequent: list[int]) -> np.ndarray:
-    """The symbol of each byte; ``frequent`` non-ASCII bytes have their own."""
-    to = _folded()
-    for i, byte in enumerate(frequent[:SYMBOLS - 30]):
-        to[byte] = 30 + i
-    to[to == 255] = 29
-    return to
-
-
 def _codes(symbols: np.ndarray, order: int) -> np.ndarray:
     """The number of each symbol with the ``order`` symbols before it."""
     code = symbols.astype(np.int32)
@@ -77,64 +64,71 @@ def _codes(symbols: np.ndarray, order: int) -> np.ndarray:
     return total
 
 
+class FrozenContexts:
+    """One language: chances of the n-grams seen and escapes of the contexts seen, order by order."""
+
+    def __init__(self, codes: np.ndarray, times: np.ndarray, order: int):
+        self.levels: list[tuple] = []
+        for k in range(order + 1):
+            # N-grams of the k symbols just before and the symbol itself.
+            grams, at = np.unique(codes % SYMBOLS ** (k + 1), return_inverse=True)
+            c = np.bincount(at, weights=times)
+            contexts, of = np.unique(grams // SYMBOLS, return_inverse=True)
+            n, d = np.bincount(of, weights=c), np.bincount(of)
+            shorter = self.chances(grams % SYMBOLS ** k) if k else np.full(len(grams), 1 / SYMBOLS)
+            # With every symbol seen nothing escapes.
+            some = d < SYMBOLS
+            mass = np.where(some, np.maximum(1 - np.bincount(of, weights=shorter), 1e-300), 1.0)
+            d = np.where(some, d, 0)
+            self.levels.append((grams, c / (n + d)[of], contexts, d / (n + d) / mass))
+
+    def chances(self, codes: np.ndarray) -> np.ndarray:
+        """Of each code's symbol after its context."""
+        out = np.full(len(codes), 1 / SYMBOLS)
+        for k, (grams, chance, contexts, escape) in enumerate(self.levels):
+            if not len(grams):
+                break
+            asked = codes % SYMBOLS ** (k + 1)
+            at = np.minimum(np.searchsorted(grams, asked), len(grams) - 1)
+            before = np.minimum(np.searchsorted(contexts, asked // SYMBOLS), len(contexts) - 1)
+            rest = np.where(contexts[before] == asked // SYMBOLS, escape[before], 1.0) * out
+            out = np.where(grams[at] == asked, chance[at], rest)
+        return out
+
+
 def ppm_lengths(counts: np.ndarray, order: int) -> np.ndarray:
-    """Code lengths in bits, ``(SYMBOLS ** order, SYMBOLS)``, from counts of that shape.
-
-    Counts of shorter contexts are sums of those of longer ones.
-    """
-    chance = np.full(SYMBOLS, 1 / SYMBOLS)
-    for k in range(order):
-        # Contexts of the k symbols just before: sum over the symbols further away.
-        c = counts.reshape(SYMBOLS ** (order - k), SYMBOLS ** k, SYMBOLS).sum(axis=0)
-        chance = _blended(c, chance.reshape(-1, SYMBOLS), 0)
-    # The longest contexts are many, so they are taken some at a time.
-    shorter, out = chance.reshape(-1, SYMBOLS), np.empty(counts.shape, dtype=np.float32)
-    for a in range(0, len(counts), _CONTEXTS):
-        out[a:a + _CONTEXTS] = -np.log2(_blended(counts[a:a + _CONTEXTS], shorter, a))
-    return out
-
-
-def _blended(c: np.ndarray, shorter: np.ndarray, first: int) -> np.ndarray:
-    """Chances in contexts ``first`` and on, from their counts and the chances one symbol shorter."""
-    shorter = shorter[(first + np.arange(len(c))) % len(shorter)]
-    c = c.astype(np.float64)
-    seen = c > 0
-    n, d = c.sum(axis=1, keepdims=True), seen.sum(axis=1, keepdims=True)
-    rest = np.where(seen, 0.0, shorter)
-    mass = rest.sum(axis=1, keepdims=True)
-    # With every symbol seen nothing escapes.
-    escape = np.where(mass > 0, d, 0)
-    with np.errstate(divide="ignore", invalid="ignore"):
-        return np.where(n > 0, (c + escape * rest / np.where(mass > 0, mass, 1)) / (n + escape), shorter)
+    """Code lengths in bits, ``(SYMBOLS ** order, SYMBOLS)``, from counts of that shape."""
+    seen = np.flatnonzero(counts)
+    frozen = FrozenContexts(seen, counts.reshape(-1)[seen], order)
+    return -np.log2(frozen.chances(np.arange(SYMBOLS ** (order + 1)))).reshape(-1, SYMBOLS)
 
 
 class PpmModel:
-    """Frozen statistics of all languages; small enough to send to every worker."""
+    """Frozen statistics of all languages, sent to every worker."""
 
     def __init__(self, languages: list[str], frequent: list[int], order: int):
+        """``frequent`` bytes need no mention: every non-ASCII byte has a symbol."""
         self.languages, self.order = languages, order
-        self.symbols = byte_symbols(frequent)
+        self.symbols = byte_symbols()
         self.counts: list[tuple[np.ndarray, np.ndarray]] = []
-        self.table = None
-
-    def lengths(self) -> np.ndarray:
-        """Code lengths of every symbol in context, one column per language."""
-        if self.table is None:
-            self.table = np.empty((SYMBOLS ** (self.order + 1), len(self.languages)), dtype=np.float32)
-            for i, (codes, times) in enumerate(self.counts):
-                counts = np.zeros(SYMBOLS ** (self.order + 1), dtype=np.int32)
-                counts[codes] = times
-                self.table[:, i] = ppm_lengths(counts.reshape(-1, SYMBOLS), self.order).reshape(-1)
-        return self.table
+        self.frozen = None
+
+    def lengths(self, codes: np.ndarray) -> np.ndarray:
+        """Code lengths of n-grams, one column per language."""
+        if self.frozen is None:
+            self.frozen = [FrozenContexts(grams, times, self.order) for grams, times in self.counts]
+        out = np.empty((len(codes), len(self.languages)), dtype=np.float32)
+        for i, language in enumerate(self.frozen):
+            out[:, i] = -np.log2(language.chances(codes))
+        return out
 
     def __getstate__(self):
-        return {**self.__dict__, "table": None}
+        return {**self.__dict__, "frozen": None}
 
     def score(self, texts: list[bytes | None]) -> list[tuple[str, float]]:
         """Language and posterior of each text."""
         if not self.languages:
             return [("und", 0.0)] * len(texts)
-        table = self.lengths()
         data = np.frombuffer(b"".join((t or b"") + b" " * self.order for t in texts), dtype=np.uint8)
         ends = np.cumsum([len(t or b"") + self.order for t in texts])
         # Whole texts, in pieces that stay small; the padding of the text before is the first context.
@@ -148,7 +142,8 @@ class PpmModel:
             inside = np.searchsorted(ends, [begin, begin + len(codes) - 1], side="right")
             first, last = int(inside[0]), int(inside[1])
             cuts = np.maximum(text_start[first:last + 1] - begin, 0)
-            bits[first:last + 1] += np.add.reduceat(table[codes], cuts, axis=0, dtype=np.float64)
+            seen, at = np.unique(codes, return_inverse=True)
+            bits[first:last + 1] += np.add.reduceat(self.lengths(seen)[at], cuts, axis=0, dtype=np.float64)
         best = bits.argmin(axis=1)
         gap = np.minimum((bits - bits.min(axis=1, keepdims=True)) * np.log(2), 700)
         share = 1 / np.exp(-gap).sum(axis=1)
@@ -166,23 +161,15 @@ def has_letter(text: bytes | None) -> bool:
 
 def fit_languages(documents: DataFrame, sample: int = SAMPLE, order: int = ORDER) -> PpmModel:
     """A model of the languages of ``documents`` outside the held-out fold."""
-    spark = documents.sparkSession
     learn = documents.filter(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~held_out(F.col("doc_id")))
-    names = [
-        row["lang"] for row in learn.groupBy("lang").agg(F.count(F.lit(1)).alias("n"))
-        .orderBy(F.desc("n"), "lang").limit(MOST_LANGUAGES).collect()
-    ]
-    if not names:
-        return PpmModel([], [], order)
     # The document with the smallest hash in each of the sample's slots.
     h = F.xxhash64("doc_id", F.lit(8))
     chosen = (
-        learn.filter(F.col("lang").isin(names)).select("lang", "doc_id", h.alias("h"))
+        learn.select("lang", "doc_id", h.alias("h"))
         .groupBy("lang", F.pmod("h", F.lit(sample)).alias("slot")).agg(F.min(F.struct("h", "doc_id")).alias("one"))
         .select("lang", F.col("one.doc_id").alias("doc_id"))
     )
-    rows = chosen.collect()  # at most sample * MOST_LANGUAGES ids
-    ids = spark.createDataFrame([(r["lang"], r["doc_id"]) for r in rows], "lang string, doc_id long")
+    ids = materialize(chosen, "language-sample")  # at most sample ids per language
     texts = learn.select("lang", "doc_id", "text").join(F.broadcast(ids), ["lang", "doc_id"], "left_semi")
     counted = (
         texts.select("lang", "text").groupBy("lang")
@@ -229,28 +216,21 @@ def _counts_of(frame, order):
 
 def _joined(parts: dict, order: int) -> PpmModel:
     """One model of all languages from their counts of byte n-grams."""
-    high = np.zeros(256, dtype=np.int64)
-    for grams, times in parts.values():
-        high += np.bincount((grams & np.uint64(255)).astype(np.int64), weights=times, minlength=256).astype(np.int64)
-    frequent = [int(b) for b in np.argsort(-high[128:], kind="stable") + 128 if high[b]]
-    full = order
-    while order > 1 and SYMBOLS ** (order + 1) * max(1, len(parts)) > MOST_ENTRIES:
-        order -= 1
-    model = PpmModel(sorted(parts), frequent, order)
+    model = PpmModel(sorted(parts), [], order)
     for language in model.languages:
         grams, times = parts[language]
         code = np.zeros(len(grams), dtype=np.int64)
-        for k in range(full - order, full + 1):
-            byte = (grams >> np.uint64(8 * (full - k))) & np.uint64(255)
+        for k in range(order + 1):
+            byte = (grams >> np.uint64(8 * (order - k))) & np.uint64(255)
             code = code * SYMBOLS + model.symbols[byte.astype(np.int64)]
-        total = np.bincount(code, weights=times, minlength=SYMBOLS ** (order + 1)).astype(np.int64)
-        some = np.flatnonzero(total)
-        model.counts.append((some.astype(np.int32), total[some].astype(np.int32)))
+        some, at = np.unique(code, return_inverse=True)
+        total = np.bincount(at, weights=times)
+        model.counts.append((some.astype(np.int32), total.astype(np.int32)))
     return model
 
 
 def _score(batches, model):
-    # The table is built by each task and goes with it: a worker keeps no memory for later stages.
+    # The arrays are built by each task and go with it: a worker keeps no memory for later stages.
     for batch, texts in chunks(batches, "text"):
         answers = model.score(texts)
         yield pa.RecordBatch.from_arrays(

@@ -327,6 +327,33 @@ def test_language(spark):
     assert not {r.doc_id for r in kept.collect()} & {1, 2, 3, 11, 15}
 
 
+def test_all_languages_are_learnt_at_one_order(spark):
+    """Over 64 languages, and small scripts that share lead bytes beside large ones."""
+    from factlake.llm.language_ppm import ORDER, fit_languages, predict_language
+
+    rng = random.Random(6)
+    scripts = {"ru": (0x430, 32, 60), "zh": (0x4E00, 3000, 60), "th": (0xE01, 40, 8), "lo": (0xE81, 30, 8),
+               "km": (0x1780, 40, 8), "ka": (0x10D0, 33, 8)}
+    rows, asked = [], 0
+
+    def add(lang, words, n):
+        nonlocal asked
+        for _ in range(n):
+            rows.append((len(rows), " ".join(rng.choices(words, k=40)), lang))
+        asked += n
+
+    for lang, (first, size, n) in scripts.items():
+        letters = [chr(first + i) for i in range(size)]
+        add(lang, ["".join(rng.choices(letters, k=4)) for _ in range(50)], n)
+    for i in range(70):
+        add(f"x{i:02}", ["".join(rng.choices("abcdefghijklmnoprstu", k=5)) for _ in range(40)], 6)
+    docs = frame(spark, rows)
+    model = fit_languages(docs)
+    assert (model.order, set(model.languages)) == (ORDER, {r[2] for r in rows})
+    got = {r.doc_id: r for r in predict_language(docs, model).collect()}
+    assert all(got[d].lang_pred == lang for d, _, lang in rows)
+
+
 @settings(max_examples=20, deadline=None)
 @given(st.lists(st.text("abc é", max_size=20), min_size=1, max_size=4), st.text("abcd é", min_size=1, max_size=12))
 def test_code_lengths_are_exact(train, text):
