@@ -49,3 +49,42 @@ SELECT d.doc_id, cast(len(words) AS bigint) AS n_words, coalesce(n_hit, 0) AS n_
   coalesce(n_items, 0) AS n_items, sha256(coalesce(ids, '')) AS items_sha256,
   coalesce(n_hit, 0) > 0 AS contaminated
 FROM docs d LEFT JOIN hits USING (doc_id) LEFT JOIN listed USING (doc_id)"""
+
+
+def _grid_codes() -> str:
+    """Every part against every entry, in two rounds and at the end."""
+    near = """
+n{k} AS MATERIALIZED (
+  SELECT vec_id, part, arg_min(entry, (d, entry)) AS entry, min(d) AS d
+  FROM (SELECT p.vec_id, p.part, c.entry, list_sum(list_transform(range(1, len(p.xs) + 1),
+          lambda i: (p.xs[i] - c.xs[i]) * (p.xs[i] - c.xs[i]))) AS d
+        FROM parts p JOIN c{k} c USING (part)) GROUP BY vec_id, part)"""
+    moved = """
+c{m} AS MATERIALIZED (
+  SELECT c.part, c.entry, coalesce(m.xs, c.xs) AS xs FROM c{k} c LEFT JOIN (
+    SELECT part, entry, list((s - ((s % n) + n) % n) // n ORDER BY i) AS xs FROM (
+      SELECT part, entry, i, sum(p.xs[i]) AS s, count(*) AS n
+      FROM n{k} JOIN parts p USING (vec_id, part), (SELECT unnest(range(1, 5)) AS i)
+      GROUP BY part, entry, i) GROUP BY part, entry) m USING (part, entry))"""
+    return f"""
+WITH kept AS MATERIALIZED (
+  SELECT vec_id, label, list_transform(embedding, lambda x: cast(floor(256 * cast(x AS double)) AS hugeint)) AS xs
+  FROM embeddings WHERE embedding IS NOT NULL
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+parts AS MATERIALIZED (
+  SELECT vec_id, part, xs[part * 4 + 1:part * 4 + 4] AS xs FROM kept, (SELECT unnest(range(16)) AS part)),
+c0 AS MATERIALIZED (
+  SELECT part, entry, xs FROM parts JOIN (
+    SELECT vec_id, row_number() OVER (ORDER BY vec_id) - 1 AS entry FROM kept) USING (vec_id) WHERE entry < 64),
+{near.format(k=0)},{moved.format(k=0, m=1)},{near.format(k=1)},{moved.format(k=1, m=2)},{near.format(k=2)},
+book AS (
+  SELECT sha256(string_agg(array_to_string(xs, ','), ',' ORDER BY part, entry)) AS codebooks_sha256 FROM c2),
+coded AS (
+  SELECT vec_id, string_agg(format('{{:02x}}', entry), '' ORDER BY part) AS code, cast(sum(d) AS bigint) AS error
+  FROM n2 GROUP BY vec_id)
+SELECT vec_id, code, error, cast(sum(error) OVER (PARTITION BY label) AS bigint) AS label_error, codebooks_sha256
+FROM coded JOIN kept USING (vec_id), book"""
+
+
+# Vectors of 64 components, as the table has them.
+GRID_CODES = _grid_codes()

@@ -13,6 +13,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {
     "op1_ngram_jaccard": oracles.NGRAM_JACCARD,
     "op10_decontaminate": oracles.DECONTAMINATE,
+    "op13_grid_codes": oracles.GRID_CODES,
 }
 
 
@@ -89,3 +90,19 @@ def op9_masked_lm(spark, sf_dir):
     from factlake.llm.masked_lm import score_documents
 
     return score_documents(table(spark, sf_dir, "documents"))
+
+
+@query
+def op13_grid_codes(spark, sf_dir):
+    from factlake.llm.grid_codes import code_digest, learn_codebooks, write_codes
+
+    embeddings = table(spark, sf_dir, "embeddings")
+    codebooks = learn_codebooks(embeddings)
+    return code_digest(write_codes(embeddings, codebooks), codebooks)
+
+
+@query
+def op12_quality_nbsvm(spark, sf_dir):
+    from factlake.llm.quality_nbsvm import score_quality
+
+    return score_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
