@@ -88,3 +88,39 @@ FROM coded JOIN kept USING (vec_id), book"""
 
 # Vectors of 64 components, as the table has them.
 GRID_CODES = _grid_codes()
+
+# Every kept term of every group, each source of a language beside each other one.
+SOURCE_DIVERGENCE = rf"""
+WITH d AS (
+  SELECT row_number() OVER () AS row, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+    regexp_extract_all({_LOWER}, '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') AS terms FROM documents),
+groups AS (SELECT DISTINCT lang, source FROM d),
+t AS MATERIALIZED (SELECT row, lang, source, unnest(terms) AS term FROM d),
+kept AS MATERIALIZED (SELECT lang, term FROM t GROUP BY lang, term HAVING count(DISTINCT row) >= 30),
+c AS MATERIALIZED (
+  SELECT lang, source, term, count(*) AS n FROM t SEMI JOIN kept USING (lang, term) GROUP BY ALL),
+v AS (SELECT lang, count(*) AS v FROM kept GROUP BY lang),
+gn AS (SELECT lang, source, sum(n) AS total FROM c GROUP BY ALL),
+ln AS (SELECT lang, sum(n) AS total FROM c GROUP BY ALL),
+p AS MATERIALIZED (
+  SELECT lang, source, term, coalesce(c.n, 0) AS n,
+    1 + (1000000000 * (coalesce(c.n, 0) + 5)) // (coalesce(gn.total, 0) + 5 * v) AS p
+  FROM groups JOIN kept USING (lang) JOIN v USING (lang)
+  LEFT JOIN c USING (lang, source, term) LEFT JOIN gn USING (lang, source)),
+q AS MATERIALIZED (
+  SELECT lang, term, 1 + (1000000000 * (sum(n) + 5)) // (any_value(ln.total) + 5 * any_value(v)) AS q
+  FROM c JOIN v USING (lang) JOIN ln USING (lang) GROUP BY lang, term),
+pairs AS (
+  SELECT a.lang, a.source, 'pair' AS part, b.source AS item, sum(abs(a.p - b.p)) AS value
+  FROM p a JOIN p b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source
+  GROUP BY a.lang, a.source, b.source),
+alone AS (
+  SELECT a.lang, a.source, 'pair' AS part, b.source AS item, coalesce(value, 0) AS value
+  FROM groups a JOIN groups b ON a.lang = b.lang AND a.source <> b.source
+  LEFT JOIN pairs x ON x.lang = a.lang AND x.source = a.source AND x.item = b.source),
+rows AS (
+  SELECT * FROM alone UNION ALL
+  SELECT lang, source, 'term', term, p - q FROM p JOIN q USING (lang, term) WHERE n > 0 AND p > q)
+SELECT lang, source, part, item, cast(value AS bigint) AS value, cast(rank AS integer) AS rank FROM (
+  SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS rank FROM rows)
+WHERE part = 'pair' OR rank <= 50"""

@@ -13,6 +13,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {
     "op1_ngram_jaccard": oracles.NGRAM_JACCARD,
     "op10_decontaminate": oracles.DECONTAMINATE,
+    "op11_source_divergence": oracles.SOURCE_DIVERGENCE,
     "op13_grid_codes": oracles.GRID_CODES,
 }
 
@@ -106,3 +107,10 @@ def op12_quality_nbsvm(spark, sf_dir):
     from factlake.llm.quality_nbsvm import score_quality
 
     return score_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+@query
+def op11_source_divergence(spark, sf_dir):
+    from factlake.llm.source_divergence import audit_sources
+
+    return audit_sources(table(spark, sf_dir, "documents"))
