@@ -137,12 +137,13 @@ class Forest:
         """For each pair of sources, the sum of differences of their shares over all terms."""
         pair = np.arange(len(left))
         a, b, times = self.roots[left], self.roots[right], np.ones(len(left), dtype=np.int64)
-        for children in self.levels[:0:-1]:
+        for level in range(len(self.levels) - 1, 0, -1):
             self.opened += len(a)
-            size = len(children)
+            children = self.levels[level]
             pair, a, b, times = _together(
                 np.concatenate([pair, pair]), np.concatenate([children[a, 0], children[a, 1]]),
-                np.concatenate([children[b, 0], children[b, 1]]), np.concatenate([times, times]), size,
+                np.concatenate([children[b, 0], children[b, 1]]), np.concatenate([times, times]),
+                len(left), len(self.levels[level - 1]),
             )
         counts = self.levels[0]
         self.opened += len(a)
@@ -154,9 +155,13 @@ class Forest:
         return total - (self.padded - terms) * np.abs(share(none, whole[left]) - share(none, whole[right]))
 
 
-def _together(pair, a, b, times, size):
+def _together(pair, a, b, times, pairs, nodes):
     """Equal entries as one, with the sum of their places."""
-    order = np.lexsort((b, a, pair))
+    if not len(pair):
+        return pair, a, b, times
+    # One number for an entry where it fits.
+    fits = pairs * nodes * nodes < 1 << 62
+    order = np.argsort((pair * nodes + a) * nodes + b, kind="stable") if fits else np.lexsort((b, a, pair))
     pair, a, b, times = pair[order], a[order], b[order], times[order]
     new = np.flatnonzero(np.append(True, (pair[1:] != pair[:-1]) | (a[1:] != a[:-1]) | (b[1:] != b[:-1])))
     return pair[new], a[new], b[new], np.add.reduceat(times, new)
