@@ -13,8 +13,8 @@ margins of rows that a first fit did not see turns margins into scores.
 
 Fitted on a bounded sample, which one task holds: at most SAMPLE labelled rows
 by hash from the fold that is not held out, and no more of them than have
-MOST_FEATURES features together. The weights, at most 2 ** BITS numbers, go to
-every worker and each whole text is scored in one pass. Labels, language, source
+MOST_FEATURES features together. The weights, 2 ** BITS numbers of four bytes, go
+to every worker and each whole text is scored in one pass. Labels, language, source
 and id are never features.
 
 Defined cases. Null texts are empty; texts without tokens get the score of no
@@ -231,14 +231,13 @@ def _learn(batches, most):
     else:
         weights = np.zeros((1 << BITS) + 1)
         weights[-1] = np.log((y.sum() + 1) / (len(y) - y.sum() + 1))
-    some = np.flatnonzero(weights)
-    yield pa.RecordBatch.from_arrays([pa.array(some.astype(np.int32)), pa.array(weights[some])], ["slot", "weight"])
+    yield pa.RecordBatch.from_arrays([pa.array([weights.astype("<f4").tobytes()])], ["weights"])
 
 
 def fit_quality(
     documents: DataFrame, labels: DataFrame, sample: int = SAMPLE, most_features: int = MOST_FEATURES,
-) -> tuple[np.ndarray, np.ndarray]:
-    """``slots, weights`` that are not zero, at most 2 ** BITS and the bias; their sum's logistic is the score."""
+) -> np.ndarray:
+    """A weight for each slot, then the bias; the logistic of a text's sum is its score."""
     spark = documents.sparkSession
     h = F.xxhash64("doc_id", F.lit(12))
     known = (
@@ -262,14 +261,15 @@ def fit_quality(
     # One task learns from the bounded sample, in an order that no location decides.
     model = (
         found.repartition(1).sortWithinPartitions("h", "doc_id", "blob").select("quality", "slots")
-        .mapInArrow(partial(_learn, most=most_features), "slot int, weight double").toPandas()
+        .mapInArrow(partial(_learn, most=most_features), "weights binary").toArrow()
     )
-    return model["slot"].to_numpy(dtype=np.int64), model["weight"].to_numpy(dtype=np.float64)
+    if not model.num_rows:
+        return np.zeros((1 << BITS) + 1, dtype="<f4")
+    return np.frombuffer(model.column("weights")[0].as_py(), dtype="<f4")
 
 
-def _score(batches, slots, weights, threshold):
-    table = np.zeros((1 << BITS) + 1)
-    table[slots] = weights
+def _score(batches, weights, threshold):
+    table = weights.astype(np.float64)
     for batch, texts in chunks(batches, "text"):
         found, owner = features(texts)
         total = table[-1] + np.bincount(owner, weights=table[found], minlength=len(texts))
@@ -282,12 +282,12 @@ def _score(batches, slots, weights, threshold):
 
 def score_quality(documents: DataFrame, labels: DataFrame, threshold: float = 0.3) -> DataFrame:
     """``doc_id, held_out, score, predicted`` for each row of ``documents``."""
-    slots, weights = fit_quality(documents, labels)
+    weights = fit_quality(documents, labels)
     asked = documents.select(
         F.col("doc_id").cast("long").alias("doc_id"), held_out(F.col("doc_id")).alias("held_out"),
         F.col("text").cast("string").alias("text"),
     )
     return asked.mapInArrow(
-        partial(_score, slots=slots, weights=weights, threshold=threshold),
+        partial(_score, weights=weights, threshold=threshold),
         "doc_id long, held_out boolean, score double, predicted int",
     )
