@@ -1,6 +1,6 @@
-"""Writing facts in bulk: the decision table, import and remember."""
+"""Writing facts in bulk: the decision table and import."""
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -8,7 +8,6 @@ from factlake.functions.embed import Embedder, embed_column
 from factlake.functions.scalars import append_corroborated, parse_agent_id, pin_on_critical
 from factlake.operators import filters
 from factlake.operators.filters import content_reason, moment
-from factlake.operators.lifecycle import outdated_lexemes
 from factlake.operators.search import similarity_rows
 from factlake.operators.simjoin import best_hits
 from factlake.schema import DEDUP_THRESHOLD, MAX_CONTENT_LENGTH
@@ -216,7 +215,7 @@ def import_batch(
     if on_invalid == "fail" and rejected.limit(1).count():
         return memory, rejected
     valid = checked.filter(F.col("reason").isNull()).drop("reason")
-    valid = materialize(_with_vectors(valid, embedder), "import-batch")
+    valid = materialize(with_vectors(valid, embedder), "import-batch")
     decided = import_decisions(memory, valid, project_id, agent, threshold)
     decided = materialize(decided, "import-decisions")
     rows = valid.join(decided, "ordinal").withColumns({
@@ -232,7 +231,7 @@ def import_batch(
     return append_memories(memory, new_facts(rows, as_of), as_of), outcomes.unionByName(rejected)
 
 
-def _with_vectors(rows: DataFrame, embedder: Embedder | None) -> DataFrame:
+def with_vectors(rows: DataFrame, embedder: Embedder | None) -> DataFrame:
     """``rows`` with a vector wherever none was given."""
     if "embedding" not in rows.columns:
         return embed_column(rows, "content", embedder)
@@ -264,99 +263,3 @@ def import_errors(outcomes: DataFrame, max_len: int = MAX_CONTENT_LENGTH) -> Dat
             .otherwise(": content must not be empty"),
         ).alias("message"),
     )
-
-
-# --- remember ---------------------------------------------------------------------
-
-def remember_batch(
-    memory: DataFrame,
-    facts: DataFrame,
-    as_of,
-    embedder: Embedder | None = None,
-    threshold: float = DEDUP_THRESHOLD,
-    max_len: int = MAX_CONTENT_LENGTH,
-):
-    """(new memory, report) of storing facts of any authors and projects.
-
-    Facts carry ``seq, project_id, created_by, content, tags, repo,
-    importance`` (and ``embedding``, else they are embedded).  All facts of a
-    batch are checked against the stored state, as requests that arrive
-    together are; a text its author repeats in the batch counts as one fact
-    whose given fields are replaced by later ones.  Several updates of one row
-    apply in order.  Report: ``seq, id, action, reason``.
-    """
-    checked = facts.withColumn("reason", content_reason(F.col("content"), max_len))
-    rejected = checked.filter(F.col("reason").isNotNull()).select(
-        "seq", F.lit(None).cast("string").alias("id"), F.lit("reject").alias("action"), "reason"
-    )
-    valid = checked.filter(F.col("reason").isNull()).drop("reason")
-    key = ["project_id", "created_by", "content"]
-
-    def last_given(name: str) -> Column:
-        return F.max_by(name, F.when(F.col(name).isNotNull(), F.col("seq"))).alias(name)
-
-    merged = valid.groupBy(*key).agg(
-        F.min("seq").alias("candidate_id"), F.max("seq").alias("last_seq"),
-        last_given("tags"), last_given("repo"), last_given("importance"),
-        *([F.min_by("embedding", "seq").alias("embedding")]
-          if "embedding" in valid.columns else []),
-    )
-    merged = materialize(_with_vectors(merged, embedder), "remember-batch")
-
-    probes = merged.select(
-        F.col("candidate_id").cast("string").alias("query_id"),
-        F.col("project_id").alias("part"), F.col("embedding").alias("vec"),
-        F.lit(float(threshold)).alias("threshold"), F.lit(1).alias("limit"),
-    ).filter(F.col("vec").isNotNull())
-    # The nearest row by the author wins a tie with a row by someone else, so
-    # the best hit per author is asked for and the rest decided below.
-    nearest = best_hits(
-        similarity_rows(filters.active(memory), F.col("created_by").alias("label")), probes
-    ).withColumn("candidate_id", F.col("query_id").cast("bigint"))
-    author = merged.select("candidate_id", "created_by")
-    order = Window.partitionBy("candidate_id").orderBy(
-        F.desc("similarity"), F.desc("same"), F.asc("id")
-    )
-    matches = (
-        nearest.join(author, "candidate_id")
-        .withColumn("same", F.col("label") == F.col("created_by"))
-        .withColumn("rank", F.row_number().over(order))
-        .filter("rank = 1")
-        .select("candidate_id", "rank", "id", "similarity", F.col("label").alias("created_by"))
-    )
-    decided = materialize(decide_action(merged, matches, "remember"), "remember-decided")
-
-    updates = decided.filter("action = 'update'").groupBy("match_id").agg(
-        F.max_by("content", "last_seq").alias("new_content"),
-        F.max_by("embedding", "last_seq").alias("new_embedding"),
-        *[F.max_by(c, F.when(F.col(c).isNotNull(), F.col("last_seq"))).alias(f"new_{c}")
-          for c in ("tags", "repo", "importance")],
-    )
-    renewed = F.col("new_content").isNotNull()
-    updated = memory.join(
-        updates.withColumnRenamed("match_id", "id"), "id", "left"
-    ).withColumns({
-        **{name: F.when(renewed, value).otherwise(F.col(name))
-           for name, value in outdated_lexemes(memory).items()},
-        "content": F.coalesce("new_content", "content"),
-        "embedding": F.coalesce("new_embedding", "embedding"),
-        "tags": F.coalesce("new_tags", "tags"),
-        "repo": F.coalesce("new_repo", "repo"),
-        "importance": F.coalesce("new_importance", "importance"),
-        "updated_at": F.when(F.col("new_content").isNotNull(), moment(memory, as_of))
-        .otherwise(F.col("updated_at")),
-    }).select(*memory.columns)
-    inserted = new_facts(decided, as_of)
-    target = F.coalesce(
-        F.when(F.col("action") == "update", F.col("match_id")),
-        derived_id(F.col("project_id"), F.col("created_by"),
-                   F.col("candidate_id").cast("string"), F.col("content"), F.lit(str(as_of))),
-    )
-    outcome = decided.select(*key, target.alias("id"), "action", "candidate_id")
-    report = valid.join(outcome, key).select(
-        "seq", "id",
-        F.when(F.col("seq") > F.col("candidate_id"), "update")
-        .otherwise(F.col("action")).alias("action"),
-        F.lit(None).cast("string").alias("reason"),
-    )
-    return append_memories(updated, inserted, as_of), report.unionByName(rejected)

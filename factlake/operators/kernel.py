@@ -54,6 +54,7 @@ class Probes:
     floor: np.ndarray
     limit: np.ndarray
     before: np.ndarray | None
+    after: np.ndarray | None
     scope: np.ndarray | None
 
     @classmethod
@@ -75,6 +76,7 @@ class Probes:
             floor=column("floor", -2.0),
             limit=column("limit", 1, np.int64),
             before=_optional(table, "before", np.iinfo(np.int64).max, np.int64),
+            after=_optional(table, "after", np.iinfo(np.int64).min, np.int64),
             scope=_optional(table, "scope", 0, np.int64),
         )
 
@@ -105,6 +107,7 @@ class BestHits:
         part = table.column("part").to_pandas()
         labels = _optional(table, "label", "", object)
         order = _optional(table, "ord", 0, np.int64)
+        until = _optional(table, "until", np.iinfo(np.int64).max, np.int64)
         scopes = None
         if probes.scope is not None:
             scopes = _scope_mask(table.column("scopes"), int(probes.scope.max(initial=0)) + 1)
@@ -118,10 +121,11 @@ class BestHits:
             step = max(1, _CELLS_PER_STEP // len(queries))
             for start in range(0, len(rows), step):
                 self._match(
-                    rows[start:start + step], queries, vectors, ids, id_rank, labels, order, scopes
+                    rows[start:start + step], queries, vectors, ids, id_rank, labels, order, until,
+                    scopes,
                 )
 
-    def _match(self, rows, queries, vectors, ids, id_rank, labels, order, scopes) -> None:
+    def _match(self, rows, queries, vectors, ids, id_rank, labels, order, until, scopes) -> None:
         """Add the best hits of some rows of one label."""
         probes = self.probes
         limit = probes.limit[queries]
@@ -136,6 +140,10 @@ class BestHits:
             near &= scopes[rows][:, probes.scope[queries]]
         if order is not None and probes.before is not None:
             near &= order[rows][:, None] < probes.before[queries][None, :]
+        if order is not None and probes.after is not None:
+            near &= order[rows][:, None] > probes.after[queries][None, :]
+        if until is not None and probes.before is not None:
+            near &= until[rows][:, None] >= probes.before[queries][None, :]
         self._thin(near, order[rows] if self.by_order else products, limit + self.exclude_self)
         flat = np.flatnonzero(near)
         similarity = np.round(products.ravel()[flat], SIMILARITY_DECIMALS)

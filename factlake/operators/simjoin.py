@@ -14,9 +14,11 @@ Two plans give the same rows:
 Neither plan lists the pairs of a group: a block is multiplied as two matrices
 and only the best hits per probe come out.
 
-Rows carry ``id, part, vec`` and optionally ``label, ord, scopes``; probes
-carry ``query_id, part, vec, threshold, limit`` and optionally ``floor,
-before, scope``.  Only rows and probes of the same ``part`` meet.
+Rows carry ``id, part, vec`` and optionally ``label, ord, until, scopes``;
+probes carry ``query_id, part, vec, threshold, limit`` and optionally ``floor,
+before, after, scope``.  Only rows and probes of the same ``part`` meet, rows
+whose ``ord`` lies between ``after`` and ``before`` and which last ``until``
+the latter at least.
 """
 
 import math

@@ -17,6 +17,7 @@ from factlake.operators import (
     lifecycle,
     listing,
     projections,
+    remember,
     reports,
     search,
     textindex,
@@ -581,23 +582,34 @@ def _(spark, sf):
 # --- changes ---------------------------------------------------------------------------------------
 
 @query("mut01_remember_batch", """
-, valid AS (SELECT * FROM incoming WHERE trim(content) <> '' AND length(content) <= 2000),
-merged AS (SELECT project_id, author, content, min(candidate_id) AS first_id,
-             arg_min(cvec, candidate_id) AS cvec FROM valid GROUP BY ALL),
-near AS (SELECT m.first_id, s.created_by = m.author AS same,
-           row_number() OVER (PARTITION BY m.first_id ORDER BY
-             round(list_cosine_similarity(s.embedding, m.cvec), 9) DESC, s.created_by = m.author DESC, s.id) AS n
-         FROM merged m JOIN stored s USING (project_id)
-         WHERE round(list_cosine_similarity(s.embedding, m.cvec), 9) > 0.95)
-SELECT v.candidate_id AS seq, CASE WHEN v.candidate_id > g.first_id THEN 'update'
-  WHEN n.same THEN 'update' WHEN n.same IS NULL THEN 'insert' ELSE 'insert_corroborated' END AS action
-FROM valid v JOIN merged g USING (project_id, author, content)
-LEFT JOIN near n ON n.first_id = g.first_id AND n.n = 1
-UNION ALL SELECT candidate_id, 'reject' FROM incoming
-WHERE trim(content) = '' OR length(content) > 2000""", "dedup")
-def _(spark, sf):
-    _, report = ingest.remember_batch(facts.memory(spark, sf), _arriving(spark, sf), AS_OF)
-    return report.select("seq", "action")
+SELECT seq, id, action FROM remembered
+UNION ALL SELECT candidate_id, NULL, 'reject' FROM incoming
+WHERE trim(content) = '' OR length(content) > 2000""", "remembered")
+def _(spark, sf):
+    _, report = remember.remember_batch(facts.memory(spark, sf), _arriving(spark, sf), AS_OF)
+    return report.select("seq", "id", "action")
+
+
+_LEFT_BEHIND = """, held AS (
+  SELECT id, arg_max(content, seq) AS content, arg_max(importance, seq) FILTER (importance IS NOT NULL) AS importance,
+    CASE WHEN arg_max(action, seq) = 'insert_corroborated' THEN 'new,corroborated' ELSE 'new' END AS tags,
+    bool_or(action <> 'update') AS born, any_value(project_id) AS project_id,
+    coalesce(bool_or(action <> 'update' AND importance = 'critical'), false) AS pinned
+  FROM remembered GROUP BY id)
+"""
+
+
+@query("mut01_remember_table", f"""{_LEFT_BEHIND}
+{sql_state({"importance": "coalesce(h.importance, m.importance)",
+            "content_md5": "md5(coalesce(h.content, m.content))",
+            "tags": "coalesce(h.tags, array_to_string(m.tags, ','))",
+            "updated_at": f"CASE WHEN h.id IS NULL THEN {sql_ts('m.updated_at')} ELSE {NOW_TEXT} END"},
+           "memory m LEFT JOIN held h USING (id)")}
+UNION ALL SELECT id, project_id, pinned, false, 0, coalesce(importance, 'normal'), md5(content), tags,
+  {NOW_TEXT}, {NOW_TEXT} FROM held WHERE born""", "remembered")
+def _(spark, sf):
+    after, _ = remember.remember_batch(facts.memory(spark, sf), _arriving(spark, sf), AS_OF)
+    return state(after)
 
 
 def _arriving(spark, sf):

@@ -4,6 +4,8 @@ Floating values are compared after rounding, lists as joined text, and times
 as text, so that both engines print the same values.
 """
 
+from factlake.plans.facts import AS_OF
+
 _VIEWS = {
     "accesses": """
 accesses AS (
@@ -17,7 +19,7 @@ numbered AS (
          (doc_id // 6) % (SELECT count(*) FROM embeddings) AS vec_id,
          timestamp '2024-01-01' + to_days(cast(doc_id % 25 AS int)) AS born
   FROM documents),
-memory AS (
+memory AS MATERIALIZED (
   SELECT *, nullif(split_part(created_by, '/', 1), 'auto') AS engineer,
          split_part(created_by, '/', 2) AS agent_type
   FROM (
@@ -105,7 +107,7 @@ pairs AS (
     FROM usable a JOIN usable b ON a.project_id = b.project_id AND a.id <> b.id)
   WHERE similarity > 0.95)""",
     "incoming": """
-incoming AS (
+incoming AS MATERIALIZED (
   SELECT c.conv_id * 1000 + c.turn AS candidate_id, 'proj-' || (c.conv_id % 3) AS project_id,
     c.text AS content, e.embedding::double[] AS cvec,
     (['alice/code-reviewer', 'bob/debugger', 'charlie/coder'])[1 + c.turn % 3] AS author
@@ -115,7 +117,7 @@ incoming AS (
 stored AS MATERIALIZED (
   SELECT id, project_id, created_by, embedding FROM memory
   WHERE embedding IS NOT NULL AND NOT archived),
-dedup AS (
+dedup AS MATERIALIZED (
   SELECT * FROM (
     SELECT *, row_number() OVER (PARTITION BY candidate_id ORDER BY similarity DESC, id) AS rank
     FROM (
@@ -156,6 +158,45 @@ walk AS (
 final AS (SELECT accepted FROM walk ORDER BY n DESC LIMIT 1),
 imported AS (
   SELECT i.*, list_contains((SELECT accepted FROM final), i.n) AS accepted FROM item i)""",
+    # The turns stored one after the other in each project, step by step: every turn takes the
+    # first of its near items, in the order of preference, that no turn before it moved away.
+    "remembered": r"""
+valid AS MATERIALIZED (
+  SELECT candidate_id AS seq, project_id, author, content, cvec,
+         CASE WHEN candidate_id % 3 = 0 THEN 'critical' END AS importance,
+         row_number() OVER (PARTITION BY project_id ORDER BY candidate_id) AS n
+  FROM incoming WHERE trim(content) <> '' AND length(content) <= 2000),
+item AS (
+  SELECT 's' || id AS item, project_id, created_by AS author, embedding AS vec, -1 AS seq, id FROM stored
+  UNION ALL SELECT 'f' || seq, project_id, author, cvec, seq, '' FROM valid),
+near AS MATERIALIZED (
+  SELECT project_id, n, list({'item': item, 'own': own} ORDER BY similarity DESC, own DESC, seq DESC, id) AS items
+  FROM (SELECT v.project_id, v.n, i.item, i.author = v.author AS own, i.seq, i.id,
+          round(list_cosine_similarity(i.vec, v.cvec), 9) AS similarity
+        FROM valid v JOIN item i ON i.project_id = v.project_id AND i.seq < v.seq)
+  WHERE similarity > 0.95 GROUP BY project_id, n),
+facing AS MATERIALIZED (
+  SELECT v.project_id, v.n, coalesce(items, []) AS items FROM valid v LEFT JOIN near USING (project_id, n)),
+walk AS (
+  SELECT DISTINCT project_id, 0::bigint AS n, []::varchar[] AS gone, NULL::varchar AS item, false AS own FROM valid
+  UNION ALL
+  SELECT project_id, n, CASE WHEN best.own THEN list_append(gone, best.item) ELSE gone END,
+         best.item, coalesce(best.own, false)
+  FROM (SELECT f.project_id, f.n, w.gone,
+               list_filter(f.items, lambda x: NOT list_contains(w.gone, x.item))[1] AS best
+        FROM walk w JOIN facing f ON f.project_id = w.project_id AND f.n = w.n + 1)),
+stepped AS MATERIALIZED (
+  SELECT v.*, w.item, CASE WHEN w.own THEN 'update' WHEN w.item IS NULL THEN 'insert'
+                           ELSE 'insert_corroborated' END AS action,
+         md5(concat_ws(chr(1), v.project_id, v.author, v.seq, v.content, '""" + AS_OF + r"""')) AS h
+  FROM valid v JOIN walk w USING (project_id, n)),
+root AS (
+  SELECT seq, CASE WHEN action <> 'update' THEN concat_ws('-', h[1:8], h[9:12], h[13:16], h[17:20], h[21:32])
+                   ELSE item[2:] END AS id
+  FROM stepped WHERE action <> 'update' OR item[1] = 's'
+  UNION ALL
+  SELECT s.seq, r.id FROM root r JOIN stepped s ON s.action = 'update' AND s.item = 'f' || r.seq),
+remembered AS (SELECT s.*, r.id FROM stepped s JOIN root r USING (seq))""",
     "changes": """
 changes AS (
   SELECT event_id AS seq, ts, user_id, 'agent/' || user_id AS agent,
@@ -185,6 +226,7 @@ _NEEDS = {
     "pairs": ("memory",),
     "dedup": ("memory", "incoming"),
     "imported": ("dedup",),
+    "remembered": ("dedup",),
 }
 
 

@@ -6,7 +6,7 @@ import pytest
 from pool import fact, table
 from pyspark.sql import functions as F
 
-from factlake.operators import ingest, lifecycle
+from factlake.operators import ingest, lifecycle, remember
 from factlake.operators.duplicates import duplicate_clusters
 from factlake.sources import tables
 
@@ -131,6 +131,6 @@ def test_remember_drops_old_lexemes(spark):
         "seq long, project_id string, created_by string, content string, tags array<string>, repo string, "
         "importance string, embedding array<float>",
     )
-    after, report = ingest.remember_batch(memory, facts, AS_OF)
+    after, report = remember.remember_batch(memory, facts, AS_OF)
     row = after.first()
     assert (row.content, row.tsv, report.first().action) == ("new text", None, "update")

@@ -3,7 +3,7 @@ import pytest
 from pool import clustered, fact, similarities, table
 from pyspark.sql import functions as F
 
-from factlake.operators import ingest, search
+from factlake.operators import ingest, remember, search
 
 AS_OF = "2025-02-01 00:00:00"
 ENTRY = "ordinal long, content string, tags array<string>, repo string, importance string, embedding array<float>"
@@ -92,7 +92,7 @@ def test_remember(spark):
         (6, "p", "alice/coder", "", None, None, None, [1.0, 0.0]),
     ], "seq long, project_id string, created_by string, content string, tags array<string>, "
        "repo string, importance string, embedding array<float>")
-    after, report = ingest.remember_batch(memory, facts, AS_OF)
+    after, report = remember.remember_batch(memory, facts, AS_OF)
     assert {r.seq: r.action for r in report.collect()} == {
         1: "update", 2: "insert_corroborated", 3: "insert", 4: "insert", 5: "update", 6: "reject"}
     rows = {r.content: r for r in after.collect()}
