@@ -54,8 +54,8 @@ class Probes:
     floor: np.ndarray
     limit: np.ndarray
     before: np.ndarray | None
-    after: np.ndarray | None
     scope: np.ndarray | None
+    after: np.ndarray | None = None
 
     @classmethod
     def of(cls, table: pa.Table) -> "Probes":
