@@ -182,20 +182,19 @@ def vector_hits(memory: DataFrame, queries: DataFrame, few: bool) -> DataFrame:
     return best_hits(rows, probes).select("query_id", "id", "similarity")
 
 
-def text_only_hits(memory: DataFrame, queries: DataFrame, config: str) -> DataFrame:
+def text_only_hits(memory: DataFrame, queries: DataFrame, config: str, dictionary: DataFrame | None) -> DataFrame:
     """Hits by text whose similarity is not above the threshold, best per query."""
-    # Two narrow columns of known size decide how the facts are fetched.
-    pairs = materialize(text_candidates(memory, queries, config), "text-pairs")
-    m = memory.select(
-        "id", "embedding", "created_by", "engineer", "repo", "tags", "archived"
-    ).alias("m")
-    q = queries.alias("q")
+    # Two narrow columns of known size, in scope already, decide how the vectors are fetched.
+    asked = queries.select(
+        "query_id", "project_id", "question", "agent", "engineer", "repo", "tags", "include_archived")
+    pairs = materialize(text_candidates(memory, asked, config, dictionary), "text-pairs")
+    m = memory.select("id", "embedding").alias("m")
+    q = queries.select("query_id", "embedding", "threshold").alias("q")
     similarity = cosine_similarity(F.col("m.embedding"), F.col("q.embedding"))
     found = (
         pairs.alias("p")
         .join(m, F.col("p.id") == F.col("m.id"))
         .join(q, F.col("p.query_id") == F.col("q.query_id"))
-        .filter(in_scope(lambda c: F.col(f"m.{c}"), lambda c: F.col(f"q.{c}")))
         .select(
             F.col("q.query_id").cast("string").alias("query_id"), "m.id",
             similarity.alias("similarity"), "q.threshold",
@@ -231,18 +230,19 @@ def with_facts(memory: DataFrame, hits: DataFrame, few: bool) -> DataFrame:
 
 
 def hybrid_recall(
-    memory: DataFrame, queries: DataFrame, config: str | None = "english"
+    memory: DataFrame, queries: DataFrame, config: str | None = "english", dictionary: DataFrame | None = None,
 ) -> DataFrame:
     """Vector or text search for every query under its own scope and limit.
 
-    ``config=None`` searches by vector only.  Result: ``query_id, rank`` and
-    the recall columns.
+    ``config=None`` searches by vector only.  ``dictionary`` is a stored table of
+    stems for ``english``; without one it is made of the facts' words.  Result:
+    ``query_id, rank`` and the recall columns.
     """
     queries, few = bounded(prepare_queries(queries))
     id_type = queries.schema["query_id"].dataType
     hits = vector_hits(memory, queries, few is not None)
     if config is not None:
-        hits = hits.unionByName(text_only_hits(memory, queries, config))
+        hits = hits.unionByName(text_only_hits(memory, queries, config, dictionary))
     ranked = rank_per_query(hits, queries, few)
     if not few_hits(few):
         ranked = materialize(ranked, "hits")

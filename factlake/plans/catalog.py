@@ -567,16 +567,27 @@ def _(spark, sf):
     return duplicates.cross_agent_corroboration(facts.memory(spark, sf)).withColumn("similarity", sim())
 
 
-@query("txt03_text_search", """
-SELECT s.query_id, s.id
-FROM (SELECT q.query_id, m.id FROM questions q JOIN memory m USING (project_id)) s
-JOIN m_lex USING (id) JOIN q_lex USING (query_id)
-WHERE len(terms) > 0 AND list_has_all(tsv, terms)""", "scored")
-def _(spark, sf):
-    index = textindex.build_text_index(facts.memory(spark, sf), "simple")
+_TEXT_PAIRS = """
+SELECT q.query_id, m.id
+FROM questions q JOIN q_lex USING (query_id) JOIN memory m USING (project_id) JOIN m_lex USING (id)
+WHERE len(terms) > 0 AND list_has_all(tsv, terms)"""
+
+
+def _text_index(spark, sf):
     path = fresh_path(spark, "text-index")
-    textindex.write_text_index(index, path)
-    return textindex.text_search(spark.read.parquet(path), facts.questions(spark, sf), "simple")
+    textindex.write_text_index(facts.memory(spark, sf), path)
+    return textindex.read_text_index(spark, path)
+
+
+@query("txt03_text_search", _TEXT_PAIRS, "lexed")
+def _(spark, sf):
+    return textindex.text_search(_text_index(spark, sf), facts.questions(spark, sf), "simple")
+
+
+@query("txt03_text_and_tags", _TEXT_PAIRS + """
+  AND (q.tags_q IS NULL OR list_has_all(m.tags, q.tags_q))""", "lexed")
+def _(spark, sf):
+    return textindex.text_search(_text_index(spark, sf), facts.questions(spark, sf), "simple", tags=True)
 
 
 # --- changes ---------------------------------------------------------------------------------------
@@ -763,7 +774,7 @@ def _(spark, sf):
 
 @query("mut12_refresh_tsv",
        "SELECT id, len(tsv) AS lexemes, md5(array_to_string(list_sort(tsv), ' ')) AS tsv_md5 FROM m_lex",
-       "scored")
+       "lexed")
 def _(spark, sf):
     return textindex.refresh_tsv(facts.memory(spark, sf), "simple").select(
         "id", F.size("tsv").cast("long").alias("lexemes"),

@@ -61,12 +61,13 @@ questions AS (
     q.n % 4 = 0 AS include_archived
   FROM asked q JOIN embeddings e ON e.vec_id = q.v % (SELECT count(*) FROM embeddings))""",
     # Pairs of a question and a fact in its scope, with similarity and text match.
-    "scored": r"""
-m_lex AS (
+    "lexed": r"""
+m_lex AS MATERIALIZED (
   SELECT id, list_distinct(regexp_extract_all(lower(content), '[\p{L}\p{N}]+')) AS tsv FROM memory),
-q_lex AS (
+q_lex AS MATERIALIZED (
   SELECT query_id, list_distinct(regexp_extract_all(lower(question), '[\p{L}\p{N}]+')) AS terms
-  FROM questions),
+  FROM questions)""",
+    "scored": r"""
 in_scope AS (
   SELECT q.query_id, m.id, q.qvec, m.embedding, q.threshold, q.k
   FROM questions q JOIN memory m ON m.project_id = q.project_id
@@ -220,7 +221,8 @@ tools AS (
 
 _NEEDS = {
     "memory": ("accesses",),
-    "scored": ("memory", "questions"),
+    "lexed": ("memory", "questions"),
+    "scored": ("lexed",),
     "vector_ranked": ("scored",),
     "hybrid_ranked": ("scored",),
     "pairs": ("memory",),
