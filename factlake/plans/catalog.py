@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from factlake.functions import scalars as S
 from factlake.functions import vectors as V
+from factlake.functions.dictionary import grow_dictionary, stem_lexemes
 from factlake.functions.embed import HashedWords, embed_column, split_blank
 from factlake.functions.text import lexemes, stem_english
 from factlake.operators import (
@@ -24,7 +25,7 @@ from factlake.operators import (
 )
 from factlake.plans import facts
 from factlake.plans.facts import AS_OF, TODAY
-from factlake.plans.oracles import with_views
+from factlake.plans.oracles import STOP_WORDS, with_views
 from factlake.session import fresh_path, materialize
 from factlake.sources import json_lines, sql_functions, tables
 from factlake.streaming import streams
@@ -377,7 +378,8 @@ def _neighbours(spark, sf):
     )
 
 
-@query("flt09_text_match_english")
+@query("flt09_text_match_english", f"""
+SELECT {ROW} FROM memory JOIN m_lex_english USING (id) WHERE list_contains(tsv, 'thing')""", "lexed_english")
 def _(spark, sf):
     return row(filters.text_match(facts.memory(spark, sf), "the things", "english"))
 
@@ -457,7 +459,8 @@ def _(spark, sf):
     return _result(search.hybrid_recall(facts.memory(spark, sf), facts.questions(spark, sf), config="simple"))
 
 
-@query("jn03_hybrid_recall_english")
+@query("jn03_hybrid_recall_english", _RESULT.format(
+    similarity="similarity", archived="m.archived", ranked="english_ranked"), "english_ranked")
 def _(spark, sf):
     return _result(search.hybrid_recall(facts.memory(spark, sf), facts.questions(spark, sf)))
 
@@ -1106,12 +1109,28 @@ def _(spark, sf):
         "doc_id", F.md5(F.array_join(found, " ")).alias("lexemes_md5"))
 
 
-@query("scl05_lexemes_english")
+@query("scl05_lexemes_english", r"""
+, d_words AS (SELECT doc_id, unnest(list_distinct(regexp_extract_all(lower(text), '[\p{L}\p{N}]+'))) AS word FROM documents),
+d AS (SELECT doc_id, array_to_string(list_sort(list(DISTINCT stem)), ' ') AS lexemes
+  FROM d_words JOIN lexeme_of USING (word) GROUP BY doc_id)
+SELECT doc_id, coalesce(lexemes, '') AS lexemes FROM documents LEFT JOIN d USING (doc_id)""", "stems")
 def _(spark, sf):
     return facts.table(spark, sf, "documents").select(
         "doc_id", F.array_join(F.array_sort(lexemes(F.col("text"), "english")), " ").alias("lexemes"))
 
 
+@query("scl05_lexemes_by_dictionary", r"""
+, d_words AS (SELECT doc_id, unnest(list_distinct(regexp_extract_all(lower(text), '[\p{L}\p{N}]+'))) AS word FROM documents),
+d AS (SELECT doc_id, md5(array_to_string(list_sort(list(DISTINCT stem)), ' ')) AS lexemes_md5
+  FROM d_words JOIN lexeme_of USING (word) GROUP BY doc_id)
+SELECT doc_id, coalesce(lexemes_md5, md5('')) AS lexemes_md5 FROM documents LEFT JOIN d USING (doc_id)""", "stems")
+def _(spark, sf):
+    docs = facts.table(spark, sf, "documents").select("doc_id", "text")
+    stems = grow_dictionary(docs, "text", fresh_path(spark, "stems"))
+    return stem_lexemes(docs, "doc_id", "text", stems).select(
+        "doc_id", F.md5(F.array_join("lexemes", " ")).alias("lexemes_md5"))
+
+
 @query("scl06_short_id", "SELECT id, substring(id, 1, 6) AS short FROM memory", "memory")
 def _(spark, sf):
     return facts.memory(spark, sf).select("id", S.short_id(F.col("id")).alias("short"))
@@ -1201,8 +1220,7 @@ def _(spark, sf):
 @query("scl16_stop_words", """
 SELECT doc_id, len(list_filter(regexp_extract_all(lower(text), '[\\p{L}\\p{N}]+'),
   lambda w: w IN (__WORDS__))) AS stops FROM documents""".replace(
-    "__WORDS__", ", ".join(f"'{w}'" for w in __import__(
-        "factlake.functions.text", fromlist=["stop_words"]).stop_words())))
+    "__WORDS__", STOP_WORDS))
 def _(spark, sf):
     from factlake.functions.text import WORD, stop_words
     words = F.regexp_extract_all(F.lower("text"), F.lit(WORD), F.lit(0))
@@ -1320,7 +1338,9 @@ def _(spark, sf):
         F.col("query_id").cast("long").alias("vec_id"), F.col("id").cast("long").alias("other"), sim())
 
 
-@query("udf03_stem_english")
+@query("udf03_stem_english", r"""
+, d AS (SELECT DISTINCT unnest(regexp_extract_all(lower(text), '[\p{L}\p{N}]+')) AS word FROM documents)
+SELECT word, stem FROM d JOIN stems USING (word)""", "stems")
 def _(spark, sf):
     words = facts.table(spark, sf, "documents").select(
         F.explode(lexemes(F.col("text"), "simple")).alias("word")).distinct()

@@ -6,6 +6,16 @@ as text, so that both engines print the same values.
 
 from factlake.plans.facts import AS_OF
 
+# The English stop words of PostgreSQL's text search.
+_STOPS = """
+a about above after again against all am an and any are as at be because been before being below between both
+but by can did do does doing don down during each few for from further had has have having he her here hers
+herself him himself his how i if in into is it its itself just me more most my myself no nor not now of off on
+once only or other our ours ourselves out over own s same she should so some such t than that the their theirs
+them themselves then there these they this those through to too under until up very was we were what when
+where which while who whom why will with you your yours yourself yourselves"""
+STOP_WORDS = ", ".join(f"'{w}'" for w in _STOPS.split())
+
 _VIEWS = {
     "accesses": """
 accesses AS (
@@ -83,6 +93,99 @@ scored AS (
   FROM with_vector
   UNION ALL
   SELECT query_id, id, threshold, k, NULL FROM in_scope WHERE embedding IS NULL)""",
+    # Porter2 by the published steps, one column a step, over all words of the texts in use.
+    "stems": r"""
+words_in_use AS MATERIALIZED (
+  SELECT DISTINCT unnest(regexp_extract_all(lower(text), '[\p{L}\p{N}]+')) AS word FROM (
+    SELECT text FROM documents UNION ALL SELECT text FROM conversations UNION ALL SELECT text FROM benchmark)),
+stem_0 AS (
+  SELECT word, regexp_replace(word, '(^|[aeiouy])y', '\1Y', 'g') AS w FROM words_in_use
+  WHERE regexp_full_match(word, '[a-z]{3,}') AND word NOT IN ('skis', 'skies', 'dying', 'lying', 'tying', 'idly',
+    'gently', 'ugly', 'early', 'only', 'singly', 'sky', 'news', 'howe', 'atlas', 'cosmos', 'bias', 'andes')),
+region_1 AS (
+  SELECT word, w, CASE WHEN regexp_matches(w, '^(gener|arsen)') THEN 5 WHEN regexp_matches(w, '^commun') THEN 6
+    WHEN regexp_matches(w, '[aeiouy][^aeiouy]') THEN length(regexp_extract(w, '^.*?[aeiouy][^aeiouy]'))
+    ELSE length(w) END AS r1 FROM stem_0),
+region_2 AS (
+  SELECT *, CASE WHEN regexp_matches(substr(w, r1 + 1), '[aeiouy][^aeiouy]')
+    THEN r1 + length(regexp_extract(substr(w, r1 + 1), '^.*?[aeiouy][^aeiouy]')) ELSE length(w) END AS r2
+  FROM region_1),
+stem_1a AS (
+  SELECT word, r1, r2, CASE WHEN w LIKE '%sses' THEN w[:-3]
+    WHEN w LIKE '%ied' OR w LIKE '%ies' THEN CASE WHEN length(w) > 4 THEN w[:-3] ELSE w[:-2] END
+    WHEN w LIKE '%us' OR w LIKE '%ss' OR w NOT LIKE '%s' THEN w
+    WHEN regexp_matches(left(w, length(w) - 2), '[aeiouy]') THEN w[:-2] ELSE w END AS w FROM region_2),
+ending_1b AS (
+  SELECT *, regexp_extract(w, '(eedly|eed|ingly|edly|ing|ed)$') AS e,
+    w IN ('inning', 'outing', 'canning', 'herring', 'earring', 'proceed', 'exceed', 'succeed') AS done FROM stem_1a),
+cut_1b AS (SELECT *, left(w, length(w) - length(e)) AS b FROM ending_1b),
+stem_1b AS (
+  SELECT word, r1, r2, done, CASE WHEN done OR e = '' THEN w
+    WHEN e LIKE 'eed%' THEN CASE WHEN length(b) >= r1 THEN b || 'ee' ELSE w END
+    WHEN NOT regexp_matches(b, '[aeiouy]') THEN w
+    WHEN regexp_matches(b, '(at|bl|iz)$') THEN b || 'e'
+    WHEN regexp_matches(b, '(bb|dd|ff|gg|mm|nn|pp|rr|tt)$') THEN left(b, length(b) - 1)
+    WHEN r1 >= length(b) AND regexp_matches(b, '(^[aeiouy][^aeiouy]|[^aeiouy][aeiouy][^aeiouywxY])$') THEN b || 'e'
+    ELSE b END AS w FROM cut_1b),
+stem_1c AS (
+  SELECT word, r1, r2, done, CASE WHEN NOT done AND regexp_matches(w, '.[^aeiouy][yY]$')
+    THEN left(w, length(w) - 1) || 'i' ELSE w END AS w FROM stem_1b),
+ending_2 AS (
+  SELECT *, CASE WHEN done THEN '' ELSE regexp_extract(w, '(ational|tional|enci|anci|abli|entli|izer|ization|ation|ator|alism|aliti|alli|fulness|ousli|ousness|iveness|iviti|biliti|bli|fulli|lessli|ogi|li)$') END AS e
+  FROM stem_1c),
+cut_2 AS (SELECT *, left(w, length(w) - length(e)) AS b FROM ending_2),
+stem_2 AS (
+  SELECT word, r1, r2, done, CASE WHEN e = '' OR length(b) < r1 OR (e = 'ogi' AND b NOT LIKE '%l')
+      OR (e = 'li' AND NOT regexp_matches(b, '[cdeghkmnrt]$')) THEN w
+    WHEN e = 'tional' THEN b || 'tion' WHEN e = 'enci' THEN b || 'ence' WHEN e = 'anci' THEN b || 'ance'
+    WHEN e = 'abli' THEN b || 'able' WHEN e = 'entli' THEN b || 'ent' WHEN e IN ('izer', 'ization') THEN b || 'ize'
+    WHEN e IN ('ational', 'ation', 'ator') THEN b || 'ate' WHEN e IN ('alism', 'aliti', 'alli') THEN b || 'al'
+    WHEN e IN ('fulness', 'fulli') THEN b || 'ful' WHEN e IN ('ousli', 'ousness') THEN b || 'ous'
+    WHEN e IN ('iveness', 'iviti') THEN b || 'ive' WHEN e IN ('biliti', 'bli') THEN b || 'ble'
+    WHEN e = 'lessli' THEN b || 'less' WHEN e = 'ogi' THEN b || 'og' ELSE b END AS w FROM cut_2),
+ending_3 AS (
+  SELECT *, CASE WHEN done THEN '' ELSE regexp_extract(w, '(ational|tional|alize|icate|iciti|ical|ful|ness|ative)$') END AS e
+  FROM stem_2),
+cut_3 AS (SELECT *, left(w, length(w) - length(e)) AS b FROM ending_3),
+stem_3 AS (
+  SELECT word, r1, r2, done, CASE WHEN e = '' OR length(b) < r1 OR (e = 'ative' AND length(b) < r2) THEN w
+    WHEN e = 'tional' THEN b || 'tion' WHEN e = 'ational' THEN b || 'ate' WHEN e = 'alize' THEN b || 'al'
+    WHEN e IN ('icate', 'iciti', 'ical') THEN b || 'ic' ELSE b END AS w FROM cut_3),
+ending_4 AS (
+  SELECT *, CASE WHEN done THEN '' ELSE regexp_extract(w, '(al|ance|ence|er|ic|able|ible|ant|ement|ment|ent|ism|ate|iti|ous|ive|ize|ion)$') END AS e
+  FROM stem_3),
+cut_4 AS (SELECT *, left(w, length(w) - length(e)) AS b FROM ending_4),
+stem_4 AS (
+  SELECT word, r1, r2, done, CASE WHEN e = '' OR length(b) < r2
+    OR (e = 'ion' AND NOT regexp_matches(b, '[st]$')) THEN w ELSE b END AS w FROM cut_4),
+stem_5 AS (
+  SELECT word, CASE WHEN done THEN w
+    WHEN w LIKE '%e' AND (length(w) - 1 >= r2 OR (length(w) - 1 >= r1 AND NOT regexp_matches(
+      left(w, length(w) - 1), '(^[aeiouy][^aeiouy]|[^aeiouy][aeiouy][^aeiouywxY])$'))) THEN left(w, length(w) - 1)
+    WHEN w LIKE '%ll' AND length(w) - 1 >= r2 THEN left(w, length(w) - 1) ELSE w END AS w FROM stem_4),
+stems AS MATERIALIZED (
+  SELECT u.word, CASE u.word WHEN 'skis' THEN 'ski' WHEN 'skies' THEN 'sky' WHEN 'dying' THEN 'die'
+    WHEN 'lying' THEN 'lie' WHEN 'tying' THEN 'tie' WHEN 'idly' THEN 'idl' WHEN 'gently' THEN 'gentl'
+    WHEN 'ugly' THEN 'ugli' WHEN 'early' THEN 'earli' WHEN 'only' THEN 'onli' WHEN 'singly' THEN 'singl'
+    ELSE coalesce(replace(s.w, 'Y', 'y'), u.word) END AS stem
+  FROM words_in_use u LEFT JOIN stem_5 s USING (word)),
+lexeme_of AS MATERIALIZED (SELECT * FROM stems WHERE word NOT IN (""" + STOP_WORDS + r"""))""",
+    "lexed_english": r"""
+m_words AS (SELECT id, unnest(list_distinct(regexp_extract_all(lower(content), '[\p{L}\p{N}]+'))) AS word FROM memory),
+q_words AS (
+  SELECT query_id, unnest(list_distinct(regexp_extract_all(lower(question), '[\p{L}\p{N}]+'))) AS word FROM questions),
+m_lex_english AS MATERIALIZED (
+  SELECT id, list(DISTINCT stem) AS tsv FROM m_words JOIN lexeme_of USING (word) GROUP BY id),
+q_lex_english AS MATERIALIZED (
+  SELECT query_id, list(DISTINCT stem) AS terms FROM q_words JOIN lexeme_of USING (word) GROUP BY query_id)""",
+    "english_ranked": """
+english_ranked AS (
+  SELECT * FROM (
+    SELECT s.*, row_number() OVER (
+      PARTITION BY s.query_id ORDER BY similarity DESC NULLS LAST, s.id) AS rank
+    FROM scored s LEFT JOIN m_lex_english USING (id) LEFT JOIN q_lex_english USING (query_id)
+    WHERE similarity > threshold OR coalesce(list_has_all(tsv, terms), false))
+  WHERE rank <= k)""",
     "vector_ranked": """
 vector_ranked AS (
   SELECT * FROM (
@@ -223,6 +326,8 @@ _NEEDS = {
     "memory": ("accesses",),
     "lexed": ("memory", "questions"),
     "scored": ("lexed",),
+    "lexed_english": ("memory", "questions", "stems"),
+    "english_ranked": ("scored", "lexed_english"),
     "vector_ranked": ("scored",),
     "hybrid_ranked": ("scored",),
     "pairs": ("memory",),
