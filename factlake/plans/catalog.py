@@ -1362,6 +1362,22 @@ def _(spark, sf):
         FROM recall('proj-0', array({vector}), 25, 0.1D, p_engineer => 'alice')""")
 
 
+@query("udf05_sql_recall_english", """
+, usable AS MATERIALIZED (SELECT m.*, coalesce(tsv, []) AS tsv FROM memory m LEFT JOIN m_lex_english USING (id)
+  WHERE project_id = 'proj-0' AND NOT archived AND repo = 'src3'),
+s AS (SELECT m.id, m.tsv, round(list_cosine_similarity(m.embedding, e.embedding::double[]), 9) AS x
+  FROM usable m, embeddings e WHERE e.vec_id = 204)
+SELECT id, x AS similarity FROM s WHERE x > 0.2 OR list_contains(tsv, 'thing')
+ORDER BY x DESC NULLS LAST, id LIMIT 40""", "lexed_english")
+def _(spark, sf):
+    facts.memory(spark, sf).createOrReplaceTempView("memory")
+    sql_functions.register(spark)
+    vector = ", ".join(f"float('{x!r}')" for x in _vector(spark, sf))
+    return spark.sql(f"""
+        SELECT id, similarity
+        FROM recall('proj-0', array({vector}), 40, 0.2D, p_repo => 'src3', p_query_text => 'The things')""")
+
+
 @query("udf05_sql_touch", f"""
 SELECT id, {NOW_TEXT} AS last_accessed_at, cast(access_count + 1 AS int) AS access_count
 FROM memory WHERE id IN (md5('1'), md5('2'), md5('no such'))""", "memory")

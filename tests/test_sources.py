@@ -5,6 +5,7 @@ from pool import fact, table
 from pyspark.sql import functions as F
 
 from factlake.operators import lifecycle
+from factlake.operators import textindex
 from factlake.sources import json_lines, sql_functions, tables
 
 
@@ -100,3 +101,19 @@ def test_sql_functions(spark):
     assert affected == 2 and swept.filter("archived").count() == 3
     touched = sql_functions.touch_memories(spark, spark.createDataFrame([("a",)], "id string"), "2025-03-01 00:00:00")
     assert touched.filter("access_count = 1").count() == 1
+
+
+def test_sql_recall_searches_in_english(spark):
+    facts = [fact("a", None, content="Running to the houses"), fact("b", None, content="a house runs"),
+             fact("c", None, content="a dog", archived=True), fact("d", None, content="the and of")]
+    for stored in (False, True):
+        memory = table(spark, facts)
+        (textindex.refresh_tsv(memory) if stored else memory).createOrReplaceTempView("memory")
+        sql_functions.register(spark)
+        ask = lambda more: sorted(r.id for r in spark.sql(
+            f"SELECT id FROM recall('p', array(float(1), float(0)), p_query_text => {more})").collect())
+        assert ask("'run House'") == ["a", "b"]
+        assert ask("'the and'") == [] and ask("NULL") == []
+        assert ask("'dogs', p_include_archived => true") == ["c"]
+        if not stored:
+            assert ask("'a house runs', p_text_config => 'simple'") == ["b"]
