@@ -29,6 +29,7 @@ WINDOW = 10
 # Words of the benchmark are broadcast up to this size.
 MOST_BYTES = 32 << 20
 _BETWEEN = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+_BETWEEN_ANY_CASE = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 
 
 def _pieces(lowered: Column) -> Column:
@@ -70,7 +71,7 @@ def clean_documents(documents: DataFrame, benchmark: DataFrame, size: int = WIND
     """The rows of ``documents`` in which no window of the benchmark occurs."""
     found = contamination(documents, benchmark, size, with_row=True)
     hit = materialize(found.filter("contaminated").select(F.col("row").alias("hit_row")).distinct(), "contaminated")
-    return documents.join(hit, row_key() == F.col("hit_row"), "left_anti")
+    return documents.join(hit, row_key() == hit["hit_row"], "left_anti")
 
 
 def contamination(
@@ -81,14 +82,16 @@ def contamination(
     texts = documents.select(F.col("doc_id").alias("doc_id"), F.col("text").cast("string").alias("text")).withColumn(
         "row", row_key()
     )
-    # A looser key than the exact lower-casing; what differs is found by the comparison.
-    pieces = texts.select("row", _pieces(F.lower("text")).alias("pieces"))
+    # A looser key than the exact lower-casing; what differs is found by the comparison. Each word is
+    # lowered by itself, as those of windows are: a capital sigma's lower case depends on what is beside it.
+    pieces = texts.select("row", F.split(F.coalesce("text", F.lit("")), _BETWEEN_ANY_CASE, -1).alias("pieces"))
     spots = windows.select("window", F.size("words").alias("size"), F.posexplode("words").alias("place", "word")).select(
         "window", "size", "place", F.lower("word").alias("word")
     )
     vocabulary = materialize(spots.select("word").distinct(), "benchmark-words")
     seen = materialize(
-        pieces.select(F.explode("pieces").alias("word")).join(_sent(vocabulary), "word")
+        pieces.select(F.explode("pieces").alias("word")).select(F.lower("word").alias("word"))
+        .join(_sent(vocabulary), "word")
         .groupBy("word").agg(F.count(F.lit(1)).alias("seen")), "word-counts"
     )
     # Every word of a window that occurs was seen; a window with an unseen word has no candidates.
@@ -109,7 +112,7 @@ def contamination(
     necessary = materialize(prefix.select("word").distinct(), "necessary-words")
     candidates = (
         counted.select("row", "lead", "n", F.posexplode("pieces").alias("at", "word"))
-        .join(_sent(necessary), "word", "left_semi")
+        .withColumn("word", F.lower("word")).join(_sent(necessary), "word", "left_semi")
         .join(prefix.select("window", "size", "place", "word"), "word")
         .withColumn("start", F.col("at") - F.col("lead") - F.col("place"))
         .filter("start >= 0 and start + size <= n")

@@ -372,10 +372,9 @@ def ngram_jaccard_components(documents: DataFrame, words: int = WORDS, numerator
         .filter("rows > 1"),
         "shared-shingles",
     )
-    # Rows that repeat an id with other sets meet here as one document.
     links = join.verify(_best_probe(join, shared.select(
         "doc_id", "n", F.col("hub.doc_id").alias("probe"), F.col("hub.n").alias("m")
-    )))
+    ))).union(_sets_of_one_id(join, nodes))
     labels = _components(links)
     mixed = materialize(_mixed(shared, labels), "mixed-groups")
     few = PAIRS_PER_ROW * shared.count()
@@ -415,6 +414,20 @@ def ngram_jaccard_components(documents: DataFrame, words: int = WORDS, numerator
     ))
 
 
+def _sets_of_one_id(join: _Join, nodes: DataFrame) -> DataFrame:
+    """``src, dst``: links between the nodes of the sets of rows that repeat an id, one document all."""
+    same = ["n_shingles", "one", "two"]
+    some = join.sets.filter("n_shingles > 0").select("doc_id", F.struct(*same).alias("set"))
+    several = some.groupBy("doc_id").agg(F.min("set").alias("low"), F.max("set").alias("high")).filter("low <> high")
+    several = materialize(several.select("doc_id"), "ids-of-several-sets")
+    found = join.sets.filter("n_shingles > 0").join(several, "doc_id").join(nodes, same).select("doc_id", "node")
+    first = found.groupBy("doc_id").agg(F.min("node").alias("src"))
+    return materialize(
+        found.join(first, "doc_id").filter("node <> src").select("src", F.col("node").alias("dst")).distinct(),
+        "links-of-one-id",
+    )
+
+
 def _meeting(numerator: int) -> str:
     """The condition under which two entries of different components can be of one link."""
     return (
@@ -496,6 +509,9 @@ def one_of_each_group(documents: DataFrame, words: int = 5, numerator: int = 80)
     components = ngram_jaccard_components(documents, words, numerator)
     first = components.filter("doc_id = component_id").select(F.col("doc_id").alias("kept_id")).distinct()
     key = F.xxhash64(*documents.columns)
+    named = "row_key"
+    while named in documents.columns:
+        named += "_"
     rows = documents.select(F.col("doc_id").cast("long").alias("row_id"), key.alias("row_key"))
     kept = (
         rows.groupBy("row_id").agg(F.min("row_key").alias("row_key"))
@@ -503,8 +519,9 @@ def one_of_each_group(documents: DataFrame, words: int = 5, numerator: int = 80)
         .union(rows.filter("row_id is null").select("row_key")).distinct()
     )
     return (
-        documents.withColumn("row_key", key).join(materialize(kept, "kept"), "row_key", "left_semi")
-        .dropDuplicates(["row_key"]).drop("row_key")
+        documents.withColumn(named, key)
+        .join(materialize(kept.withColumnRenamed("row_key", named), "kept"), named, "left_semi")
+        .dropDuplicates([named]).drop(named)
     )
 
 

@@ -167,7 +167,8 @@ def redact_history(history: DataFrame, ledger: str | None = None, path: str = "d
         .select(F.col("blob").alias("secret_blob"), F.col("found").alias("secret_spans")), "secrets"
     )
     blob = F.unhex(F.sha2(F.coalesce(F.col(text).cast("string"), F.lit("")).cast("binary"), 256))
-    joined_ = history.join(secrets, blob == F.col("secret_blob"), "left")
-    return joined_.withColumn(text, F.when(
-        F.col("secret_spans").isNotNull(), redacted(F.col(text), F.col("secret_spans"))
-    ).otherwise(F.col(text))).drop("secret_blob", "secret_spans")
+    joined_ = history.join(secrets, blob == secrets["secret_blob"], "left")
+    clean = F.when(
+        secrets["secret_spans"].isNotNull(), redacted(history[text], secrets["secret_spans"])
+    ).otherwise(history[text])
+    return joined_.select(*(clean.alias(c) if c == text else history[c] for c in history.columns))
