@@ -27,6 +27,7 @@ import re
 import zlib
 from bisect import bisect_left
 from functools import partial
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -40,7 +41,7 @@ SIZE = 2048
 RUN = 1 << 20
 STRIDE = 24
 SENTENCE_PENALTY, INSIDE_PENALTY = 0.5, 2.0
-# A task forgets its words beyond this many.
+# Words of a generation; a task keeps two.
 MOST_WORDS = 300_000
 _ODD = re.compile("[\x1c-\x1f]")
 _ENDS = (".", "!", "?", ".\"", "!\"", "?\"", ".)", "!)", "?)", "。", "！", "？")
@@ -62,8 +63,59 @@ def _letters_and_mark(word: str) -> tuple[str, str]:
     return (root.lower(), mark) if root.isalpha() and "\u03a3" not in root else (word, "")
 
 
+class _Column:
+    """A numpy array that grows at its end."""
+
+    def __init__(self, dtype):
+        self.data, self.used = np.zeros(1 << 12, dtype=dtype), 0
+
+    def extend(self, values) -> None:
+        values = np.asarray(values, dtype=self.data.dtype)
+        end = self.used + len(values)
+        if end > len(self.data):
+            self.data = np.concatenate([self.data[:self.used], np.zeros(max(end, 1 << 12), self.data.dtype)])
+        self.data[self.used:end] = values
+        self.used = end
+
+
+def _gathered(begin: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """The places of runs that begin at ``begin``, one after the other."""
+    after = np.cumsum(sizes)
+    return np.repeat(begin - (after - sizes), sizes) + np.arange(int(after[-1]) if len(after) else 0)
+
+
+class _Words:
+    """Words that were tokenised: each is two parts, and each part a run of ids."""
+
+    def __init__(self):
+        self.known: dict[str, int] = {}
+        self.parts: dict[str, int] = {"": 0}
+        self.first, self.second, self.ends = _Column(np.int32), _Column(np.int32), _Column(bool)
+        self.ids, self.begin, self.size = _Column(np.uint32), _Column(np.int64), _Column(np.int32)
+        self.begin.extend([0])
+        self.size.extend([0])
+
+    def add_parts(self, names: list[str], ids: np.ndarray, sizes: np.ndarray) -> None:
+        n = self.size.used
+        self.begin.extend(self.ids.used + np.cumsum(sizes) - sizes)
+        self.size.extend(sizes)
+        self.ids.extend(ids)
+        self.parts.update(zip(names, range(n, n + len(names)), strict=True))
+
+    def add_words(self, words: list[str], halves: list[tuple[str, str]]) -> None:
+        n = self.first.used
+        self.first.extend([self.parts[a] for a, _ in halves])
+        self.second.extend([self.parts[b] for _, b in halves])
+        self.ends.extend([w.endswith(_ENDS) for w in words])
+        self.known.update(zip(words, range(n, n + len(words)), strict=True))
+
+
 class WordTokens:
-    """Token ids of texts, with every word tokenised once."""
+    """Token ids of texts, with words tokenised once.
+
+    At most twice MOST_WORDS words are kept: when a generation is full it becomes
+    the older one, from which words that come again are taken over.
+    """
 
     def __init__(self, path: str):
         import os
@@ -72,85 +124,71 @@ class WordTokens:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self._forget()
-
-    def _forget(self):
-        self.known: dict[str, int] = {}
-        self.roots: dict[str, list[int]] = {}
-        self.ids = np.zeros(1 << 16, dtype=np.uint32)
-        self.begin = np.zeros(1 << 14, dtype=np.int64)
-        self.size = np.zeros(1 << 14, dtype=np.int64)
-        self.ends = np.zeros(1 << 14, dtype=bool)
-        self.used = 0
-
-    @staticmethod
-    def _grown(array, n):
-        return array if n <= len(array) else np.concatenate([array, np.zeros(max(n, len(array)), array.dtype)])
+        self.words, self.older = _Words(), _Words()
 
     def _learn(self, words: list[str]):
         # Letters and a mark behind them are tokenised apart, so words in any case and
         # with any mark share their letters' ids.
-        parts = [_letters_and_mark(w) for w in words]
-        new = [k for k in dict.fromkeys(k for pair in parts for k in pair) if k not in self.roots]
+        halves = [_letters_and_mark(w) for w in words]
+        now, older = self.words, self.older
+        new = [k for k in dict.fromkeys(k for pair in halves for k in pair) if k not in now.parts]
+        again = [k for k in new if k in older.parts]
+        if again:
+            at = np.array([older.parts[k] for k in again])
+            sizes = older.size.data[at].astype(np.int64)
+            now.add_parts(again, older.ids.data[_gathered(older.begin.data[at], sizes)], sizes)
+            new = [k for k in new if k not in older.parts]
         letters = [k for k in new if k.isalpha()]
         others = [k for k in new if not k.isalpha()]
-        self.roots.update(zip(others, self._encode(others), strict=True))
-        for i in range(0, len(letters), 500):
-            self.roots.update(zip(letters[i:i + 500], self._encode_letters(letters[i:i + 500]), strict=True))
-        encoded = [self.roots[root] + self.roots[mark] if mark else self.roots[root] for root, mark in parts]
-        n = len(self.known)
-        sizes = np.array([len(e) for e in encoded], dtype=np.int64)
-        total, m = int(sizes.sum()), len(words)
-        self.ids = self._grown(self.ids, self.used + total)
-        self.begin, self.size, self.ends = (self._grown(a, n + m) for a in (self.begin, self.size, self.ends))
-        self.ids[self.used:self.used + total] = [i for e in encoded for i in e]
-        self.begin[n:n + m] = self.used + np.cumsum(sizes) - sizes
-        self.size[n:n + m] = sizes
-        self.ends[n:n + m] = [w.endswith(_ENDS) for w in words]
-        self.used += total
-        self.known.update(zip(words, range(n, n + m), strict=True))
-
-    def _encode(self, texts: list[str]) -> list[list[int]]:
+        for some in (letters[i:i + 2000] for i in range(0, len(letters), 2000)):
+            now.add_parts(some, *self._encode_letters(some))
+        now.add_parts(others, *self._encode(others))
+        now.add_words(words, halves)
+
+    def _encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts, one after the other, and how many each has."""
         encode = getattr(self.tokenizer, "encode_batch_fast", self.tokenizer.encode_batch)
-        return [e.ids for e in encode(texts, add_special_tokens=False)]
+        found = [np.array(e.ids, dtype=np.uint32) for e in encode(texts, add_special_tokens=False)]
+        return np.concatenate([np.zeros(0, np.uint32), *found]), np.array([len(x) for x in found], dtype=np.int64)
 
-    def _encode_letters(self, words: list[str]) -> list[list[int]]:
+    def _encode_letters(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Words of letters in one call, told apart by the tokeniser's own word numbers."""
         together = self.tokenizer.encode(" ".join(words), add_special_tokens=False)
-        out: list[list[int]] = []
-        last = None
-        for i, word in zip(together.ids, together.word_ids, strict=True):
-            if word == last:
-                out[-1].append(i)
-            else:
-                out.append([i])
-                last = word
-        return out if len(out) == len(words) else self._encode(words)
+        of = together.word_ids
+        if not of or None in of:
+            return self._encode(words)
+        of = np.array(of)
+        starts = np.flatnonzero(np.append(True, of[1:] != of[:-1]))
+        if len(starts) != len(words):
+            return self._encode(words)
+        return np.array(together.ids, dtype=np.uint32), np.diff(np.append(starts, len(of)))
 
     def __call__(self, texts: list[str]):
         """Ids of all texts, one after the other; each text's size; where sentences end."""
-        if len(self.known) > MOST_WORDS:
-            self._forget()
+        if len(self.words.known) > MOST_WORDS:
+            self.words, self.older = _Words(), self.words
         odd = {i for i, t in enumerate(texts) if _ODD.search(t)}
         split = [[] if i in odd else t.split() for i, t in enumerate(texts)]
         words = [w for s in split for w in s]
-        at = list(map(self.known.get, words))
-        if None in at:
-            self._learn(list(dict.fromkeys(w for w, i in zip(words, at, strict=True) if i is None)))
-            at = list(map(self.known.get, words))
-        at = np.array(at, dtype=np.int64)
-        sizes = self.size[at]
-        after = np.cumsum(sizes)
-        total = int(after[-1]) if len(after) else 0
-        ids = self.ids[np.repeat(self.begin[at] - (after - sizes), sizes) + np.arange(total)]
-        ends = after[self.ends[at]]
+        held = self.words
+        at = np.fromiter(map(held.known.get, words, repeat(-1)), dtype=np.int64, count=len(words))
+        missing = np.flatnonzero(at < 0)
+        if len(missing):
+            names = [words[i] for i in missing.tolist()]
+            self._learn(list(dict.fromkeys(names)))
+            at[missing] = [held.known[w] for w in names]
+        halves = np.stack([held.first.data[at], held.second.data[at]], axis=1).reshape(-1)
+        sizes = held.size.data[halves].astype(np.int64)
+        ids = held.ids.data[_gathered(held.begin.data[halves], sizes)]
+        after = np.cumsum(sizes)[1::2]
+        ends = after[held.ends.data[at]]
         bounds = np.concatenate([[0], np.concatenate([[0], after])[np.cumsum([len(s) for s in split])]]) if texts \
             else np.zeros(1, np.int64)
         if not odd:
             return ids, np.diff(bounds), ends
         parts, lengths = [], []
         for i, (a, b) in enumerate(zip(bounds[:-1], bounds[1:], strict=True)):
-            part = np.array(self._encode([texts[i]])[0], dtype=np.uint32) if i in odd else ids[a:b]
+            part = self._encode([texts[i]])[0] if i in odd else ids[a:b]
             parts.append(part)
             lengths.append(len(part))
         # Sentence ends of the other texts move by what was put in before them.
@@ -277,12 +315,9 @@ class _Stream:
         return pa.RecordBatch.from_arrays(columns, names)
 
 
-_TOKENS: dict[str, WordTokens] = {}
-
-
 def _pack(batches, tokenizer, size, end_id, with_ids):
-    tokens = _TOKENS.setdefault(tokenizer, None) or WordTokens(tokenizer)
-    _TOKENS[tokenizer] = tokens
+    # The words go with their task.
+    tokens = WordTokens(tokenizer)
     # A task numbers its sequences from its own place on.
     stream = _Stream(size, TaskContext.get().partitionId() << 36, with_ids)
     for batch, texts in chunks(batches, "text"):
