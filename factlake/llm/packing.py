@@ -56,11 +56,19 @@ def default_tokenizer() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
-def _letters_and_mark(word: str) -> tuple[str, str]:
-    """A word of letters in lower case, and the mark after it; any other word as it is."""
-    root, mark = (word[:-1], word[-1]) if word[-1] in ".,!?;:" else (word, "")
+_MARKS = frozenset(".,!?;:")
+
+
+def _letters_and_marks(words: list[str]) -> tuple[list[str], list[str]]:
+    """Words of letters in lower case and the marks after them; other words as they are, with ''."""
     # A capital sigma's lower case depends on its place, which the tokeniser leaves out of account.
-    return (root.lower(), mark) if root.isalpha() and "\u03a3" not in root else (word, "")
+    lower = [w if "\u03a3" in w else w.lower() for w in words]
+    marks = [w[-1] if w[-1] in _MARKS else "" for w in lower]
+    roots = [w[:-1] if m else w for w, m in zip(lower, marks, strict=True)]
+    for i, good in enumerate(map(str.isalpha, roots)):
+        if not good or "\u03a3" in roots[i]:
+            roots[i], marks[i] = words[i], ""
+    return roots, marks
 
 
 class _Column:
@@ -102,10 +110,10 @@ class _Words:
         self.ids.extend(ids)
         self.parts.update(zip(names, range(n, n + len(names)), strict=True))
 
-    def add_words(self, words: list[str], halves: list[tuple[str, str]]) -> None:
+    def add_words(self, words: list[str], roots: list[str], marks: list[str]) -> None:
         n = self.first.used
-        self.first.extend([self.parts[a] for a, _ in halves])
-        self.second.extend([self.parts[b] for _, b in halves])
+        self.first.extend(list(map(self.parts.__getitem__, roots)))
+        self.second.extend(list(map(self.parts.__getitem__, marks)))
         self.ends.extend([w.endswith(_ENDS) for w in words])
         self.known.update(zip(words, range(n, n + len(words)), strict=True))
 
@@ -129,21 +137,21 @@ class WordTokens:
     def _learn(self, words: list[str]):
         # Letters and a mark behind them are tokenised apart, so words in any case and
         # with any mark share their letters' ids.
-        halves = [_letters_and_mark(w) for w in words]
+        roots, marks = _letters_and_marks(words)
         now, older = self.words, self.older
-        new = [k for k in dict.fromkeys(k for pair in halves for k in pair) if k not in now.parts]
-        again = [k for k in new if k in older.parts]
+        new = {*roots, *marks} - now.parts.keys()
+        again = list(new & older.parts.keys())
         if again:
             at = np.array([older.parts[k] for k in again])
             sizes = older.size.data[at].astype(np.int64)
             now.add_parts(again, older.ids.data[_gathered(older.begin.data[at], sizes)], sizes)
-            new = [k for k in new if k not in older.parts]
+        new = new - older.parts.keys()
         letters = [k for k in new if k.isalpha()]
         others = [k for k in new if not k.isalpha()]
         for some in (letters[i:i + 2000] for i in range(0, len(letters), 2000)):
             now.add_parts(some, *self._encode_letters(some))
         now.add_parts(others, *self._encode(others))
-        now.add_words(words, halves)
+        now.add_words(words, roots, marks)
 
     def _encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts, one after the other, and how many each has."""
@@ -206,24 +214,24 @@ def choose_cuts(places: list[int], penalties: list[float], size: int, last_free:
     # With key(i) = cost(i) + place(i), the best i for any j is the one of least key in the window,
     # and key(j) = size + penalty(j) + that key.
     at = [0, *places]
-    keys, back = [0.0], [-1]
-    least, index, head = [0.0], [0], 0  # a queue of keys, ascending in both
     last = len(places)
+    keys, back = [0.0] * (last + 1), [-1] * (last + 1)
+    # A queue of places by their keys, both ascending from head to tail.
+    least, where, index, head, tail = [0.0] * (last + 1), [0] * (last + 1), [0] * (last + 1), 0, 0
     for j in range(1, last + (not last_free)):
-        earliest = at[j] - size
-        while at[index[head]] < earliest:
+        place = at[j]
+        earliest = place - size
+        while where[head] < earliest:
             head += 1
-        key = least[head] + size + penalties[j - 1]
-        back.append(index[head])
-        keys.append(key)
-        while len(least) > head and least[-1] >= key:
-            least.pop()
-            index.pop()
-        least.append(key)
-        index.append(j)
+        back[j] = index[head]
+        keys[j] = key = least[head] + size + penalties[j - 1]
+        while tail >= head and least[tail] >= key:
+            tail -= 1
+        tail += 1
+        least[tail], where[tail], index[tail] = key, place, j
     if last_free:
         near = range(bisect_left(at, at[last] - size, 0, last), last)
-        back.append(min(near, key=lambda i: (keys[i] - at[i], i)))
+        back[last] = min(near, key=lambda i: (keys[i] - at[i], i))
     cuts, j = [], last
     while j > 0:
         cuts.append(at[j])
