@@ -1,16 +1,24 @@
 """Personal data: candidates from loose patterns, selected by gradient-boosted trees.
 
 Strict patterns with checks give the base spans, which always stay. Loose
-patterns propose further, overlapping spans. Every span, strict or loose, is
-described by a few discrete features of its format and of the words before it.
-The trees learn, from all documents outside the held-out fold, in which cells of
-features a candidate tends to be a valid one (a span that the strict pattern and
-its check accept); the held-out documents calibrate the score from which a
-further candidate is selected.
-
-Only counts per cell of features reach the driver: at most MOST_CELLS rows
+patterns propose further, overlapping spans; one that lies exactly where a base
+span does adds nothing and takes no part. The others are described by a cell of
+discrete features of their format and of the mark before them.
+
+There are no labels, so the trees learn from evidence that the features don't
+hold. It is certain where the value, written plainly, also occurs as a base span
+anywhere in the corpus, where a mail address is spelled out at both places, or
+where 13 to 19 digits pass the card check. It is incomplete where a word such as
+"phone" stands before the span: most personal data are not announced. As usual
+for positive and unlabelled examples, the announced ones are divided by the share
+of base spans that are announced (at most MOST_WEIGHT fold), so that a format that is
+announced as often as the base spans are counts as personal data also where no
+word says so. The trees fit these counts outside the held-out fold; the held-out
+counts calibrate the score from which a candidate is selected.
+
+Only counts per cell of features reach the driver: at most 2 * MOST_CELLS rows
 whatever the data. The trees are fitted there on these counts, which are exact
-sufficient statistics for discrete features, and come back as a literal map.
+sufficient statistics for discrete features, and come back as a list of cells.
 
 Null texts count as empty; every row gives one row. Rows that repeat, null ids
 and extra columns need no care: nothing is joined or grouped by document. Very
@@ -29,7 +37,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from factlake.llm.common import held_out
-from factlake.llm.native import joined, matches, spans
+from factlake.llm.native import joined, matches, running, spans
 from factlake.session import materialize
 
 BASE = ("email", "ip", "card", "phone")
@@ -50,8 +58,9 @@ SPELLED = (
 DIGITS = r"(?<![0-9A-Za-z])\+?[0-9](?:[\x20().-]{0,2}[0-9]){6,22}+(?![0-9A-Za-z])"
 LOOSE = ("spelled", "digits")
 KINDS = BASE + LOOSE
-MOST_CELLS = 4096
-_CONTEXT = 24
+FLAGS = 8
+MOST_CELLS = 8 << FLAGS
+MOST_WEIGHT = 5.0
 # Words that announce personal data, in the languages of the corpora.
 _ANNOUNCE = r"(?i)(?:mail|phone|tel|call|card|karte|tarjeta|carte|contact|kontakt|contacto|address|ip|ssn|fax|mobil)\W*+$"
 
@@ -85,23 +94,37 @@ def _valid(kind: str, span: Column) -> Column:
     return F.lit(True)
 
 
-def _described(text: str, found: Column, kind: str) -> Column:
-    """Spans with rank, kind, validity and the cell of their features."""
+def _plain(kind: str, value: Column) -> Column:
+    """A value without the ways to write it: mail addresses in lower case, numbers as digits."""
+    if kind == "spelled":
+        return F.regexp_replace(F.regexp_replace(F.regexp_replace(
+            F.lower(value), r"\x20", ""), r"[(\[{]at[)\]}]", "@"), r"[(\[{]dot[)\]}]", ".")
+    return F.lower(value) if kind == "email" else _digits(value)
+
+
+def _certain(kind: str, value: Column) -> Column:
+    """Whether a loose span's own form leaves no doubt."""
+    if kind == "spelled":
+        return value.rlike(r"[(\[{]at[)\]}].*[(\[{]dot[)\]}]")
+    if kind == "digits":
+        return F.length(_digits(value)).between(13, 19) & _luhn(_digits(value))
+    return F.lit(False)
+
+
+def _described(found: Column, kind: str) -> Column:
+    """Spans with rank, kind, validity, evidence and the cell of their features."""
     rank = KINDS.index(kind)
 
     def describe(span):
-        value, digits = span["value"], F.length(_digits(span["value"]))
-        before = F.substring(
-            F.col(text), F.greatest(span["start"] - _CONTEXT, F.lit(0)) + 1,
-            F.least(span["start"], F.lit(_CONTEXT)),
-        )
+        value, digits, before = span["value"], F.length(_digits(span["value"])), span["before"]
         size = (
             F.when(digits < 4, 0).when(digits < 9, 1).when(digits < 11, 2).when(digits < 13, 3)
             .when(digits < 16, 4).when(digits == 16, 5).when(digits < 20, 6).otherwise(7)
         )
         flags = [
-            value.startswith("+"), value.rlike(r"[\x20()]"), value.rlike("-"), value.rlike(r"\."), value.rlike("@"),
-            before.rlike(_ANNOUNCE), before.rlike(r"[:=]\x20*+$"),
+            F.lit(kind == "spelled"), value.startswith("+"), value.rlike(r"[\x20()]"), value.rlike("-"),
+            value.rlike(r"\."), value.rlike("^0") | before.rlike(r"[(]$"), value.rlike(r"[0-9][0-9]{3}-|\.[0-9]{4}"),
+            before.rlike(r"[:=]\x20*+$"),
         ]
         cell = size
         for flag in flags:
@@ -109,11 +132,40 @@ def _described(text: str, found: Column, kind: str) -> Column:
         return F.struct(
             F.lit(rank).alias("rank"), F.lit(kind).alias("kind"), span["start"].alias("start"),
             span["end"].alias("end"), _valid(kind, span).alias("valid"), cell.alias("cell"),
+            before.rlike(_ANNOUNCE).alias("announced"), _certain(kind, value).alias("certain"),
+            F.xxhash64(_plain(kind, value)).alias("key"),
         )
 
     return F.transform(found, describe)
 
 
+def _place(span: Column) -> Column:
+    return span["start"].cast("long") * F.lit(1 << 31) + span["end"]
+
+
+def _base(span: Column) -> Column:
+    return (span["rank"] < len(BASE)) & span["valid"]
+
+
+def _with_addable(spans_: Column) -> Column:
+    """The spans by place, each with whether it is a loose one where no base span lies exactly.
+
+    Base spans come first at their place, so the greatest base place so far tells.
+    """
+    ordered = F.array_sort(F.transform(spans_, lambda s: F.struct(
+        _place(s).alias("place"), (~_base(s)).alias("other"), s.alias("span")
+    )))
+    return F.transform(F.array(ordered), lambda listed: F.zip_with(
+        listed, running(
+            F.transform(listed, lambda s: F.when(s["other"], F.lit(-1)).otherwise(s["place"])),
+            lambda one, other: F.greatest(one, other),
+        ),
+        lambda s, last: s["span"].withField(
+            "addable", (s["span"]["rank"] >= len(BASE)) & (last != s["place"])
+        ),
+    ))[0]
+
+
 def candidates(documents: DataFrame) -> DataFrame:
     """``doc_id, fold, spans``: all strict and loose matches of each document."""
     texts = documents.select(
@@ -133,15 +185,25 @@ def candidates(documents: DataFrame) -> DataFrame:
         spans("text", patterns[kind][0], f"m_{kind}").alias(f"s_{kind}") for kind in KINDS
     ))
     return located.select("doc_id", "fold", F.concat(*(
-        _described("text", F.col(f"s_{kind}"), kind) for kind in KINDS
-    )).alias("spans"))
+        _described(F.col(f"s_{kind}"), kind) for kind in KINDS
+    )).alias("spans")).withColumn("spans", _with_addable(F.col("spans")))
 
 
 def _accepted(cells: DataFrame) -> dict:
-    """Per fold and cell how many spans there are and how many are valid."""
+    """Per fold and cell how many addable spans there are and how many count as personal data.
+
+    Cell -1 holds the base spans: how many of them are announced says how much an
+    announced candidate stands for.
+    """
+    rows = cells.collect()  # at most two folds times MOST_CELLS + 1 rows
+    base = [r for r in rows if r["cell"] < 0 and not r["fold"]]
+    share = sum(r["announced"] for r in base) / max(1, sum(r["n"] for r in base))
+    weight = min(MOST_WEIGHT, 1 / share) if share else 1.0
     counted: dict = {}
-    for row in cells.collect():  # at most two folds times MOST_CELLS rows
-        counted.setdefault(bool(row["fold"]), {})[row["cell"]] = (row["n"], row["good"])
+    for r in rows:
+        if r["cell"] >= 0:
+            good = min(float(r["n"]), r["certain"] + weight * r["announced"])
+            counted.setdefault(bool(r["fold"]), {})[r["cell"]] = (r["n"], good)
     return counted
 
 
@@ -157,10 +219,10 @@ class BoostedCells:
     @staticmethod
     def features(cell: int) -> tuple:
         """The flags of the cell and, bit by bit, whether its size class is reached."""
-        flags = tuple((cell >> k) & 1 for k in range(7))
-        return flags + tuple(int((cell >> 7) >= k) for k in range(1, 8))
+        flags = tuple((cell >> k) & 1 for k in range(FLAGS))
+        return flags + tuple(int((cell >> FLAGS) >= k) for k in range(1, 8))
 
-    def fit(self, counts: dict[int, tuple[int, int]]) -> BoostedCells:
+    def fit(self, counts: dict[int, tuple[int, float]]) -> BoostedCells:
         rows = [(self.features(c), n, good) for c, (n, good) in sorted(counts.items())]
         total, valid = sum(r[1] for r in rows), sum(r[2] for r in rows)
         if not total:
@@ -205,18 +267,21 @@ class BoostedCells:
         return 1 / (1 + math.exp(-max(-30.0, min(30.0, total))))
 
 
-def calibrated(model: BoostedCells, counts: dict[int, tuple[int, int]], precision: float) -> float:
-    """The lowest score from which the held-out candidates are as precise as asked."""
+def calibrated(model: BoostedCells, counts: dict[int, tuple[int, float]], precision: float) -> float:
+    """The lowest score from which the held-out candidates are as precise as asked.
+
+    One right and one wrong candidate are added to them, so that a few prove nothing.
+    """
     kept = good = 0
     threshold = 2.0
-    by_score: dict[float, list[int]] = {}
+    by_score: dict[float, list[float]] = {}
     for cell, (n, valid) in counts.items():
         held = by_score.setdefault(round(model.score(cell), 12), [0, 0])
         held[0] += n
         held[1] += valid
     for score, (n, valid) in sorted(by_score.items(), reverse=True):
         kept, good = kept + n, good + valid
-        if good < precision * kept:
+        if good + 1 < precision * (kept + 2):
             break
         threshold = score
     return threshold
@@ -229,16 +294,26 @@ def find_personal_data(documents: DataFrame, precision: float = 0.9) -> DataFram
 
 
 def _taught(proposed: DataFrame) -> DataFrame:
-    """Counts per cell; a loose span is a good one if it ends where a valid strict one does."""
-    strict = F.filter("spans", lambda s: (s["rank"] < len(BASE)) & s["valid"])
-    taught = proposed.select("fold", F.explode(F.transform("spans", lambda s: F.struct(
-        s["cell"].alias("cell"),
-        F.when(s["rank"] < len(BASE), s["valid"]).otherwise(
-            F.exists(strict, lambda b: (b["end"] == s["end"]) & (b["start"] == s["start"]))
-        ).alias("good"),
-    ))).alias("span"))
-    return taught.groupBy("fold", F.col("span.cell").alias("cell")).agg(
-        F.count(F.lit(1)).alias("n"), F.sum(F.col("span.good").cast("int")).alias("good")
+    """Counts per fold and cell of the addable spans, and of the base spans as cell -1.
+
+    ``certain`` counts the spans with certain evidence, ``announced`` those of the others
+    that a word announces. Spans are counted per value before values meet, so that
+    one value in a third of all rows is few rows.
+    """
+    span = F.col("span")
+    of_values = materialize(
+        proposed.select("fold", F.explode("spans").alias("span")).filter(_base(span) | span["addable"])
+        .groupBy("fold", F.when(span["addable"], span["cell"]).otherwise(F.lit(-1)).alias("cell"),
+                 span["announced"].alias("announced"), span["certain"].alias("certain"), span["key"].alias("key"))
+        .agg(F.count(F.lit(1)).alias("n")), "pii-values"
+    )
+    known = of_values.filter("cell < 0").select("key", F.lit(True).alias("known")).distinct()
+    certain = F.col("certain") | F.coalesce("known", F.lit(False))
+    return of_values.join(known, "key", "left").groupBy("fold", "cell").agg(
+        F.sum("n").alias("n"),
+        F.sum(F.when((F.col("cell") >= 0) & certain, F.col("n")).otherwise(0)).alias("certain"),
+        F.sum(F.when(F.col("announced") & ((F.col("cell") < 0) | ~certain), F.col("n")).otherwise(0))
+        .alias("announced"),
     )
 
 
@@ -246,14 +321,9 @@ def _selected(proposed: DataFrame, counted: dict, precision: float) -> DataFrame
     model = BoostedCells().fit(counted.get(False, {}))
     threshold = calibrated(model, counted.get(True, {}), precision)
     cells = {c for fold in counted.values() for c in fold}
-    good = sorted(c for c in cells if model.score(c) >= threshold)
-    base = F.filter("spans", lambda s: (s["rank"] < len(BASE)) & s["valid"])
-    strict_at = F.transform(base, lambda b: F.struct(b["start"].alias("start"), b["end"].alias("end")))
-    further = F.filter("spans", lambda s: (
-        ((s["rank"] >= len(BASE)) | ~s["valid"])
-        & (s["cell"].isin(good) if good else F.lit(False))
-        & ~F.array_contains(strict_at, F.struct(s["start"].alias("start"), s["end"].alias("end")))
-    ))
+    good = sorted(c for c in cells if round(model.score(c), 12) >= threshold)
+    base = F.filter("spans", _base)
+    further = F.filter("spans", lambda s: s["addable"] & (s["cell"].isin(good) if good else F.lit(False)))
     return proposed.select("doc_id", base.alias("base"), F.concat(base, further).alias("found"))
 
 

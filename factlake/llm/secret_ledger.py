@@ -19,7 +19,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from factlake.llm.native import joined, labelled, matches, spans
+from factlake.llm.native import joined, labelled, matches, spans, without_spans
 from factlake.session import fresh_path, materialize
 
 RULES_VERSION = "3"
@@ -144,19 +144,8 @@ def secret_digest(scanned: DataFrame) -> DataFrame:
 
 
 def redacted(text: Column, found: Column, mark: str = "[SECRET]") -> Column:
-    """``text`` with the union of the found spans replaced by ``mark``."""
-    ordered = F.array_sort(F.transform(found, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"))))
-    walked = F.aggregate(
-        ordered, F.struct(F.lit(0).alias("at"), F.lit("").alias("kept")),
-        lambda done, s: F.when(s["end"] <= done["at"], done).otherwise(F.struct(
-            s["end"].alias("at"),
-            F.concat(
-                done["kept"], F.substring(text, done["at"] + 1, F.greatest(s["start"] - done["at"], F.lit(0))),
-                F.when(s["start"] >= done["at"], F.lit(mark)).otherwise(F.lit("")),
-            ).alias("kept"),
-        )),
-    )
-    return F.concat(walked["kept"], F.substring(text, walked["at"] + 1, F.length(text)))
+    """``text`` with the union of the found spans replaced by ``mark``; null and empty texts stay."""
+    return without_spans(text, found, mark)
 
 
 def redact_history(history: DataFrame, ledger: str | None = None, path: str = "doc_id", text: str = "text") -> DataFrame:
