@@ -28,16 +28,13 @@ def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
     )
     run = ["file", "block", "run"]
     sizes = materialize(span.groupBy(*run).agg(F.count(F.lit(1)).alias("n")), "line-runs")
-    # Runs inside a block are numbered there, blocks inside their file, files among each other:
-    # only one row per file meets in one place, through a join with the smaller ones.
+    # Runs inside a block are numbered there, blocks inside their file, files among each other.
     earlier = (Window.unboundedPreceding, -1)
     in_block = Window.partitionBy("file", "block").orderBy("run").rowsBetween(*earlier)
     blocks = sizes.groupBy("file", "block").agg(F.sum("n").alias("n"))
     in_file = Window.partitionBy("file").orderBy("block").rowsBetween(*earlier)
     files = blocks.groupBy("file").agg(F.sum("n").alias("n"))
-    before = files.alias("f").join(files.alias("g"), F.col("g.file") < F.col("f.file"), "left").groupBy(
-        F.col("f.file").alias("file")
-    ).agg(F.coalesce(F.sum("g.n"), F.lit(0)).alias("file_start"))
+    before = _files_before(materialize(files, "line-files"))
     starts = (
         sizes.withColumn("run_start", F.coalesce(F.sum("n").over(in_block), F.lit(0)))
         .join(blocks.withColumn("block_start", F.coalesce(F.sum("n").over(in_file), F.lit(0))).drop("n"),
@@ -53,6 +50,32 @@ def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
     )
 
 
+def _files_before(files: DataFrame) -> DataFrame:
+    """``file, file_start``: the lines of all files whose name is smaller.
+
+    The names are cut into at most 256 ranges of about equal size.  Files are
+    summed up inside their range, and only one total per range meets in one
+    place, so nothing is compared pair by pair whatever the number of files.
+    """
+    count = files.count()
+    # The bounds only decide where the work is cut, so an approximate choice is as good as any.
+    hashed = max(1, (4096 << 20) // max(1, count))
+    chosen = files.filter(F.pmod(F.xxhash64("file"), F.lit(1 << 20)) < min(1 << 20, hashed)).select("file")
+    names = sorted(row.file for row in chosen.limit(1 << 14).collect())
+    bounds = names[::max(1, len(names) // 255)] if count > 4096 else []
+    part = F.lit(0)
+    if bounds:
+        listed = F.array(*[F.lit(name) for name in bounds])
+        part = F.aggregate(listed, F.lit(0), lambda done, bound: done + (bound <= F.col("file")).cast("int"))
+    placed = files.withColumn("part", part)
+    earlier = (Window.unboundedPreceding, -1)
+    totals = placed.groupBy("part").agg(F.sum("n").alias("n")).select(
+        "part", F.coalesce(F.sum("n").over(Window.orderBy("part").rowsBetween(*earlier)), F.lit(0)).alias("part_start"))
+    inside = Window.partitionBy("part").orderBy("file").rowsBetween(*earlier)
+    return placed.withColumn("inside", F.coalesce(F.sum("n").over(inside), F.lit(0))).join(totals, "part").select(
+        "file", (F.col("part_start") + F.col("inside")).alias("file_start"))
+
+
 def _kind(value: Column) -> Column:
     return F.schema_of_variant(value)
 
