@@ -206,6 +206,24 @@ def import_batch(
     Outcomes: ``ordinal, outcome, error``.  Entries that bring an ``embedding``
     keep it; the others are embedded.
     """
+    added, outcomes = imported_facts(
+        memory, entries, project_id, agent, as_of, embedder, threshold, max_len, on_invalid
+    )
+    return (memory if added is None else append_memories(memory, added, as_of)), outcomes
+
+
+def imported_facts(
+    memory: DataFrame,
+    entries: DataFrame,
+    project_id: str,
+    agent: str,
+    as_of,
+    embedder: Embedder | None = None,
+    threshold: float = DEDUP_THRESHOLD,
+    max_len: int | None = MAX_CONTENT_LENGTH,
+    on_invalid: str = "fail",
+):
+    """(new facts, outcomes) of :func:`import_batch`; None in place of facts if nothing may be imported."""
     if on_invalid not in ("fail", "drop"):
         raise ValueError("on_invalid must be 'fail' or 'drop'")
     checked = entries.withColumn("reason", content_reason(F.col("content"), max_len))
@@ -213,7 +231,7 @@ def import_batch(
         "ordinal", F.lit("error").alias("outcome"), F.col("reason").alias("error")
     )
     if on_invalid == "fail" and rejected.limit(1).count():
-        return memory, rejected
+        return None, rejected
     valid = checked.filter(F.col("reason").isNull()).drop("reason")
     valid = materialize(with_vectors(valid, embedder), "import-batch")
     decided = import_decisions(memory, valid, project_id, agent, threshold)
@@ -228,7 +246,7 @@ def import_batch(
         F.when(F.col("action") == "skip", "skipped").otherwise("imported").alias("outcome"),
         F.lit(None).cast("string").alias("error"),
     )
-    return append_memories(memory, new_facts(rows, as_of), as_of), outcomes.unionByName(rejected)
+    return new_facts(rows, as_of), outcomes.unionByName(rejected)
 
 
 def with_vectors(rows: DataFrame, embedder: Embedder | None) -> DataFrame:

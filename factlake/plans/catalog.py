@@ -229,6 +229,27 @@ def _(spark, sf):
     return state(tables.read_snapshot(spark, root))
 
 
+@query("snk03_changed_buckets", f"""
+{sql_state({
+    "pinned": "m.pinned OR c.id IS NOT NULL",
+    "updated_at": f"CASE WHEN c.id IS NULL THEN {sql_ts('m.updated_at')} ELSE {NOW_TEXT} END",
+}, f"memory m LEFT JOIN {CLICKED} ON c.id = m.id")} UNION ALL
+SELECT md5('new-' || candidate_id), project_id, false, false, 0, 'normal', md5(content), '',
+  {NOW_TEXT}, {NOW_TEXT} FROM incoming""", "memory", "incoming")
+def _(spark, sf):
+    root = fresh_path(spark, "changes")
+    memory = facts.memory(spark, sf)
+    tables.write_snapshot(memory, root, bucket_rows=500)
+    added = facts.incoming(spark, sf).select(
+        F.md5(F.concat(F.lit("new-"), "candidate_id")).alias("id"), "project_id", "content",
+        "embedding", "created_by",
+    )
+    tables.append_snapshot(ingest.append_memories(memory.filter(F.lit(False)), added, AS_OF), root)
+    ids = clicked(spark, sf)
+    tables.change_snapshot(spark, root, ids, lambda rows: lifecycle.set_pinned(rows, ids, True, AS_OF)[0])
+    return state(tables.read_snapshot(spark, root))
+
+
 # An export states times to the millisecond.
 @query("snk04_round_trip", sql_state({
     "last_accessed_at": sql_ts("date_trunc('milliseconds', m.last_accessed_at)"),

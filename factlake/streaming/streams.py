@@ -10,9 +10,9 @@ from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
 from factlake.functions.embed import Embedder
-from factlake.operators.ingest import import_batch
+from factlake.operators.ingest import append_memories, imported_facts
 from factlake.schema import ARCHIVE_AFTER_DAYS, DEDUP_THRESHOLD
-from factlake.sources.tables import latest_version, read_snapshot, write_snapshot
+from factlake.sources.tables import append_snapshot, latest_version, read_snapshot
 
 
 # Kinds of events that change no content or flag.
@@ -125,7 +125,8 @@ def import_stream(
     """Import arriving entries against the current snapshot under ``root``.
 
     Every micro-batch becomes one snapshot version numbered after it, so a
-    batch that is replayed after a failure finds its version published.
+    batch that is replayed after a failure finds its version published.  Only
+    its new facts are written.
     """
     spark = entries.sparkSession
     first = latest_version(spark, root)
@@ -139,10 +140,10 @@ def import_stream(
         if current is not None and current >= version:
             return
         memory = read_snapshot(spark, root)
-        changed, _ = import_batch(
+        added, _ = imported_facts(
             memory, batch, project_id, agent, as_of, embedder, threshold, on_invalid="drop"
         )
-        write_snapshot(changed, root, version)
+        append_snapshot(append_memories(memory.filter(F.lit(False)), added, as_of), root, version)
 
     return (
         entries.writeStream.foreachBatch(store)

@@ -31,6 +31,17 @@ def test_import_file(spark, tmp_path):
     assert notes[3] == "line 5 is not a JSON object, skipping"
 
 
+def test_line_numbers_of_very_many_files(spark):
+    rows = [(f"file-{(i * 7919) % 20011:06d}", i % 5) for i in range(20011)]
+    files = spark.createDataFrame(rows, "file string, n long")
+    before = json_lines._files_before(files)
+    want, total = {}, 0
+    for name, n in sorted(rows):
+        want[name], total = total, total + n
+    assert {r.file: r.file_start for r in before.collect()} == want
+    assert "NestedLoop" not in before._jdf.queryExecution().toString()
+
+
 def test_line_numbers_across_splits(spark, tmp_path):
     path = tmp_path / "long.jsonl"
     path.write_text("".join(f"{i}\n\n" if i % 10 == 0 else f"{i}\n" for i in range(20000)))
@@ -75,6 +86,58 @@ def test_snapshots(spark, tmp_path):
     assert tables.read_snapshot(spark, root).filter("pinned").count() == 1
 
 
+def _files(path):
+    return {os.path.join(d, f) for d, _, names in os.walk(path) for f in names if f.endswith(".parquet")}
+
+
+def test_changes_write_only_what_they_touch(spark, tmp_path):
+    root, as_of = str(tmp_path / "state"), "2025-02-01 00:00:00"
+    memory = table(spark, [fact(f"f{i}", archived=i % 7 == 0) for i in range(200)])
+
+    def ids(*names):
+        return spark.createDataFrame([(n,) for n in names], "id string")
+
+    def rows(version=None):
+        found = tables.read_snapshot(spark, root, version).collect()
+        assert len({r.id for r in found}) == len(found)
+        return {r.id: r for r in found}
+
+    assert tables.write_snapshot(memory, root, bucket_rows=20) == 0
+    base = _files(root)
+    pin = lambda names: lambda facts: lifecycle.set_pinned(facts, ids(*names), True, as_of)[0]
+    assert tables.change_snapshot(spark, root, ids("f3", "none"), pin(["f3"])) == 1
+    touched = [f for f in _files(root) - base if "/buckets/" not in f]
+    assert {f.split("/bucket=")[1].split("/")[0] for f in touched} and len(touched) <= 2
+    assert spark.read.parquet(*touched).count() < 60
+    assert [i for i, r in rows().items() if r.pinned] == ["f3"] and len(rows()) == 200
+    assert not any(r.pinned for r in rows(0).values())
+    # An added fact in a changed bucket, a change of it, facts that move to the archive, facts that go.
+    assert tables.append_snapshot(table(spark, [fact("new")]), root) == 2
+    assert tables.change_snapshot(spark, root, ids("new", "f5"), pin(["new", "f5"])) == 3
+    gone = ids(*[f"f{i}" for i in range(100, 200)])
+    assert tables.change_snapshot(spark, root, gone, lambda facts: lifecycle.forget(facts, gone)[0]) == 4
+    assert tables.change_snapshot(
+        spark, root, ids("f1"), lambda facts: lifecycle.set_archived(facts, ids("f1"), True, as_of)[0]) == 5
+    now = rows()
+    assert set(now) == {f"f{i}" for i in range(100)} | {"new"} and now["f1"].archived
+    assert {i for i, r in now.items() if r.pinned} == {"f3", "f5", "new"}
+    assert tables.change_snapshot(spark, root, gone, lambda facts: lifecycle.forget(facts, gone)[0], version=4) == 4
+    assert len(rows(3)) == 201 and tables.latest_version(spark, root) == 5
+    # Complete again, and everything goes.
+    assert tables.write_snapshot(tables.read_snapshot(spark, root), root) == 6 and len(rows()) == 101
+    every = tables.read_snapshot(spark, root).select("id")
+    assert tables.change_snapshot(spark, root, every, lambda facts: lifecycle.forget(facts, every)[0]) == 7
+    assert rows() == {}
+
+
+def test_a_snapshot_of_nothing(spark, tmp_path):
+    root = str(tmp_path / "state")
+    assert tables.write_snapshot(table(spark, [fact("a")]).filter("false"), root) == 0
+    assert tables.read_snapshot(spark, root).count() == 0
+    assert tables.append_snapshot(table(spark, [fact("a")]), root) == 1
+    assert [r.id for r in tables.read_snapshot(spark, root).collect()] == ["a"]
+
+
 def test_export_order(spark, tmp_path):
     memory = table(spark, [
         fact("old", created="2025-01-01 00:00:00"), fact("new", created="2025-01-03 00:00:00"),
