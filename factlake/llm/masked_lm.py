@@ -1,18 +1,25 @@
 """Masked pseudo-likelihood: a window network that predicts every word from both sides.
 
-Words are counted over all documents; the most frequent have an id each, the
-others share hashed ids, so the vocabulary is bounded. The network sums gated
+Words are counted over all documents, every distinct one with its spelling; the
+most frequent (VOCABULARY - SHARED) have an id each. To the network the others are
+SHARED ids by hash; together they are one event, "another word", and which other
+word it is has its probability by ``spelling``, so every word of every text counts
+as itself, seen or not. The network sums gated
 embeddings of the WINDOW words on either side, applies tanh, and predicts the
 masked word as its group and its place in the group, each by a softmax; both
 together are an exact conditional distribution over the vocabulary.
 
 Training is data-parallel in numpy and sees every document once: in round one
-every task trains on one part of its documents from one common start, in round
+every task trains on one part of its documents from one start, the frequency of
+each id whatever its neighbours, in round
 two on the rest from the average; after each round the parameters are averaged
 over tasks, weighted by the words they saw. They are summed per block of
 parameters by Spark, so what is gathered grows with the number of tasks and no
-node holds more than one model. A document's score is the sum over its words of
-the log-probability (natural) of the word given its neighbours.
+node holds more than one model. A document's score ``text_log_likelihood`` is the
+sum over its words of the log-probability (natural) of the word given its neighbours;
+``log_likelihood`` is the same of the words' ids alone, which tells texts of rare
+words hardly apart. Over all words the chances sum to less than one by what the
+spelling gives to words that have an id.
 
 Null texts and texts without words have no words and score 0. Every row is
 scored by itself, so repeated rows and null ids keep their row; extra columns are
@@ -29,12 +36,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from factlake.llm.common import chunks, word_hashes
+from factlake.llm.spelling import Spelling, learn_spelling
 from factlake.llm.toxicity_ftrl import _SEPARATOR
+from factlake.session import materialize
 
 GROUPS = 32
 VOCABULARY = GROUPS * GROUPS
 # Ids that words outside the vocabulary share by hash; one more id marks the edges.
 SHARED = 64
+# The groups of the shared ids: the chance of another word is the sum of theirs.
+OPEN_GROUP = (VOCABULARY - SHARED) // GROUPS
 WINDOW = 2
 WIDTH = 8
 BATCH = 8192
@@ -59,34 +70,62 @@ class Vocabulary:
         return np.where(self.hashes[at] == hashes, self.ids[at], shared)
 
 
+_LOWERED = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
+_SPACED = bytes(32 if separates else byte for byte, separates in enumerate(_SEPARATOR))
+
+
+def spelled(texts: list) -> list:
+    """The words of all texts as lower-case bytes, in the order of their hashes."""
+    return b" ".join([t or b"" for t in texts]).translate(_SPACED).translate(_LOWERED).split()
+
+
 def _count_words(batches):
-    """Each task's words and how often they occur, summed over runs of chunks."""
+    """Each task's words with their spelling and how often they occur, summed over runs of chunks."""
     held, size = [], 0
 
     def flush():
-        values, counts = np.unique(np.concatenate(held), return_counts=True)
+        words = np.concatenate([w for w, _, _ in held])
+        bytes_of = [b for _, some, _ in held for b in some]
+        values, first, at = np.unique(words, return_index=True, return_inverse=True)
+        counts = np.bincount(at, weights=np.concatenate([n for _, _, n in held])).astype(np.int64)
         return pa.RecordBatch.from_arrays(
-            [pa.array(values.view(np.int64)), pa.array(counts.astype(np.int64))], ["word", "n"]
+            [pa.array(values.view(np.int64)), pa.array([bytes_of[i] for i in first], pa.binary()), pa.array(counts)],
+            ["word", "spelled", "n"],
         )
 
     for _, texts in chunks(batches, "text"):
-        held.append(word_hashes(texts, _SEPARATOR)[0])
-        size += len(held[-1])
-        if size > 8_000_000:
+        values, first, counts = np.unique(word_hashes(texts, _SEPARATOR)[0], return_index=True, return_counts=True)
+        words = spelled(texts)
+        held.append((values, [words[i] for i in first], counts))
+        size += len(values)
+        if size > 1_000_000:
             yield flush()
             held, size = [], 0
     if held:
         yield flush()
 
 
-def count_vocabulary(documents: DataFrame) -> Vocabulary:
-    """The most frequent words of all documents."""
-    counted = documents.select(F.col("text").cast("string").alias("text")).mapInArrow(_count_words, "word long, n long")
+def count_words(documents: DataFrame) -> DataFrame:
+    """``word, spelled, n``: every distinct word of all documents, written once."""
+    counted = documents.select(F.col("text").cast("string").alias("text")).mapInArrow(
+        _count_words, "word long, spelled binary, n long")
+    return materialize(counted.groupBy("word", "spelled").agg(F.sum("n").alias("n")), "words")
+
+
+def most_frequent(words: DataFrame) -> tuple[Vocabulary, np.ndarray]:
+    """The words that have an id each, and how often each id occurs."""
     top = (
-        counted.groupBy("word").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "word")
+        words.groupBy("word").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "word")
         .limit(VOCABULARY - SHARED).toPandas()
     )
-    return Vocabulary(top["word"].to_numpy(dtype=np.int64).view(np.uint64))
+    hashes = top["word"].to_numpy(dtype=np.int64).view(np.uint64)
+    counts = np.zeros(VOCABULARY)
+    # SHARED divides 2^64, so hashes with and without a sign share alike.
+    shared = words.groupBy(F.pmod("word", F.lit(SHARED)).alias("at")).agg(F.sum("n").alias("n")).toPandas()
+    counts[VOCABULARY - SHARED + shared["at"].to_numpy(dtype=np.int64)] = shared["n"]
+    np.subtract.at(counts, VOCABULARY - SHARED + (hashes % np.uint64(SHARED)).astype(np.int64), top["n"].to_numpy())
+    counts[:len(top)] = top["n"]
+    return Vocabulary(hashes), counts
 
 
 class WindowNetwork:
@@ -116,6 +155,15 @@ class WindowNetwork:
         # Sums of squared gradients, for a rate per number.
         self.seen = np.full(self.SIZE, 1e-2, dtype=np.float32)
 
+    @classmethod
+    def by_frequency(cls, counts: np.ndarray) -> "WindowNetwork":
+        """A network that starts from how often each id occurs."""
+        network = cls()
+        counts = counts.reshape(GROUPS, GROUPS) + 0.5
+        network.group_bias[:] = np.log(counts.sum(axis=1) / counts.sum())
+        network.member_bias[:] = np.log(counts / counts.sum(axis=1, keepdims=True))
+        return network
+
     def _hidden(self, context):
         looked = self.embedding[context]
         return looked, np.tanh(np.einsum("nkd,kd->nd", looked, self.gate) + self.shift)
@@ -129,17 +177,23 @@ class WindowNetwork:
 
     def log_probabilities(self, context: np.ndarray, target: np.ndarray) -> np.ndarray:
         """Of each target given its context; targets sorted by group."""
+        return self.both(context, target)[0]
+
+    def both(self, context: np.ndarray, target: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Of each target's id, and of each target where all shared ids are one event."""
         _, hidden = self._hidden(context)
         group, member = np.divmod(target, GROUPS)
         rows = np.arange(len(target))
-        out = self._log_softmax(hidden @ self.group + self.group_bias)[rows, group]
+        groups = self._log_softmax(hidden @ self.group + self.group_bias)
+        out = groups[rows, group]
         ends = np.searchsorted(group, np.arange(GROUPS + 1))
         for g in range(GROUPS):
             a, b = ends[g], ends[g + 1]
             if b > a:
                 inner = self._log_softmax(hidden[a:b] @ self.member[g] + self.member_bias[g])
                 out[a:b] += inner[np.arange(b - a), member[a:b]]
-        return out
+        other = np.log(np.exp(groups[:, OPEN_GROUP:]).sum(axis=1))
+        return out, np.where(group >= OPEN_GROUP, other, out)
 
     def learn(self, context: np.ndarray, target: np.ndarray, rate: float) -> None:
         """One step on a batch of targets sorted by group."""
@@ -254,42 +308,51 @@ def _sum(frame):
     })
 
 
-def train(documents: DataFrame) -> tuple[Vocabulary, np.ndarray]:
-    """Vocabulary and parameters learnt from every document."""
+def train(documents: DataFrame) -> tuple[Vocabulary, Spelling, np.ndarray]:
+    """Vocabulary, spelling and parameters learnt from every document."""
     texts = documents.filter(F.col("text").isNotNull()).select(
         F.col("text").cast("string").alias("text"), (F.pmod(F.xxhash64("text"), F.lit(FIRST_PART)) == 0).alias("first")
     )
-    vocabulary = count_vocabulary(texts)
-    flat = _round(texts.filter("first"), vocabulary, WindowNetwork().flat)
-    return vocabulary, _round(texts.filter("not first"), vocabulary, flat)
+    words = count_words(texts)
+    vocabulary, counts = most_frequent(words)
+    spelling = learn_spelling(words, vocabulary.hashes)
+    flat = _round(texts.filter("first"), vocabulary, WindowNetwork.by_frequency(counts).flat)
+    return vocabulary, spelling, _round(texts.filter("not first"), vocabulary, flat)
 
 
-def _score(batches, vocabulary, flat):
+def _score(batches, model):
+    vocabulary, spelling, flat = model.value
     network = WindowNetwork(flat)
     for batch, texts in chunks(batches, "text"):
         hashes, offsets = word_hashes(texts, _SEPARATOR)
         ids = vocabulary(hashes)
-        each = np.zeros(len(ids))
+        each, open_ = np.zeros(len(ids)), np.zeros(len(ids))
         for order, context, target in _batches(ids, offsets):
-            each[order] = network.log_probabilities(context, target)
-        total = np.concatenate([[0.0], np.cumsum(each)])
-        sums, counts = total[offsets[1:]] - total[offsets[:-1]], np.diff(offsets)
-        sums = np.where(counts > 0, np.minimum(sums, 0.0), 0.0)
+            each[order], open_[order] = network.both(context, target)
+        other = np.flatnonzero(ids >= VOCABULARY - SHARED)
+        _, first, at = np.unique(hashes[other], return_index=True, return_inverse=True)
+        words = spelled(texts)
+        open_[other] += spelling.log_probabilities([words[i] for i in other[first]])[at]
+        counts = np.diff(offsets)
+        columns = []
+        for found in (each, open_):
+            total = np.concatenate([[0.0], np.cumsum(found)])
+            sums = np.where(counts > 0, np.minimum(total[offsets[1:]] - total[offsets[:-1]], 0.0), 0.0)
+            columns += [pa.array(sums), pa.array(sums / np.maximum(counts, 1))]
         yield pa.RecordBatch.from_arrays(
-            [batch.column(0), pa.array(counts.astype(np.int64)), pa.array(sums),
-             pa.array(sums / np.maximum(counts, 1))],
-            ["doc_id", "n_words", "log_likelihood", "per_word"],
+            [batch.column(0), pa.array(counts.astype(np.int64)), *columns],
+            ["doc_id", "n_words", "log_likelihood", "per_word", "text_log_likelihood", "text_per_word"],
         )
 
 
-def score_documents(documents: DataFrame) -> DataFrame:
-    """``doc_id, n_words, log_likelihood, per_word`` for each row of ``documents``."""
-    vocabulary, flat = train(documents)
+def score_documents(documents: DataFrame, learn_from: DataFrame | None = None) -> DataFrame:
+    """``doc_id, n_words, log_likelihood, per_word, text_log_likelihood, text_per_word`` for
+    each row of ``documents``, by a model of ``learn_from`` (``documents`` itself unless given)."""
+    model = documents.sparkSession.sparkContext.broadcast(train(documents if learn_from is None else learn_from))
     return documents.select(
         F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")
     ).mapInArrow(
-        partial(_score, vocabulary=vocabulary, flat=flat),
-        "doc_id long, n_words long, log_likelihood double, per_word double",
+        partial(_score, model=model),
+        "doc_id long, n_words long, log_likelihood double, per_word double, "
+        "text_log_likelihood double, text_per_word double",
     )
-
-
