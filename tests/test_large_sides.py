@@ -87,3 +87,33 @@ def test_candidates_do_not_carry_the_words_of_their_facts(spark):
 
 def plain_lines(plan: str) -> list[str]:
     return plan.splitlines()
+
+
+def test_a_probe_is_copied_once_per_cell_and_not_per_pivot(spark, monkeypatch):
+    rng = np.random.default_rng(2)
+    vectors = rng.normal(size=(600, 12))
+    vectors[300:320] = vectors[:20]
+    rows = spark.createDataFrame(
+        [(f"{i:03}", "p", [float(x) for x in v]) for i, v in enumerate(vectors)], "id string, part string, vec array<double>")
+    asked = rows.select(
+        F.col("id").alias("query_id"), "part", "vec", F.lit(0.5).alias("threshold"), F.lit(4).alias("limit"))
+    sides, plain = [], simjoin._with_blocks
+    monkeypatch.setattr(simjoin, "_with_blocks", lambda *given: (sides.append(plain(*given)), sides[-1])[1])
+    found = {}
+    settings = {"broadcastRows": "0", "blockRows": "32", "pivots": "16"}
+    for way in ("broadcast", "cells"):
+        for name, value in settings.items() if way == "cells" else ():
+            spark.conf.set(f"factlake.similarity.{name}", value)
+        try:
+            hits = simjoin.best_hits(rows, asked).select("query_id", "rank", "id", "similarity").collect()
+            edges = simjoin.match_edges(rows, 0.99).collect()
+        finally:
+            for name in settings:
+                spark.conf.unset(f"factlake.similarity.{name}")
+        found[way] = sorted(map(tuple, hits)), {frozenset(e) for e in edges}
+    assert found["cells"] == found["broadcast"] and len(found["cells"][1]) == 20
+    # At home, further and for the edges: 16 pivots lie in 4 or 5 cells, each cut in two at most.
+    assert len(sides) == 3
+    for _, probes in sides:
+        copies = probes.groupBy("query_id", "part").agg(F.count("*").alias("n"), F.countDistinct("cell").alias("cells"))
+        assert copies.agg(F.max("cells")).first()[0] <= 5 and copies.filter("n > cells").isEmpty()
