@@ -117,3 +117,27 @@ def test_a_probe_is_copied_once_per_cell_and_not_per_pivot(spark, monkeypatch):
     for _, probes in sides:
         copies = probes.groupBy("query_id", "part").agg(F.count("*").alias("n"), F.countDistinct("cell").alias("cells"))
         assert copies.agg(F.max("cells")).first()[0] <= 5 and copies.filter("n > cells").isEmpty()
+
+
+def test_facts_are_not_repeated_per_scope_of_many_questions(spark, small_blocks, monkeypatch):
+    rng = np.random.default_rng(3)
+    vectors = rng.normal(size=(120, 6))
+    memory = table(spark, [fact(f"f{i:03}", vectors[i], repo=f"r{i % 3}", tags=["a", "b"][: i % 3]) for i in range(120)])
+    project = memory.first().project_id
+    asked = spark.createDataFrame(
+        [(i, project, "", [float(x) for x in vectors[i]], [None, "r1"][i % 2], [None, ["a"], ["b"]][i % 3], 5, -1.0)
+         for i in range(60)],
+        "query_id long, project_id string, question string, embedding array<double>, repo string, tags array<string>, "
+        "limit int, threshold double")
+    rows, _ = search.scoped(memory, search.prepare_queries(asked), False)
+    assert rows.count() == 120
+    listed = {tuple(r) for r in search.recall_batch(memory, asked).select("query_id", "rank", "id").collect()}
+    monkeypatch.setattr(search, "_MOST_SCOPES", 5)
+    rows, _ = search.scoped(memory, search.prepare_queries(asked), False)
+    assert rows.count() > 120
+    assert listed == {tuple(r) for r in search.recall_batch(memory, asked).select("query_id", "rank", "id").collect()}
+    similar = vectors @ vectors.T / np.outer(*[np.linalg.norm(vectors, axis=1)] * 2)
+    for i in range(60):
+        inside = [j for j in range(120) if (i % 2 == 0 or j % 3 == 1) and j % 3 >= i % 3]
+        best = sorted(inside, key=lambda j: -similar[i, j])[:5]
+        assert {(i, n + 1, f"f{j:03}") for n, j in enumerate(best)} == {r for r in listed if r[0] == i}
