@@ -130,3 +130,14 @@ def test_odd_facts(spark):
     assert sorted((r.seq, r.action) for r in report.collect()) == [(4, "insert"), (4, "insert"), (9, "reject")]
     after, report = remember.remember_batch(table(spark, [fact("s", [1, 0])]), spark.createDataFrame([], FACT), AS_OF)
     assert after.count() == 1 and report.count() == 0
+
+
+@pytest.mark.parametrize("in_a_row, most", [(16_384, 2), (9, 6)])
+def test_a_chain_of_waiting_facts_takes_few_rounds(spark, monkeypatch, in_a_row, most):
+    """Rows of an author that move between near variants wait for each other, link by link."""
+    rounds, plain = [], remember.materialize
+    monkeypatch.setattr(remember, "_IN_A_ROW", in_a_row)
+    monkeypatch.setattr(remember, "materialize", lambda df, name: (rounds.append(name), plain(df, name))[1])
+    facts = [(i, "pq"[i % 2], AUTHORS[i % 3 % 2], f"turn {i}", None, None, None, [1.0, 0.01 * (i * i % 7)]) for i in range(60)]
+    check(spark, [fact("s", [1.0, 0.02], author="alice/coder", project="p")], facts, 0.99)
+    assert rounds.count("remember-round") <= most
