@@ -1,12 +1,15 @@
 """What must stay bounded or linear when both sides of a search are large."""
 
 import re
+import tracemalloc
 
 import numpy as np
 import pyarrow as pa
 from pool import fact, table
 from pyspark.sql import functions as F
 
+from factlake.functions import embed
+from factlake.functions.embed import HashedWords
 from factlake.operators import search, simjoin, textindex
 from factlake.operators.simjoin import Limits
 
@@ -141,3 +144,17 @@ def test_facts_are_not_repeated_per_scope_of_many_questions(spark, small_blocks,
         inside = [j for j in range(120) if (i % 2 == 0 or j % 3 == 1) and j % 3 >= i % 3]
         best = sorted(inside, key=lambda j: -similar[i, j])[:5]
         assert {(i, n + 1, f"f{j:03}") for n, j in enumerate(best)} == {r for r in listed if r[0] == i}
+
+
+def test_texts_leave_their_batch_a_chunk_at_a_time():
+    words = HashedWords(8)
+    texts = pa.array([f"text{i % 50} " * 1500 for i in range(4000)])
+    words.embed(texts.slice(0, 100).to_pylist())
+    tracemalloc.start()
+    try:
+        vectors = embed.embedded(texts, words)
+        assert tracemalloc.get_traced_memory()[1] < 8 << 20 < texts.nbytes // 4
+    finally:
+        tracemalloc.stop()
+    wanted = words.embed(texts.slice(3990, 10).to_pylist()).astype("float32")
+    assert len(vectors) == 4000 and np.array_equal(np.array(vectors.slice(3990).to_pylist(), dtype="float32"), wanted)
