@@ -4,7 +4,7 @@ import numpy as np
 import pyarrow as pa
 import pytest
 
-from factlake.operators import kernel
+from factlake.operators import kernel, simjoin
 from factlake.operators.kernel import BestHits, Probes
 
 
@@ -79,3 +79,19 @@ def test_floors_of_the_first_rows_spare_the_others(monkeypatch):
     assert 0 < sum(full) < 9000 * 200 / 2
     monkeypatch.setattr(kernel, "_FEW_PAIRS", 1 << 60)
     assert quick == _hits(table, asked, False)
+
+
+def test_a_block_keeps_the_hits_of_some_probes_at_a_time(monkeypatch):
+    table, asked = _sides(64, np.random.default_rng(3))
+    table, asked = table.select(["id", "part", "vec"]), asked.drop_columns("before")
+    whole = _hits(table, asked, False)
+    asking = []
+    of = Probes.of
+    monkeypatch.setattr(simjoin, "_HITS_AT_ONCE", 50)
+    monkeypatch.setattr(simjoin.Probes, "of", lambda part: (asking.append(part.num_rows), of(part))[1])
+    names = ["query_id", "label", "ord", "similarity", "id"]
+    found = simjoin._block_hits(table, asked, False, False).select(names)
+    assert found.sort_by([(n, "ascending") for n in names]).to_pylist() == whole
+    assert sum(asking) == asked.num_rows and max(asking) <= 25
+    assert simjoin._block_hits(table, asked.slice(0, 0), False, False).num_rows == 0
+    assert simjoin._block_hits(table.slice(0, 0), asked, False, False).num_rows == 0
