@@ -31,18 +31,24 @@ def chunks(batches: Iterator[pa.RecordBatch], text: str) -> Iterator[tuple[pa.Re
 
     Texts come as UTF-8 bytes, None where null.
     """
+    for part, texts in slices(batches, text, CHUNK_BYTES):
+        yield part, texts.to_pylist()
+
+
+def slices(batches: Iterator[pa.RecordBatch], text: str, most: int) -> Iterator[tuple[pa.RecordBatch, pa.Array]]:
+    """Slices of the batches, each of at most so many bytes of texts or of one text, and their texts as bytes."""
     for batch in batches:
         column = batch.column(batch.schema.get_field_index(text))
         binary = column.cast(pa.large_binary() if pa.types.is_large_string(column.type) else pa.binary())
         sizes = np.asarray(pa.compute.fill_null(pa.compute.binary_length(binary), 0), dtype=np.int64)
         start, total = 0, 0
         for i, size in enumerate(sizes):
-            if total and total + size > CHUNK_BYTES:
-                yield batch.slice(start, i - start), binary.slice(start, i - start).to_pylist()
+            if total and total + size > most:
+                yield batch.slice(start, i - start), binary.slice(start, i - start)
                 start, total = i, 0
             total += int(size)
         if start < batch.num_rows:
-            yield batch.slice(start), binary.slice(start).to_pylist()
+            yield batch.slice(start), binary.slice(start)
 
 
 def mix(x: np.ndarray) -> np.ndarray:

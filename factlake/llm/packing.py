@@ -16,35 +16,50 @@ Null texts are empty and have the end token alone. Every row is packed by
 itself, so repeated ids and texts, null ids and extra columns need no care. An
 empty table gives no pieces. A text may be longer than a sequence.
 
-Words are tokenised once per task and kept, since the tokeniser splits at white
-space first; texts with separator characters on which it and Python disagree are
-tokenised whole.
+Texts are split at ASCII white space, some megabytes at a time, and only distinct
+letters, marks and other words meet the tokeniser, which splits there too. With a
+tokeniser of another form texts are tokenised whole.
 """
 
 from __future__ import annotations
 
+import json
 import re
 import zlib
 from bisect import bisect_left
 from functools import partial
-from itertools import repeat
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from factlake.llm.common import chunks
+from factlake.llm.common import slices
 
 SIZE = 2048
 RUN = 1 << 20
 STRIDE = 24
 SENTENCE_PENALTY, INSIDE_PENALTY = 0.5, 2.0
-# Words of a generation; a task keeps two.
-MOST_WORDS = 300_000
-_ODD = re.compile("[\x1c-\x1f]")
-_ENDS = (".", "!", "?", ".\"", "!\"", "?\"", ".)", "!)", "?)", "。", "！", "？")
+# Texts are split and tokenised together until they have this many bytes.
+TOGETHER = 1 << 22
+# What a task keeps of words that it tokenised.
+MOST_BYTES = 1 << 25
+_END = r'(?:[.!?]["\)]?|[。！？])$'
+# A word of letters with marks behind them, which the tokeniser splits there. It writes some letters
+# of Indian scripts, Hebrew forms and U+0130 with a combining mark, which would go with the marks.
+_LETTERS_AND_MARKS = r"^(?P<letters>[^\PL\x{130}\x{900}-\x{fff}\x{fb1d}-\x{fb4f}]+)(?P<marks>[!-/:-@\[-`{-~]*)$"
+# Tokenisers of this form take each run of letters as one word, in any case.
+_NORMALIZER = {"type": "Sequence", "normalizers": [
+    {"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"},
+]}
+_SPLIT = {"type": "Sequence", "pretokenizers": [
+    {"type": "Split", "pattern": {"Regex": r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"},
+     "behavior": "Removed", "invert": True},
+    {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+]}
 SCHEMA = (
     "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 )
@@ -56,73 +71,24 @@ def default_tokenizer() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
-_MARKS = frozenset(".,!?;:")
-
-
-def _letters_and_marks(words: list[str]) -> tuple[list[str], list[str]]:
-    """Words of letters in lower case and the marks after them; other words as they are, with ''."""
-    # A capital sigma's lower case depends on its place, which the tokeniser leaves out of account.
-    lower = [w if "\u03a3" in w else w.lower() for w in words]
-    marks = [w[-1] if w[-1] in _MARKS else "" for w in lower]
-    roots = [w[:-1] if m else w for w, m in zip(lower, marks, strict=True)]
-    for i, good in enumerate(map(str.isalpha, roots)):
-        if not good or "\u03a3" in roots[i]:
-            roots[i], marks[i] = words[i], ""
-    return roots, marks
-
-
-class _Column:
-    """A numpy array that grows at its end."""
-
-    def __init__(self, dtype):
-        self.data, self.used = np.zeros(1 << 12, dtype=dtype), 0
-
-    def extend(self, values) -> None:
-        values = np.asarray(values, dtype=self.data.dtype)
-        end = self.used + len(values)
-        if end > len(self.data):
-            self.data = np.concatenate([self.data[:self.used], np.zeros(max(end, 1 << 12), self.data.dtype)])
-        self.data[self.used:end] = values
-        self.used = end
-
-
 def _gathered(begin: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     """The places of runs that begin at ``begin``, one after the other."""
     after = np.cumsum(sizes)
     return np.repeat(begin - (after - sizes), sizes) + np.arange(int(after[-1]) if len(after) else 0)
 
 
-class _Words:
-    """Words that were tokenised: each is two parts, and each part a run of ids."""
-
-    def __init__(self):
-        self.known: dict[str, int] = {}
-        self.parts: dict[str, int] = {"": 0}
-        self.first, self.second, self.ends = _Column(np.int32), _Column(np.int32), _Column(bool)
-        self.ids, self.begin, self.size = _Column(np.uint32), _Column(np.int64), _Column(np.int32)
-        self.begin.extend([0])
-        self.size.extend([0])
-
-    def add_parts(self, names: list[str], ids: np.ndarray, sizes: np.ndarray) -> None:
-        n = self.size.used
-        self.begin.extend(self.ids.used + np.cumsum(sizes) - sizes)
-        self.size.extend(sizes)
-        self.ids.extend(ids)
-        self.parts.update(zip(names, range(n, n + len(names)), strict=True))
-
-    def add_words(self, words: list[str], roots: list[str], marks: list[str]) -> None:
-        n = self.first.used
-        self.first.extend(list(map(self.parts.__getitem__, roots)))
-        self.second.extend(list(map(self.parts.__getitem__, marks)))
-        self.ends.extend([w.endswith(_ENDS) for w in words])
-        self.known.update(zip(words, range(n, n + len(words)), strict=True))
+def _runs(values: np.ndarray, sizes: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of runs of the sizes, one after the other, those of the numbers ``at``, and their sizes."""
+    begin, sizes = (np.cumsum(sizes) - sizes)[at], sizes[at]
+    return values[_gathered(begin, sizes)], sizes
 
 
 class WordTokens:
-    """Token ids of texts, with words tokenised once.
+    """Token ids of texts, with what their words consist of tokenised once.
 
-    At most twice MOST_WORDS words are kept: when a generation is full it becomes
-    the older one, from which words that come again are taken over.
+    Letters and the marks behind them are tokenised apart, so words in any case
+    and with any marks share their letters' ids. What was tokenised is kept until
+    it has MOST_BYTES; then only what the last texts had stays.
     """
 
     def __init__(self, path: str):
@@ -130,79 +96,81 @@ class WordTokens:
 
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
+        from tokenizers.pre_tokenizers import ByteLevel
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.words, self.older = _Words(), _Words()
-
-    def _learn(self, words: list[str]):
-        # Letters and a mark behind them are tokenised apart, so words in any case and
-        # with any mark share their letters' ids.
-        roots, marks = _letters_and_marks(words)
-        now, older = self.words, self.older
-        new = {*roots, *marks} - now.parts.keys()
-        again = list(new & older.parts.keys())
-        if again:
-            at = np.array([older.parts[k] for k in again])
-            sizes = older.size.data[at].astype(np.int64)
-            now.add_parts(again, older.ids.data[_gathered(older.begin.data[at], sizes)], sizes)
-        new = new - older.parts.keys()
-        letters = [k for k in new if k.isalpha()]
-        others = [k for k in new if not k.isalpha()]
-        for some in (letters[i:i + 2000] for i in range(0, len(letters), 2000)):
-            now.add_parts(some, *self._encode_letters(some))
-        now.add_parts(others, *self._encode(others))
-        now.add_words(words, roots, marks)
-
-    def _encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """Ids of all texts, one after the other, and how many each has."""
+        self.bytes = ByteLevel(add_prefix_space=False, use_regex=False)
+        form = [x and json.loads(x.__getstate__()) for x in (self.tokenizer.normalizer, self.tokenizer.pre_tokenizer)]
+        # Of another tokeniser it is not known where texts may be split.
+        self.by_words = form == [_NORMALIZER, _SPLIT] and all(
+            re.fullmatch(r"[^\w\s]+\w\S*", t.content) for t in self.tokenizer.get_added_tokens_decoder().values()
+        )
+        self.names = pa.array([], type=pa.large_string())
+        self.ids, self.sizes = np.zeros(0, np.uint32), np.zeros(0, np.int64)
+
+    def _encode(self, texts: list[str]) -> list[list[int]]:
         encode = getattr(self.tokenizer, "encode_batch_fast", self.tokenizer.encode_batch)
-        found = [np.array(e.ids, dtype=np.uint32) for e in encode(texts, add_special_tokens=False)]
-        return np.concatenate([np.zeros(0, np.uint32), *found]), np.array([len(x) for x in found], dtype=np.int64)
-
-    def _encode_letters(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """Words of letters in one call, told apart by the tokeniser's own word numbers."""
-        together = self.tokenizer.encode(" ".join(words), add_special_tokens=False)
-        of = together.word_ids
-        if not of or None in of:
-            return self._encode(words)
-        of = np.array(of)
-        starts = np.flatnonzero(np.append(True, of[1:] != of[:-1]))
-        if len(starts) != len(words):
-            return self._encode(words)
-        return np.array(together.ids, dtype=np.uint32), np.diff(np.append(starts, len(of)))
-
-    def __call__(self, texts: list[str]):
-        """Ids of all texts, one after the other; each text's size; where sentences end."""
-        if len(self.words.known) > MOST_WORDS:
-            self.words, self.older = _Words(), self.words
-        odd = {i for i, t in enumerate(texts) if _ODD.search(t)}
-        split = [[] if i in odd else t.split() for i, t in enumerate(texts)]
-        words = [w for s in split for w in s]
-        held = self.words
-        at = np.fromiter(map(held.known.get, words, repeat(-1)), dtype=np.int64, count=len(words))
+        return [e.ids for e in encode(texts, add_special_tokens=False)]
+
+    def _encode_parts(self, parts: list[str]) -> list[list[int]]:
+        """The ids of each part; one of letters alone is a single word of the model."""
+        units = [w if w.isascii() and w.isalpha() else None for w in parts]
+        letters = [i for i, w in enumerate(parts) if units[i] is None and w.isalpha()]
+        for at in (letters[i:i + 2000] for i in range(0, len(letters), 2000)):
+            normal = self.tokenizer.normalizer.normalize_str(" ".join([parts[i] for i in at]))
+            spelled = self.bytes.pre_tokenize_str(normal)[0][0].split("\u0120")
+            normal = normal.split(" ")
+            if len(normal) == len(spelled) == len(at):
+                for i, word, unit in zip(at, normal, spelled, strict=True):
+                    # A letter may become one with a mark, at which the tokeniser splits.
+                    units[i] = unit if word.isalpha() else None
+        word = self.tokenizer.model.tokenize
+        found = [[t.id for t in word(unit)] if unit is not None else None for unit in units]
+        others = [i for i, unit in enumerate(units) if unit is None]
+        for i, ids in zip(others, self._encode([parts[i] for i in others]), strict=True):
+            found[i] = ids
+        return found
+
+    def _numbers(self, parts: pa.Array) -> np.ndarray:
+        """Where the distinct parts are kept."""
+        at = np.array(pc.fill_null(pc.index_in(parts, value_set=self.names), -1), dtype=np.int64)
         missing = np.flatnonzero(at < 0)
         if len(missing):
-            names = [words[i] for i in missing.tolist()]
-            self._learn(list(dict.fromkeys(names)))
-            at[missing] = [held.known[w] for w in names]
-        halves = np.stack([held.first.data[at], held.second.data[at]], axis=1).reshape(-1)
-        sizes = held.size.data[halves].astype(np.int64)
-        ids = held.ids.data[_gathered(held.begin.data[halves], sizes)]
-        after = np.cumsum(sizes)[1::2]
-        ends = after[held.ends.data[at]]
-        bounds = np.concatenate([[0], np.concatenate([[0], after])[np.cumsum([len(s) for s in split])]]) if texts \
-            else np.zeros(1, np.int64)
-        if not odd:
-            return ids, np.diff(bounds), ends
-        parts, lengths = [], []
-        for i, (a, b) in enumerate(zip(bounds[:-1], bounds[1:], strict=True)):
-            part = self._encode([texts[i]])[0] if i in odd else ids[a:b]
-            parts.append(part)
-            lengths.append(len(part))
-        # Sentence ends of the other texts move by what was put in before them.
-        moved = np.cumsum([0, *lengths])[:-1] - bounds[:-1]
-        text_of = np.searchsorted(bounds, ends, side="left") - 1
-        return np.concatenate(parts), np.array(lengths, dtype=np.int64), ends + moved[text_of]
+            new = parts.take(pa.array(missing))
+            at[missing] = len(self.names) + np.arange(len(missing))
+            found = self._encode_parts(new.to_pylist())
+            sizes = np.fromiter(map(len, found), dtype=np.int64, count=len(found))
+            ids = np.fromiter(chain.from_iterable(found), dtype=np.uint32, count=int(sizes.sum()))
+            self.names = pa.concat_arrays([self.names, new])
+            self.sizes, self.ids = np.append(self.sizes, sizes), np.append(self.ids, ids)
+        if self.names.nbytes + self.sizes.nbytes + self.ids.nbytes > MOST_BYTES:
+            self.ids, self.sizes = _runs(self.ids, self.sizes, at)
+            self.names, at = parts, np.arange(len(parts))
+        return at
+
+    def __call__(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Ids of all texts, one after the other; each text's size; where sentences end."""
+        if not self.by_words:
+            found = self._encode(texts.to_pylist())
+            return (np.array([i for ids in found for i in ids], dtype=np.uint32),
+                    np.array([len(ids) for ids in found], dtype=np.int64), np.zeros(0, np.int64))
+        # Other white space stays inside words and is left to the tokeniser.
+        split = pc.ascii_split_whitespace(texts)
+        coded = split.flatten().dictionary_encode()
+        words, at = coded.dictionary, np.asarray(coded.indices)
+        halves = pc.extract_regex(words, _LETTERS_AND_MARKS)
+        known = halves.is_valid()
+        letters = pc.if_else(known, pc.ascii_lower(halves.field("letters")), words)
+        marks = pc.if_else(known, halves.field("marks"), "")
+        parts = pa.concat_arrays([letters, marks.cast(letters.type)]).dictionary_encode()
+        number = self._numbers(parts.dictionary)[np.asarray(parts.indices)].reshape(2, -1)
+        # Of each distinct word, then of each word.
+        ids, sizes = _runs(self.ids, self.sizes, number.T.reshape(-1))
+        ids, sizes = _runs(ids, sizes.reshape(-1, 2).sum(axis=1), at)
+        after = np.cumsum(sizes)
+        ends = after[np.asarray(pc.match_substring_regex(words, _END))[at]]
+        bounds = np.append(0, after)[np.append(0, np.cumsum(np.asarray(pc.list_value_length(split))))]
+        return ids, np.diff(bounds), ends
 
 
 def choose_cuts(places: list[int], penalties: list[float], size: int, last_free: bool) -> list[int]:
@@ -262,8 +230,8 @@ class _Stream:
         places = np.union1d(ends, self.sentences[(self.sentences > 0) & (self.sentences < len(self.ids))])
         before = np.concatenate([[0], places[:-1]])
         gaps = places - before
-        more = [np.arange(a + STRIDE, b, STRIDE) for a, b in zip(before[gaps > STRIDE], places[gaps > STRIDE], strict=True)]
-        inside = np.concatenate(more) if more else np.zeros(0, np.int64)
+        steps = (gaps - 1) // STRIDE
+        inside = np.repeat(before, steps) + STRIDE * (1 + _gathered(np.zeros_like(steps), steps))
         penalties = np.concatenate([np.where(np.isin(places, ends), 0.0, SENTENCE_PENALTY),
                                     np.full(len(inside), INSIDE_PENALTY)])
         places = np.concatenate([places, inside])
@@ -323,17 +291,39 @@ class _Stream:
         return pa.RecordBatch.from_arrays(columns, names)
 
 
+def _together(batches):
+    """Numbers and texts of rows that have some TOGETHER bytes, however the batches are dealt."""
+    held, size = [], 0
+    for part, texts in slices(batches, "text", TOGETHER):
+        held.append((part.column(0), texts))
+        size += texts.nbytes
+        if size >= TOGETHER // 2:
+            yield _joined(held)
+            held, size = [], 0
+    if held:
+        yield _joined(held)
+
+
+def _joined(held):
+    texts = pa.concat_arrays([t for _, t in held])
+    try:
+        texts = pc.fill_null(texts.cast(pa.large_string()), "")
+    except pa.ArrowInvalid:
+        texts = pa.array([(t or b"").decode("utf-8", "replace") for t in texts.to_pylist()], type=pa.large_string())
+    return pa.concat_arrays([n for n, _ in held]), texts
+
+
 def _pack(batches, tokenizer, size, end_id, with_ids):
     # The words go with their task.
     tokens = WordTokens(tokenizer)
     # A task numbers its sequences from its own place on.
     stream = _Stream(size, TaskContext.get().partitionId() << 36, with_ids)
-    for batch, texts in chunks(batches, "text"):
-        ids, lengths, sentences = tokens([(t or b"").decode("utf-8", "replace") for t in texts])
+    for names, texts in _together(batches):
+        ids, lengths, sentences = tokens(texts)
         bounds = np.cumsum(lengths)
         ids = np.insert(ids, bounds, np.uint32(end_id))
         text_of = np.searchsorted(bounds, sentences, side="left")
-        stream.add(batch.column(0).to_pylist(), ids, lengths + 1, sentences + text_of)
+        stream.add(names.to_pylist(), ids, lengths + 1, sentences + text_of)
         if len(stream.ids) >= RUN:
             if (packed := stream.pack(False)) is not None:
                 yield packed

@@ -109,6 +109,69 @@ def test_packing(spark):
     assert pack_documents(frame(spark, [])).count() == 0
 
 
+def packed_ids(spark, texts, **more):
+    from factlake.llm.packing import pack_documents
+
+    got = pack_documents(frame(spark, [(i, t, "en", "web", 1) for i, t in enumerate(texts)]), **more).toPandas()
+    rows = got.sort_values("start").groupby("doc_id")["ids"]
+    return [[i for piece in pieces for i in piece] for _, pieces in rows]
+
+
+def test_packing_splits_words_where_the_tokeniser_does(spark):
+    from tokenizers import Tokenizer
+
+    from factlake.llm.packing import default_tokenizer
+
+    # Some letters are written with a combining mark, which goes with the marks behind them.
+    texts = ["\u0958! a\u0929. \u095e***", "\u0130! \u0130\u0130?", "e\u0301! \u00c9*** \u03a3\u03a3,", "l's it's 's' 'S",
+             "\ufb2a! \u0f43, a\u00a0b.\u2003c\u0085\u200b!", "<|endoftext|>! a<|STARTOFTEXT|>", "A*** a&&& B,%%% b", "\x1c \x1f!"]
+    tokenizer = Tokenizer.from_file(default_tokenizer())
+    assert packed_ids(spark, texts) == [tokenizer.encode(t, add_special_tokens=False).ids + [1] for t in texts]
+
+
+def test_packing_with_a_tokeniser_of_another_form(spark, tmp_path):
+    from tokenizers import Tokenizer
+    from tokenizers.normalizers import NFC
+
+    from factlake.llm.packing import default_tokenizer
+
+    tokenizer = Tokenizer.from_file(default_tokenizer())
+    tokenizer.normalizer = NFC()
+    tokenizer.save(str(tmp_path / "cased.json"))
+    texts = ["Upper lower UPPER, Upper.", "", "one two"]
+    want = [tokenizer.encode(t, add_special_tokens=False).ids + [1] for t in texts]
+    assert packed_ids(spark, texts, tokenizer=str(tmp_path / "cased.json")) == want
+
+
+def test_packing_of_small_batches_does_not_walk_over_all_known_words(monkeypatch):
+    from time import process_time
+    from types import SimpleNamespace
+
+    import pyarrow as pa
+
+    from factlake.llm import packing
+
+    monkeypatch.setattr(packing, "TaskContext", SimpleNamespace(get=lambda: SimpleNamespace(partitionId=lambda: 0)))
+
+    def spelled(n):
+        return "".join(chr(97 + n // 26**k % 26) for k in range(4))
+
+    def batch(doc_id, text):
+        return pa.record_batch({"doc_id": pa.array([doc_id]), "text": pa.array([text])})
+
+    def seconds(batches):
+        began = process_time()
+        pieces = sum(b.num_rows for b in packing._pack(iter(batches), packing.default_tokenizer(), 2048, 1, False))
+        return process_time() - began, pieces
+
+    large = [batch(0, " ".join(map(spelled, range(150_000))))]
+    small = [batch(i, spelled(150_000 + i)) for i in range(1, 601)]
+    alone, _ = seconds(large)
+    both, pieces = seconds(large + small)
+    assert pieces > len(small)
+    assert both < 2 * alone
+
+
 @settings(max_examples=60, deadline=None)
 @given(st.lists(st.integers(1, 9), min_size=1, max_size=30), st.data())
 def test_cuts_are_cheapest(gaps, data):
