@@ -44,9 +44,9 @@ RUN = 1 << 20
 STRIDE = 24
 SENTENCE_PENALTY, INSIDE_PENALTY = 0.5, 2.0
 # Texts are split and tokenised together until they have this many bytes.
-TOGETHER = 1 << 22
+TOGETHER = 1 << 20
 # What a task keeps of words that it tokenised.
-MOST_BYTES = 1 << 25
+MOST_BYTES = 1 << 22
 _END = r'(?:[.!?]["\)]?|[。！？])$'
 # A word of letters with marks behind them, which the tokeniser splits there. It writes some letters
 # of Indian scripts, Hebrew forms and U+0130 with a combining mark, which would go with the marks.
